@@ -6,12 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, quality, token_counts
+from . import pieces, quality, sharding, token_counts, toxicity
 from .common import crc32_mod, fresh_path, table
 
 BYTE_BPE, PIECE_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc32_mod("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return verdicts(toxicity.score_texts(docs.select("doc_id", "text"), model), held_out)
+
+
+def verdicts(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = sharding.shard_groups(table(spark, sf_dir, "documents"), shards=8)
+    return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, fresh_path(spark, "token-cache"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -31,9 +46,8 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), crc32_mod("doc_id", 3) == 1
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
-    scored = quality.score_texts(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return verdicts(quality.score_texts(docs.select("doc_id", "text"), model), held_out)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_sentencepiece, op8_quality)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bin_packing, op3_token_counts, op5_sentencepiece, op8_quality)}
 SQL: dict[str, str] = {}
