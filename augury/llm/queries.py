@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, quality, sharding, token_counts, toxicity
+from . import chat, decontam, pieces, quality, sharding, token_counts, toxicity
 from .common import crc32_mod, fresh_path, table
 
 BYTE_BPE, PIECE_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -43,11 +43,53 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), crc32_mod("doc_id", 3) == 1
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     return verdicts(quality.score_texts(docs.select("doc_id", "text"), model), held_out)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bin_packing, op3_token_counts, op5_sentencepiece, op8_quality)}
-SQL: dict[str, str] = {}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bin_packing, op3_token_counts, op5_sentencepiece, op6_quote_links, op8_quality, op10_decontamination)}
+SQL: dict[str, str] = {
+    "op6_quote_links": r"""
+WITH told AS (SELECT row_number() OVER () AS m, * FROM (SELECT DISTINCT conv_id, turn, role, text AS raw FROM conversations)),
+split AS (SELECT m, conv_id, turn, unnest(string_split(coalesce(raw, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(raw, ''), chr(10)), 1) AS pos FROM told),
+lines AS (SELECT m, conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)*)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^((?:[ \t]*>)*)', '') AS line FROM split),
+marked AS (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY m ORDER BY pos) THEN 1 ELSE 0 END AS fresh FROM lines),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY m ORDER BY pos) AS passage FROM marked),
+own AS (SELECT m, conv_id, turn, string_agg(line, chr(10) ORDER BY pos) AS told FROM runs WHERE level = 0 GROUP BY ALL),
+passages AS (SELECT m, conv_id, turn, passage, level, string_agg(line, ' ' ORDER BY pos) AS told FROM runs GROUP BY m, conv_id, turn, passage, level),
+source AS (SELECT conv_id, turn, told FROM own UNION ALL SELECT conv_id, turn, told FROM passages WHERE level = 0 UNION ALL SELECT conv_id, turn, line FROM runs WHERE level = 0),
+first AS (SELECT conv_id, h, min(turn) AS source_turn FROM (SELECT conv_id, turn, trim(regexp_replace(translate(told, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n]+', ' ', 'g')) AS h FROM source) WHERE h <> '' GROUP BY ALL),
+units AS (SELECT m, conv_id, turn, passage, level, 0 AS part, told FROM passages WHERE level > 0 UNION ALL SELECT m, conv_id, turn, passage, level, 1, line FROM runs WHERE level > 0),
+hashed AS (SELECT * EXCLUDE told, trim(regexp_replace(translate(told, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\n]+', ' ', 'g')) AS h FROM units),
+links AS (SELECT m, passage, level, part, max(source_turn) AS source_turn FROM hashed JOIN first USING (conv_id, h) WHERE h <> '' AND source_turn < turn GROUP BY ALL),
+best AS (SELECT m, passage, level, arg_min(source_turn, part) AS source_turn FROM links GROUP BY ALL),
+linked AS (SELECT m, arg_min(source_turn, level) AS parent_turn, sum(n) AS n_linked FROM (SELECT m, level, max(source_turn) AS source_turn, count(*) AS n FROM best GROUP BY ALL) GROUP BY m),
+quoted AS (SELECT m, count(*) AS n_quoted, max(level) AS max_level FROM passages WHERE level > 0 GROUP BY m)
+SELECT t.conv_id, t.turn, t.role, coalesce(trim(o.told), '') AS text, coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked, coalesce(max_level, 0)::INT AS max_level, parent_turn,
+  (row_number() OVER (PARTITION BY t.conv_id ORDER BY t.turn, t.role, coalesce(trim(o.told), '')) - 1)::BIGINT AS reply_pos
+FROM told t LEFT JOIN own o ON o.m = t.m LEFT JOIN quoted q ON q.m = t.m LEFT JOIN linked l ON l.m = t.m
+""",
+    "op10_decontamination": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, list_slice(w, s, s + least(10, len(w)) - 1) AS g FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT r, n, s, list_slice(w, s, s + n - 1) AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d CROSS JOIN sizes WHERE len(w) >= n)),
+m AS (SELECT r, s, dw.n, item_id FROM dw JOIN win ON dw.g = win.g AND dw.n = win.n),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM m) GROUP BY r),
+it AS (SELECT r, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM m) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+""",
+}

@@ -118,7 +118,9 @@ def rank_within(df: DataFrame, key: list[str], order: list[Column], salt: Column
     before = F.sum("_n").over(W.partitionBy(*key).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1))
     shifts = counts.select(*key, "_salt", F.coalesce(before, F.lit(0)).alias("_before"))
     within = F.row_number().over(W.partitionBy(*key, "_salt").orderBy(*order)) - 1
-    return salted.withColumn("_within", within).join(shifts, [*key, "_salt"]).withColumn(out, F.col("_before") + F.col("_within")).drop("_salt", "_n", "_before", "_within")
+    shifts = shifts.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*key, "_salt"])), "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*key, "_salt"])]
+    return salted.withColumn("_within", within).join(shifts, same).select(*df.columns, (F.col("_before") + F.col("_within")).alias(out))
 
 
 def shard_groups(docs: DataFrame, *, shards: int | None = None, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
