@@ -16,6 +16,7 @@ empty result and leaves the cache as it was.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import path_exists, slices
 
-CHUNK_ENTRIES = 400_000
+#: Chunks kept by one Python worker; beyond it starts anew (memory, not results).
+CHUNK_ENTRIES = 200_000
 _SPACES = re.compile(r"\s\s")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 
@@ -34,6 +36,7 @@ class ChunkCounter:
     """Counts tokens of texts; each distinct chunk goes through the tokenizer once."""
 
     def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread and one memory arena in a worker
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -46,7 +49,8 @@ class ChunkCounter:
         self.counts: dict[str, int] = {}
 
     def _encode(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = (texts[i:i + 2048] for i in range(0, len(texts), 2048))
+        return [len(e.ids) for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def chunks(self, text: str) -> list[str]:
         if not self.separable or any(s in text for s in self.special):
@@ -103,7 +107,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, cache: str, *, id_col: st
         import zstandard
 
         count, unpack, seen = ChunkCounter(tokenizer_file), zstandard.ZstdDecompressor(), set()
-        for part in slices(batches):
+        for part in slices(batches, 32):
             rows = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
             new = [(d, unpack.decompress(p).decode()) for d, p in rows if d not in seen and not seen.add(d)]
             if new:
