@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, pieces, quality, sharding, token_counts, toxicity
+from . import ann, chat, decontam, html, pieces, quality, sharding, token_counts, toxicity
 from .common import crc32_mod, fresh_path, table
 
 BYTE_BPE, PIECE_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -39,6 +39,10 @@ def piece_digests(docs: DataFrame) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"))
 
@@ -53,12 +57,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(quality.score_texts(docs.select("doc_id", "text"), model), held_out)
 
 
+def op9_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bin_packing, op3_token_counts, op5_sentencepiece, op6_quote_links, op8_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bin_packing, op3_token_counts, op4_hnsw, op5_sentencepiece, op6_quote_links, op8_quality, op9_host_paths, op10_decontamination)}
 SQL: dict[str, str] = {
     "op6_quote_links": r"""
 WITH told AS (SELECT row_number() OVER () AS m, * FROM (SELECT DISTINCT conv_id, turn, role, text AS raw FROM conversations)),
