@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html, pieces, quality, sharding, token_counts, toxicity
+from . import ann, chat, decontam, html, jaccard, pieces, quality, sharding, token_counts, toxicity
 from .common import crc32_mod, fresh_path, table
 
 BYTE_BPE, PIECE_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -51,6 +51,10 @@ def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_quotes(table(spark, sf_dir, "conversations"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), crc32_mod("doc_id", 3) == 1
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -67,7 +71,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bin_packing, op3_token_counts, op4_hnsw, op5_sentencepiece, op6_quote_links, op8_quality, op9_host_paths, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bin_packing, op3_token_counts, op4_hnsw, op5_sentencepiece, op6_quote_links, op7_jaccard_join, op8_quality, op9_host_paths, op10_decontamination)}
 SQL: dict[str, str] = {
     "op6_quote_links": r"""
 WITH told AS (SELECT row_number() OVER () AS m, * FROM (SELECT DISTINCT conv_id, turn, role, text AS raw FROM conversations)),
@@ -88,6 +92,15 @@ quoted AS (SELECT m, count(*) AS n_quoted, max(level) AS max_level FROM passages
 SELECT t.conv_id, t.turn, t.role, coalesce(trim(o.told), '') AS text, coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked, coalesce(max_level, 0)::INT AS max_level, parent_turn,
   (row_number() OVER (PARTITION BY t.conv_id ORDER BY t.turn, t.role, coalesce(trim(o.told), '')) - 1)::BIGINT AS reply_pos
 FROM told t LEFT JOIN own o ON o.m = t.m LEFT JOIN quoted q ON q.m = t.m LEFT JOIN linked l ON l.m = t.m
+""",
+    "op7_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+l AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
+r AS (SELECT doc_id AS u, doc_id AS c FROM d UNION SELECT l.v, r.c FROM r JOIN l ON l.u = r.u)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(r.c)::BIGINT AS component_id FROM s JOIN r ON r.u = s.doc_id GROUP BY s.doc_id, g
 """,
     "op10_decontamination": r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
