@@ -71,7 +71,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bin_packing, op3_token_counts, op4_hnsw, op5_sentencepiece, op6_quote_links, op7_jaccard_join, op8_quality, op9_host_paths, op10_decontamination)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bin_packing, op3_token_counts, op4_hnsw, op5_sentencepiece, op6_quote_links, op7_jaccard_join, op8_quality, op9_host_paths, op10_decontamination, pipeline)}
 SQL: dict[str, str] = {
     "op6_quote_links": r"""
 WITH told AS (SELECT row_number() OVER () AS m, * FROM (SELECT DISTINCT conv_id, turn, role, text AS raw FROM conversations)),
