@@ -251,23 +251,25 @@ class Scorer:
         return [1 / (1 + math.exp(-min(700.0, max(-700.0, a * x + b * y + c)))) for x, y in self.worst(texts)]
 
 
-def learn_weights(docs: list[tuple[set[str], int]], *, caution: float = 1.5, support: int = 3, least: float = 0.8, explained: float = 0.3) -> dict[str, float]:
-    """docs: features and label. A feature's weight is its log-odds of toxic over other documents less caution
+def learn_weights(docs: list[tuple[np.ndarray, int]], vocabulary: list[str], *, caution: float = 1.5, support: int = 3, least: float = 0.8, explained: float = 0.3) -> dict[str, float]:
+    """docs: places in the vocabulary of a document's features, and its label. A feature's weight is its log-odds of toxic over other documents less caution
     standard errors. Features are taken one by one, each time the one of highest weight where a toxic document
     that one taken before explains counts as ``explained`` documents only, so what merely stands beside a toxic
     word (copied passages, long texts) gets no weight. Ends when none has a weight of at least ``least`` and as
     much as ``support`` documents to explain."""
     toxic = [found for found, label in docs if label]
-    counts = Counter(f for found in toxic for f in found)
-    names = sorted((f for f, n in counts.items() if n >= support), key=lambda f: (-len(f), f))  # of equals the longest
-    if not names:
+    counts = np.bincount(np.concatenate([*toxic, np.zeros(0, np.int32)]), minlength=len(vocabulary))
+    kept = sorted(np.flatnonzero(counts >= support).tolist(), key=lambda f: (-len(vocabulary[f]), vocabulary[f]))  # of equals the longest
+    if not kept:
         return {}
-    at = {f: i for i, f in enumerate(names)}
-    rows = [np.array([at[f] for f in found if f in at], np.int64) for found in toxic]
-    t, m = np.array([counts[f] for f in names], float), np.zeros(len(names))
+    names, place = [vocabulary[f] for f in kept], np.full(len(vocabulary), -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    rows = [p[p >= 0] for p in (place[found] for found in toxic)]
+    t, m = counts[kept].astype(float), np.zeros(len(names))
     for found, label in docs:
         if not label:
-            m[[at[f] for f in found if f in at]] += 1
+            p = place[found]
+            m[p[p >= 0]] += 1
     odds = math.log((len(docs) - len(toxic) + 1) / (len(toxic) + 1))
     weight = lambda t: np.log((t + 0.5) / (m + 0.5)) + odds - caution * np.sqrt(1 / (t + 0.5) + 1 / (m + 0.5))
     full, left, open_, got = weight(t), t.copy(), set(range(len(toxic))), {}
@@ -307,27 +309,31 @@ def train(rows: list[tuple[str, int]], logs: np.ndarray) -> Model:
     if len(set(y.tolist())) < 2:
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return Model(logs, {}, (0.0, 0.0, math.log(share / (1 - share))))
-    restore, known = Restorer(logs), {}
+    restore, places, known = Restorer(logs), {}, {}
 
-    def found(text: str) -> set[str]:
+    def found(text: str) -> np.ndarray:
         low = text.lower()
         words = {w for t in set(low.split()) for w in restore.token(t).split()}
         words |= {w for run in restore.runs(low) for w in run.split()}
-        return set().union(*(known[w] if w in known else known.setdefault(w, features(w)) for w in words))
+        for w in words:
+            if w not in known:
+                known[w] = np.array([places.setdefault(f, len(places)) for f in sorted(features(w))], np.int32)
+        return np.unique(np.concatenate([*(known[w] for w in words), np.zeros(0, np.int32)]))
 
     rows = list(dict.fromkeys(rows))  # a copy is no further evidence
     y = np.array([label for _, label in rows])
     docs = [(found(text), label) for text, label in rows]
     known.clear()
+    vocabulary = list(places)
     half = np.zeros(len(rows), int)
     for value in (0, 1):  # every other row of each class
         half[np.flatnonzero(y == value)[1::2]] = 1
     x = np.zeros((len(rows), 2))
     for side in (0, 1):
         own = np.flatnonzero(half == side)
-        scorer = Scorer(Model(logs, learn_weights([d for d, h in zip(docs, half, strict=True) if h != side]), (0, 0, 0)))
+        scorer = Scorer(Model(logs, learn_weights([d for d, h in zip(docs, half, strict=True) if h != side], vocabulary), (0, 0, 0)))
         x[own] = scorer.worst([rows[i][0] for i in own])
-    return Model(logs, learn_weights(docs), fit_logistic(x, y))
+    return Model(logs, learn_weights(docs, vocabulary), fit_logistic(x, y))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_where, *, label: str = "toxic", per_class: int = 700, max_bytes: int = 16 << 20) -> Model:
