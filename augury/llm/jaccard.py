@@ -1,9 +1,10 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 A text's set is its distinct shingles of five words (64-bit hashes). Texts with equal sets become one node,
-so copies are never compared. Shingles are counted into a fixed number of buckets over all texts; a shingle's
-class is the power of two of its bucket's count (over the mean count), and sets are ordered by class, then hash:
-rare shingles first. With threshold t, sets of n shingles and a = ceil(t n), two linked sets
+so copies are never compared. In how many sets each shingle stands is counted over all texts; a shingle's class
+is twice the binary logarithm of that number (0: it stands in one set, and cannot link anything). Sets are
+ordered by class, then hash: rare shingles first. With threshold t, sets of n shingles and a = ceil(t n), two
+linked sets
 
 * share their first common shingle within the first n - a + 1 of both. If it is rare (class below FREQUENT),
   that shingle alone is the signature;
@@ -20,11 +21,13 @@ to components, and this repeats with other members; then all pairs of a list tha
 components are verified. Pairs inside a component need no check, so the components are exact. Verification
 counts the common shingles of whole sets.
 
-Scale: texts are read three times and never shuffled. Rare signatures travel as packed arrays cut by hash
-range; their lists are short by the definition of rare. Lists of frequent pairs are aggregated before they are
-joined, and hot joins are AQE's to split. The class table has BUCKETS bytes and the filter of nodes that are in
-any list FILTER_BITS bits, whatever the corpus size; both are all that is broadcast. A filter that fills up
-only lets more sets through to an exact join. Lineage is cut by tables in the shared folder.
+Scale: texts are read three times and never shuffled. For counting, shingles travel as 32-bit remainders of
+their hash range, sorted, delta-coded and packed; signatures of rare shingles as packed arrays cut by hash range,
+and their lists are short by the definition of rare. Lists of frequent pairs are aggregated before they are
+joined, and hot joins are AQE's to split. What is broadcast has a fixed size, whatever the corpus: the class
+table (CELLS bytes; shingles that fall in one cell share the highest class, which costs candidates but loses
+none) and the filter of nodes that are in any list (FILTER_BITS bits; one that fills up only lets more sets
+through to an exact join). Lineage is cut by tables in the shared folder.
 
 Rows: null and empty texts, and texts of white space, have no shingles and are linked with nothing; with fewer
 than five words the whole sequence is one shingle; repeated ids and rows keep their rows and share a component
@@ -45,10 +48,10 @@ from pyspark.sql import functions as F
 from .common import saved, slices
 
 WORDS = 5
-BUCKETS = 1 << 23
-CHUNK = 1 << 16
-#: A shingle class from which signatures are pairs: 8 times the mean count, 128 at least.
-FREQUENT, LEAST_MEAN = 3, 16.0
+#: Cells of the class table.
+CELLS = 1 << 25
+#: The class from which signatures are pairs of shingles: those that stand in 128 sets or more.
+FREQUENT = 14
 FILTER_BITS = 1 << 27
 WORD_ENTRIES = 300_000
 STAR_ROUNDS = 3
@@ -103,79 +106,99 @@ def set_key(s: np.ndarray, digest) -> int:
     return digest(s.tobytes()) - (1 << 63)
 
 
-def bucket(s: np.ndarray) -> np.ndarray:
-    return (mix(s) % np.uint64(BUCKETS)).astype(np.int64)
+def cut(s: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash range (the top bits) and the 32 bits below."""
+    return (s >> np.uint64(64 - bits)).astype(np.int64), (s >> np.uint64(32 - bits)).astype(np.uint32)
 
 
-def _sets_and_counts(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of two kinds: id, number of shingles and key of each text; and, with a chunk number, packed bucket
-    counts of a task (each distinct set of a task once)."""
+def cells(ranges: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
+    """Each range has its own part of the class table."""
+    part = CELLS >> bits
+    return ranges * part + (mix(low.astype(np.uint64)) % np.uint64(part)).astype(np.int64)
+
+
+def _sets_and_shingles(docs: DataFrame, n: int, bits: int) -> DataFrame:
+    """Rows of two kinds: id, number of shingles and key of each text; and, with a range, packed shingles of a
+    task (each distinct set of a task once)."""
     id_type = docs.schema.fields[0].dataType.simpleString()
+    names = ["id", "n", "key", "range", "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        shingle, seen, total, waiting, held = Shingler(n), set(), np.zeros(BUCKETS, np.int32), [], 0
-        kinds: list[pa.DataType] = []
+        pack = zstandard.ZstdCompressor(level=1).compress
+        shingle, seen, waiting, held, kinds = Shingler(n), set(), [], 0, []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            where, low = cut(np.sort(np.concatenate(waiting)), bits)
+            ends, rows = np.searchsorted(where, np.arange((1 << bits) + 1)), []
+            for r in np.flatnonzero(np.diff(ends)).tolist():
+                deltas = np.diff(low[ends[r]:ends[r + 1]], prepend=np.uint32(0))
+                rows.append((r, pack(deltas.view(np.uint8).reshape(-1, 4).T.tobytes())))
+            for i in range(0, len(rows), 64):
+                part = rows[i:i + 64]
+                none = [pa.nulls(len(part), k) for k in kinds]
+                yield pa.RecordBatch.from_arrays([*none, pa.array([r for r, _ in part], pa.int32()), pa.array([b for _, b in part], pa.binary())], names=names)
+
         for part in slices(batches):
-            kinds = kinds or [part.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            kinds = kinds or [part.schema.field(0).type, pa.int64(), pa.int64()]
             sets = shingle([t or "" for t in part.column(1).to_pylist()])
             keys = [set_key(s, shingle.hash) if len(s) else None for s in sets]
             for s, k in zip(sets, keys, strict=True):
                 if k is not None and k not in seen:
                     seen.add(k)
-                    waiting.append(bucket(s))
+                    waiting.append(s)
                     held += len(s)
-            if held > 2_000_000:
-                total += np.bincount(np.concatenate(waiting), minlength=BUCKETS).astype(np.int32)
+            if held > 4_000_000:
+                yield from packed()
                 waiting, held = [], 0
-            none = [pa.nulls(len(sets), k) for k in kinds[3:]]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), *none], names=["id", "n", "key", "chunk", "counts"])
+            none = [pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), *none], names=names)
         if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=BUCKETS).astype(np.int32)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for c in range(0, BUCKETS if kinds else 0, CHUNK * 16):
-            blobs = [(c // CHUNK + i, pack(total[c + i * CHUNK:c + (i + 1) * CHUNK].astype(np.uint16 if total.max() < 65536 else np.uint32).tobytes())) for i in range(16)]
-            none = [pa.nulls(16, k) for k in kinds[:3]]
-            yield pa.RecordBatch.from_arrays([*none, pa.array([i for i, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names=["id", "n", "key", "chunk", "counts"])
+            yield from packed()
 
-    return docs.mapInArrow(run, f"id {id_type}, n long, key long, chunk int, counts binary")
+    return docs.mapInArrow(run, f"id {id_type}, n long, key long, range int, packed binary")
 
 
-def _classes(counted: DataFrame, total: int) -> np.ndarray:
-    """Class of each bucket, from the summed counts of all tasks (BUCKETS bytes come to the driver)."""
-    mean = max(LEAST_MEAN, total / BUCKETS)
+def _classes(packed: DataFrame, bits: int) -> np.ndarray:
+    """The class table: each range's part is filled in one task (CELLS bytes come to the driver)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpack, sums = zstandard.ZstdDecompressor().decompress, {}
-        for part in slices(batches, 16):
-            for c, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                raw = unpack(b)
-                got = np.frombuffer(raw, np.uint16 if len(raw) == 2 * CHUNK else np.uint32).astype(np.int64)
-                sums[c] = sums[c] + got if c in sums else got
-        for c, got in sums.items():
-            power = np.log2(np.maximum(got / mean, 1)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([power.tobytes()], pa.binary())], names=["chunk", "classes"])
-
-    out = np.zeros(BUCKETS, np.uint8)
-    for r in counted.repartition("chunk").mapInArrow(run, "chunk int, classes binary").collect():
-        out[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(r["classes"], np.uint8)
+        unpack, low = zstandard.ZstdDecompressor().decompress, {}
+        for part in slices(batches, 64):
+            for r, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                planes = np.frombuffer(unpack(b), np.uint8).reshape(4, -1)
+                low.setdefault(r, []).append(np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32))
+        for r in list(low):
+            x = np.sort(np.concatenate(low.pop(r)))
+            starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            counts = np.diff(starts, append=len(x))
+            x, counts = x[starts[counts > 1]], counts[counts > 1]
+            table = np.zeros(CELLS >> bits, np.uint8)
+            np.maximum.at(table, cells(np.zeros(1, np.int64), x, bits), (2 * np.log2(counts)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([zstandard.compress(table.tobytes(), 1)], pa.binary())], names=["range", "classes"])
+
+    import zstandard
+
+    out, part = np.zeros(CELLS, np.uint8), CELLS >> bits
+    for r in packed.repartition("range").mapInArrow(run, "range int, classes binary").toLocalIterator():
+        out[r["range"] * part:(r["range"] + 1) * part] = np.frombuffer(zstandard.decompress(r["classes"]), np.uint8)
     return out
 
 
-def signatures(s: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(s: np.ndarray, classes: np.ndarray, percent: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A set's rare single shingles, and its signatures from pairs of frequent ones."""
     n = len(s)
     a = -(-percent * n // 100)
-    power = classes[bucket(s)]
+    power = classes[cells(*cut(s, bits), bits)]
     order = np.lexsort((s, power))
     s, power = s[order], power[order]
     first = n - a + 1
-    rare = s[:first][power[:first] < FREQUENT]
-    if len(rare) == min(first, n) and not (n > first and power[first - 1] >= FREQUENT):
-        return rare, np.zeros(0, np.uint64)  # nothing frequent can come first among what is shared
+    rare = s[:first][(power[:first] > 0) & (power[:first] < FREQUENT)]
+    if power[min(first, n) - 1] < FREQUENT:  # the first common shingle is rare
+        return rare, np.zeros(0, np.uint64)
     own, pairs = n.bit_length() - 1, []
     for level in {own, own - 1} if percent * n < (100 << own) else {own}:
         if level < 1:
@@ -195,7 +218,7 @@ def signatures(s: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.nda
     return rare, np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
 
 
-def _lists(docs: DataFrame, classes, n: int, percent: int, ranges: int) -> DataFrame:
+def _lists(docs: DataFrame, classes, n: int, percent: int, bits: int) -> DataFrame:
     """``sig, key, n``: members of every list of two sets or more."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +233,7 @@ def _lists(docs: DataFrame, classes, n: int, percent: int, ranges: int) -> DataF
                 sig = np.concatenate([x for x, _, _ in found])
                 counts = [len(x) for x, _, _ in found]
                 key, size = np.repeat(np.array([k for _, k, _ in found], np.int64), counts), np.repeat(np.array([m for _, _, m in found], np.int32), counts)
-                where = ((sig >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+                where = cut(sig, bits)[0]
                 order = np.argsort(where, kind="stable")
                 sig, key, size, where = sig[order], key[order], size[order], where[order]
                 cuts = np.flatnonzero(np.diff(where)) + 1
@@ -226,8 +249,9 @@ def _lists(docs: DataFrame, classes, n: int, percent: int, ranges: int) -> DataF
             for s in shingle([t or "" for t in part.column(0).to_pylist()]):
                 if len(s) and (k := set_key(s, shingle.hash)) not in seen:
                     seen.add(k)
-                    single, paired = signatures(s, table, percent)
-                    rare.append((single, k, len(s)))
+                    single, paired = signatures(s, table, percent, bits)
+                    if len(single):
+                        rare.append((single, k, len(s)))
                     if len(paired):
                         pairs.append((paired, k, len(s)))
                     held += len(single) + len(paired)
@@ -350,12 +374,12 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component_id is the smallest id that links reach."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = saved(_sets_and_counts(texts, words), "keys")
-    keyed = made.where("chunk is null").select("id", "n", "key")
-    total = keyed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    classes = spark.sparkContext.broadcast(_classes(made.where("chunk is not null").select("chunk", "counts"), total).tobytes())
-    lists = _lists(texts, classes, words, percent, ranges)
+    bits = min(20, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()))
+    made = saved(_sets_and_shingles(texts, words, bits), "keys")
+    keyed = made.where("range is null").select("id", "n", "key")
+    table = _classes(made.where("range is not null").select("range", "packed"), bits)
+    classes = spark.sparkContext.broadcast(table.tobytes())
+    lists = _lists(texts, classes, words, percent, bits)
     comp = spark.createDataFrame([], "key long, comp long")
     if not lists.isEmpty():
         sets = _sets_of(texts, lists.select("key").distinct(), words)
