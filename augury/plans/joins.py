@@ -65,11 +65,11 @@ def lateral_topk_class(spark, d):
     return R.first_per_key(s, ["vec_id"], [F.desc("s"), F.col("class")], 3, "rank").select("vec_id", "class", "rank")
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.6""")
+@query("""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4""")
 def near_duplicate_pairs(spark, d):
     e = t(spark, d, "embeddings")
     a, b = (e.select("label", F.col("vec_id").alias(k), F.col("embedding").alias(f"v{k}")) for k in "ab")
-    return a.join(b, "label").where("a < b").where(cosine("va", "vb") >= 0.6).select("a", "b")
+    return a.join(b, "label").where("a < b").where(cosine("va", "vb") >= 0.4).select("a", "b")
 
 
 @query("""SELECT e.event_id, (SELECT arg_max(p.value, (p.ts, p.event_id)) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts - INTERVAL 24 HOUR) AS value_before FROM events e WHERE e.event_type = 'error'""")

@@ -88,9 +88,9 @@ def semi_exists(spark, d):
     return t(spark, d, "customer").join(big, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("""SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)""")
 def anti_not_exists(spark, d):
-    return t(spark, d, "customer").join(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
+    return t(spark, d, "customer").join(t(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
 
 
 @query("""SELECT s_suppkey FROM supplier WHERE s_nationkey IS NULL OR s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -900 AND c_nationkey IS NOT NULL)""")
@@ -266,7 +266,7 @@ def weighted_source_report(spark, d):
 
 @query("""SELECT year(o_orderdate)::INT AS y, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, round(count(*) FILTER (WHERE o_orderstatus = 'F') / nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0), 6) AS r FROM orders GROUP BY ALL""")
 def pivot_event_ratio(spark, d):
-    p = t(spark, d, "orders").groupBy(F.year("o_orderdate").alias("y")).pivot("o_orderstatus", ["F", "O"]).agg(F.count("*")).na.fill(0)
+    p = t(spark, d, "orders").groupBy(F.year("o_orderdate").alias("y")).pivot("o_orderstatus", ["F", "O"]).agg(F.count(F.lit(1))).na.fill(0)
     return p.select("y", F.col("F").alias("f"), F.col("O").alias("o"), F.round(ratio("F", "O"), 6).alias("r"))
 
 
