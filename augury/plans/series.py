@@ -80,7 +80,7 @@ def onset_month(spark, d):
     return S.onset(monthly(spark, d), ["k"], "m", "n")
 
 
-_SHARES = "SELECT p_brand AS k, year(l_shipdate)::INT AS y, count(*) / sum(count(*)) OVER (PARTITION BY year(l_shipdate)) AS share FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"
+_SHARES = "SELECT k, y, n / sum(n) OVER (PARTITION BY y) AS share FROM (SELECT p_brand AS k, year(l_shipdate)::INT AS y, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
 
 
 def shares(spark, d):
