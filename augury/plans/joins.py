@@ -79,7 +79,7 @@ def asof_latest_sample(spark, d):
     return R.asof_latest(e.where("event_type = 'error'").select("event_id", "ts", "user_id"), held, "user_id", "ts", "value", "value_before").select("event_id", "value_before")
 
 
-@query("""WITH s AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS a, epoch(ts)::BIGINT + 3600 AS b FROM events WHERE event_type = 'purchase')
+@query("""WITH s AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS a, floor(epoch(ts))::BIGINT + 3600 AS b FROM events WHERE event_type = 'purchase')
 SELECT x.event_id AS x, y.event_id AS y FROM s x JOIN s y ON x.user_id = y.user_id AND x.event_id < y.event_id AND x.a < y.b AND y.a < x.b""")
 def interval_overlap(spark, d):
     s = t(spark, d, "events").where("event_type = 'purchase'").select("user_id", "event_id", epoch_seconds("ts").alias("a"))

@@ -42,7 +42,7 @@ def cascade_resolution(spark, d):
     return V.cascade(c, "c_custkey", stages)
 
 
-_STORY = """o AS (SELECT o_orderkey AS id, o_custkey AS k, epoch(o_orderdate)::BIGINT // 86400 AS day FROM orders), e AS (SELECT a.id AS u, b.id AS v FROM o a JOIN o b ON a.k = b.k AND a.id <> b.id AND abs(a.day - b.day) <= 30)"""
+_STORY = """o AS (SELECT o_orderkey AS id, o_custkey AS k, floor(epoch(o_orderdate))::BIGINT // 86400 AS day FROM orders), e AS (SELECT a.id AS u, b.id AS v FROM o a JOIN o b ON a.k = b.k AND a.id <> b.id AND abs(a.day - b.day) <= 30)"""
 
 
 @query(f"""WITH RECURSIVE {_STORY}, r AS (SELECT u, u AS c FROM e UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.u) SELECT u AS node, min(c) AS component FROM r GROUP BY u""")
