@@ -53,6 +53,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def crc32_mod(id_col: str, n: int):
     """crc32 of the id as text, modulo n: the fold of a row."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(n)

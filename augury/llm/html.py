@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices
+from .common import saved, slices, unused
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -218,9 +218,10 @@ def extract_pages(pages: DataFrame, *, url_col: str = "url", html_col: str = "ht
     winners = saved(host_paths(pages, url_col=url_col, html_col=html_col), "host-paths")
     n_bytes = winners.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("winner") + 32), F.lit(0))).first()[0]
     keep = [c for c in pages.columns if c not in (html_col, out_col)]
-    given = pages.select(*(F.col(f"`{c}`") for c in keep), F.col(html_col).alias("_html"), host_of(url_col).alias("_host"))
-    told = winners.select(F.col("host").alias("_host"), F.col("winner").alias("_winner"))
-    given = given.join(F.broadcast(told) if n_bytes <= broadcast_bytes else told, "_host", "left").select(*(F.col(f"`{c}`") for c in keep), "_html", "_winner")
+    page, host, won = (unused(pages, n) for n in ("_html", "_host", "_winner"))
+    given = pages.select(*(F.col(f"`{c}`") for c in keep), F.col(html_col).alias(page), host_of(url_col).alias(host))
+    told = winners.select(F.col("host").alias(host), F.col("winner").alias(won))
+    given = given.join(F.broadcast(told) if n_bytes <= broadcast_bytes else told, host, "left").select(*(F.col(f"`{c}`") for c in keep), page, won)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-2]), f"`{out_col}` string"])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

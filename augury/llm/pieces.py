@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, unused
 
 MARK = "▁"
 #: Entries of the table in one Python worker; beyond it starts anew (memory, not results).
@@ -75,7 +75,7 @@ def encode_decode(df: DataFrame, model: str, *, text_col: str = "text", ids_col:
                   decoded_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all but the text, unless given) with the ids of the whole text and what they decode to."""
     keep = [c for c in (keep or df.columns) if c not in (text_col, ids_col, decoded_col)]
-    given = df.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    given = df.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(text_col), F.lit("")).alias(unused(df, "_text")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]),
                         f"`{ids_col}` array<int>", f"`{decoded_col}` string"])
 

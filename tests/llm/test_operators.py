@@ -1,0 +1,321 @@
+"""The training-data operators on small fixtures: brute force, exact round trips, edge cases.
+
+Every operator meets: null, empty and white-space texts, a long text, ties, repeated rows and ids, an empty
+table, and extra columns whose names it uses itself.
+"""
+
+import hashlib
+import itertools
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from augury.llm import ann, chat, decontam, html, jaccard, pieces, quality, sharding, token_counts, toxicity
+from augury.llm.common import crc32_mod, fresh_path
+from augury.llm.queries import BYTE_BPE, PIECE_BPE
+
+ODD = [None, "", " ", "  two  spaces ", "a", "one two three four", "tab\tand\nlines\n", "Ünïcödé ß ▁ mark 中文 🙂", "<|endoftext|> </s>", "x" * 3000, "word " * 4000]
+SCHEMA = "doc_id long, text string, score string, _text string, ids int, n string, key string, size int, hits int"
+
+
+def table(spark, texts, schema=SCHEMA):
+    return spark.createDataFrame([(i, t, "s", "t", 1, "n", "k", 2, 3) for i, t in enumerate(texts)], schema)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = table(spark, ODD)
+    return df.unionByName(df.where("doc_id in (0, 5)"))  # repeated rows
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return table(spark, [])
+
+
+def test_token_counts(spark, odd, nothing):
+    from tokenizers import Tokenizer
+
+    t, cache = Tokenizer.from_file(BYTE_BPE), fresh_path(spark, "cache")
+    want = {i: len(e.ids) for i, e in enumerate(t.encode_batch([x or "" for x in ODD], add_special_tokens=False))}
+    got = token_counts.count_tokens(odd, BYTE_BPE, cache).collect()
+    assert len(got) == len(ODD) + 2 and all(r["n_tokens"] == want[r["doc_id"]] and r["n_bytes"] == len((ODD[r["doc_id"]] or "").encode()) for r in got)
+    stored = token_counts.read_cache(spark, cache, token_counts.tokenizer_digest(BYTE_BPE))
+    n = stored.count()
+    assert n == len({x or "" for x in ODD})  # each distinct text once
+    again = token_counts.count_tokens(odd, BYTE_BPE, cache)
+    assert {(r["doc_id"], r["n_tokens"]) for r in again.collect()} == set(want.items())
+    assert token_counts.read_cache(spark, cache, token_counts.tokenizer_digest(BYTE_BPE)).count() == n  # nothing was encoded anew
+    assert token_counts.count_tokens(nothing, BYTE_BPE, fresh_path(spark, "cache")).count() == 0
+
+
+def test_chunks_count_like_whole_texts():
+    from tokenizers import Tokenizer
+
+    t, rng = Tokenizer.from_file(BYTE_BPE), random.Random(4)
+    texts = ["".join(rng.choice(" \n\tab'1!é中　\xa0\x1c🙂᠎") for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    assert token_counts.ChunkCounter(BYTE_BPE)(texts) == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pieces(spark, odd, nothing):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    got = pieces.encode_decode(odd, PIECE_BPE).collect()
+    assert len(got) == len(ODD) + 2 and got[0]["score"] == "s"
+    for r in got:
+        ids = sp.encode(ODD[r["doc_id"]] or "")
+        assert r["ids"] == ids and r["decoded"] == sp.decode(ids)
+    assert pieces.encode_decode(nothing, PIECE_BPE).count() == 0
+
+
+def test_pieces_random():
+    import numpy as np
+    import sentencepiece
+
+    sp, rng = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE), random.Random(9)
+    texts = ["".join(rng.choice("  ab▁.\né中🙂　") for _ in range(rng.randint(0, 20))) for _ in range(1500)]
+    ids, decoded = pieces.PieceTable(PIECE_BPE)(texts)
+    assert [np.frombuffer(b, np.int32).tolist() for b in ids] == sp.encode(texts) and decoded == sp.decode(sp.encode(texts))
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng, rows, labels = random.Random(1), [], []
+    for i in range(240):
+        text, toxic, good = words(rng, 40), i % 3 == 0, i % 4 != 0
+        if not good:
+            text = " ".join(f"{w}***" for w in text.split()) if i % 8 else "same " * 40
+        if toxic:
+            text = text.replace(" ", f" {rng.choice(['idiot', 'moron', 'stupid'])} ", 1)
+        rows.append((i, text))
+        labels.append((i, int(good), int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality(spark, labelled, odd, nothing):
+    docs, labels = labelled
+    held = crc32_mod("doc_id", 3) == 1
+    model = quality.fit(docs, labels, ~held)
+    got = quality.score_texts(docs, model).join(labels, "doc_id").where(held).collect()
+    assert sum((r["score"] >= 0.5) == (r["quality"] == 1) for r in got) >= 0.95 * len(got) > 0
+    scores = {r["doc_id"]: r["score"] for r in quality.score_texts(odd, model).collect()}
+    assert len(scores) == len(ODD) and all(0 <= s <= 1 for s in scores.values()) and scores[0] == scores[1] == scores[2]
+    assert quality.score_texts(nothing, model).count() == 0
+    alone = quality.fit(docs, labels.where("quality = 1"), F.lit(True))
+    assert all(r["score"] > 0.99 for r in quality.score_texts(odd, alone).collect())
+    assert quality.fit(docs, labels.where("false"), F.lit(True)).bias > 5
+
+
+def test_toxicity(spark, labelled, odd, nothing):
+    docs, labels = labelled
+    held = crc32_mod("doc_id", 5) == 0
+    model = toxicity.fit(docs, labels, ~held)
+    got = toxicity.score_texts(docs, model).join(labels, "doc_id").where(held).collect()
+    assert sum((r["score"] >= 0.5) == (r["toxic"] == 1) for r in got) >= 0.95 * len(got) > 0
+    hidden = ["an 1d10t here", "an i d i o t here", "such a m0r0n", "stuuuupid", "st*pid", "$tup1d", "id-iot", "m.o.r.o.n"]
+    plain = ["clean words here", "onre*** thing&&&", "call 1234 or 5678", "THE!! END!!", None, ""]
+    scores = [r["score"] for r in toxicity.score_texts(table(spark, hidden + plain), model).orderBy("doc_id").collect()]
+    assert all(s >= 0.5 for s in scores[: len(hidden)]), list(zip(hidden, scores))
+    assert all(s < 0.5 for s in scores[len(hidden):]), scores
+    restored = [r["restored"] for r in toxicity.restore_texts(table(spark, hidden[:3]), model).orderBy("doc_id").collect()]
+    assert "idiot" in restored[0] and "idiot" in restored[1] and "moron" in restored[2]
+    assert toxicity.score_texts(odd, model).count() == len(ODD) + 2 and toxicity.score_texts(nothing, model).count() == 0
+    assert all(r["score"] < 0.01 for r in toxicity.score_texts(odd, toxicity.fit(docs, labels.where("false"), F.lit(True))).collect())
+
+
+def test_best_fit_decreasing_is_the_plain_one():
+    rng = random.Random(2)
+    for _ in range(60):
+        sizes, cap = [rng.randint(1, 40) for _ in range(rng.randint(0, 60))], rng.randint(40, 90)
+        bins: list[int] = []
+        for s in sorted(sizes, reverse=True):
+            fits = [(r, i) for i, r in enumerate(bins) if r >= s]
+            if fits:
+                bins[min(fits)[1]] -= s
+            else:
+                bins.append(cap - s)
+        runs = sharding.pack(list({s: sizes.count(s) for s in sizes}.items()), cap)
+        assert len({b for *_, b in runs}) == len(bins) and sum(n for _, n, _ in runs) == len(sizes)
+        used = [sum(s * n for s, n, b in runs if b == i) for i in range(len(bins))]
+        assert sorted(cap - u for u in used) == sorted(bins)
+
+
+def test_sharding(spark, nothing):
+    rng = random.Random(5)
+    texts = [*ODD, *(words(rng, rng.randint(1, 60)) for _ in range(150)), *(["copied text here"] * 40)]
+    got = sharding.shard_groups(table(spark, texts), shards=8).collect()
+    assert len(got) == len(texts)
+    of = {}
+    for r in got:
+        t = texts[r["doc_id"]] or ""
+        assert r["size"] == len(t.encode()) + 1 and r["text_crc32"] == zlib.crc32(t.encode())
+        assert of.setdefault(t, r["shard"]) == r["shard"]
+    for s in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    assert {r["shard"] for r in got} <= set(range(8))
+    few = sharding.shard_groups(table(spark, ["a" * 9] * 2 + ["b" * 19, "c" * 9]), capacity=30).collect()
+    assert len({r["shard"] for r in few}) == 2
+    assert sharding.shard_groups(nothing, shards=8).count() == 0
+
+
+def test_nearest_neighbours(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (900, 12)).round(3)
+    x[50:60] = x[5]  # equal vectors: ties by id
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5, [float(v) for v in x[5]]), (2000, None), (2001, [0.0] * 12), (2002, [float("nan")] * 12), (2003, [None] * 12), (2004, [1.0, 2.0]), (None, [1.0] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    got = ann.nearest(df, F.col("vec_id") % 5 == 0, shard_rows=300, query_rows=50).collect()
+    hit = total = 0
+    for q in range(0, 900, 5):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [i for i in np.lexsort((np.arange(900), d)) if i != q][:10]
+        have = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [h[0] for h in have] == list(range(1, 11)) and all(h[2] == d[h[1]] for h in have)
+        assert [(h[2], h[1]) for h in have] == sorted((h[2], h[1]) for h in have)
+        hit, total = hit + len(set(want) & {h[1] for h in have}), total + 10
+    assert hit / total >= 0.95
+    assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == 5), key=lambda r: r["rank"])] == list(range(50, 60))
+    assert not [r for r in got if r["query_id"] in (2000, 2001, 2002, 2003)]
+    few = ann.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0)
+    assert few.count() == 3 and ann.nearest(df.where("false"), F.lit(True)).count() == 0
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute_components(texts):
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("frequent", [jaccard.FREQUENT, 2])
+def test_jaccard_join(spark, monkeypatch, frequent):
+    """With the low bound for frequent shingles nearly all signatures are pairs."""
+    import numpy as np
+
+    rng = random.Random(11)
+    base = [words(rng, rng.randint(5, 90)) for _ in range(25)]
+    common = words(rng, 30)
+    texts = list(ODD)
+    for b in base:
+        for _ in range(rng.randint(1, 9)):
+            w = b.split()
+            for _ in range(rng.randint(0, max(1, len(w) // 14))):
+                w[rng.randrange(len(w))] = words(rng, 1)
+            texts.append(" ".join(w))
+    texts += [common + " " + words(rng, n) for n in range(0, 24)] + ["ONE two Three four", "one\ttwo three  four"]
+    want = brute_components(texts)
+    if frequent != jaccard.FREQUENT:  # executors read the constant themselves: the scheme is checked on its functions
+        monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+        sh = jaccard.Shingler()
+        sets = [s for s in sh([t or "" for t in texts])]
+        table_, bits = np.zeros(jaccard.CELLS, np.uint8), 8
+        x, c = np.unique(np.concatenate(sets), return_counts=True)
+        np.maximum.at(table_, jaccard.cells(*jaccard.cut(x, bits), bits), (2 * np.log2(c)).astype(np.uint8))
+        signed = [[set(p.tolist()) for p in jaccard.signatures(s, table_, 75, bits)] if len(s) else [set(), set()] for s in sets]
+        assert sum(len(s[1]) for s in signed) > 100
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if a and b and a != b and 100 * len(a & b) >= 75 * len(a | b):
+                assert signed[i][0] & signed[j][0] or signed[i][1] & signed[j][1], (i, j)
+        return
+    df = table(spark, texts)
+    got = jaccard.link_components(df.unionByName(df.where("doc_id = 5"))).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        assert (r["n_shingles"], r["component_id"]) == (len(shingles(texts[r["doc_id"]])), want[r["doc_id"]])
+    assert jaccard.link_components(table(spark, [])).count() == 0
+    assert jaccard.link_components(table(spark, ["", None])).count() == 2
+
+
+def test_quotes(spark):
+    rows = [(1, 0, "user", "Hello there\nhow are you"), (1, 1, "assistant", "> Hello   THERE\n> how are you\nfine"), (1, 2, "user", "> fine\n>> how are you\n> not said\ngood"), (1, 3, "user", "no quote"),
+            (2, 0, "user", "> Hello there\nnew"), (1, 1, "assistant", "> Hello   THERE\n> how are you\nfine"), (3, 0, None, None), (None, 0, "user", "x"), (1, None, "user", "> no quote")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("hash", F.lit(1)).withColumn("m", F.lit(2))
+    got = {(r["conv_id"], r["turn"]): r for r in chat.link_quotes(df).collect()}
+    assert len(got) == 8
+    assert (got[1, 1]["text"], got[1, 1]["parent_turn"], got[1, 1]["n_quoted"], got[1, 1]["n_linked"]) == ("fine", 0, 1, 1)
+    assert (got[1, 2]["text"], got[1, 2]["parent_turn"], got[1, 2]["n_quoted"], got[1, 2]["n_linked"], got[1, 2]["max_level"]) == ("good", 1, 3, 2, 2)
+    assert got[2, 0]["parent_turn"] is None and got[3, 0]["text"] == "" and got[1, None]["parent_turn"] is None
+    assert [got[1, t]["reply_pos"] for t in (None, 0, 1, 2, 3)] == [0, 1, 2, 3, 4]
+    assert chat.link_quotes(df.where("false")).count() == 0
+
+
+PAGE = """<html><body><div id="header">Site</div><nav>menu</nav><div class="wrap w2"><div class="sidebar-1">x <a href=#>links</a></div><div class="post-{n}"><h2>Title &amp; more</h2>
+<p>One <i>two</i>\nthree&nbsp;four and enough text to be the main part of it</p><ul><li>a<li>b</ul><form><input>no</form><script>var t="</p>";</script><p>tail<br>line</div><div class="comments"><p>me too</p></div></div><div class=footer>c</div></body>"""
+
+
+def test_html(spark):
+    long = "<div>" * 400 + "<p>deep</p>" + "</div>" * 400
+    pages = [PAGE.replace("{n}", str(i)) for i in range(5)] + [None, "", "plain text", "<p>cut <b", "<article><p>only</article>", long, "<script>never closed"]
+    rows = [(i, f"https://a.example/{i}" if i < 5 else None, p) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("h"))
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(df).collect()}
+    want = "Title & more\nOne two three four and enough text to be the main part of it\na\nb\ntail line"
+    assert all(got[i] == want for i in range(5)) and got[5] == got[6] == got[11] == "" and got[9] == "only" and got[10] == "deep" and got[7] == "plain text"
+    joined = html.extract_pages(df, broadcast_bytes=-1)  # winners too large to broadcast
+    assert {r["page_id"]: r["text"] for r in joined.collect()} == got
+    assert html.extract_pages(df.where("false")).count() == 0
+
+
+def brute_hits(doc, items, window=10):
+    import re
+
+    cut = lambda t: [w for w in re.split("[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    w, hit, found = cut(doc), set(), set()
+    for i, text in items:
+        x = cut(text)
+        n = min(window, len(x))
+        wins = {tuple(x[s:s + n]) for s in range(len(x) - n + 1)} if x else set()
+        for s in range(len(w) - n + 1):
+            if tuple(w[s:s + n]) in wins:
+                hit.update(range(s, s + n))
+                found.add(str(i))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_decontamination(spark, limit):
+    rng = random.Random(3)
+    vocabulary = words(rng, 30).split() + ["École", "ÉCOLE", "Two-Part"]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, say(rng.choice([1, 3, 9, 10, 11, 25]))) for i in range(12)] + [(50, None), (51, ""), (52, "...")]
+    items += [(60, items[5][1]), (5, items[5][1])]
+    docs = [*ODD, *(say(rng.randint(0, 60)) for _ in range(25))]
+    docs += [f"{say(4)}! {t.upper() if t.isascii() else t}, {say(3)}" for _, t in items if t]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1))
+    df = table(spark, docs)
+    got = decontam.find_windows(df.unionByName(df.where("doc_id = 5")), bench, broadcast_bytes=limit).collect()
+    assert len(got) == len(docs) + 1
+    for r in got:
+        assert (r["n_words"], r["n_hit"], r["items"]) == brute_hits(docs[r["doc_id"]], items), docs[r["doc_id"]]
+    assert decontam.find_windows(df.where("false"), bench, broadcast_bytes=limit).count() == 0
+    assert decontam.find_windows(df, bench.where("false"), broadcast_bytes=limit).where("n_hit > 0").count() == 0
+
+
+def test_digest_query_columns(spark):
+    from augury.llm.queries import piece_digests
+
+    r = piece_digests(table(spark, [None]).select("doc_id", "text")).first()
+    assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest())
