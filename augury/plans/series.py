@@ -195,9 +195,9 @@ def log_log_fit(spark, d):
     return x.agg(F.count("*").alias("n"), F.round(F.regr_intercept("b", "a"), 4).alias("intercept"), F.round(F.regr_slope("b", "a"), 4).alias("slope"), F.round(F.corr("a", "b"), 4).alias("r"))
 
 
-@query("""WITH s AS (SELECT s_nationkey AS k, rank() OVER (ORDER BY sum(s_acctbal)) AS a, rank() OVER (ORDER BY count(*)) + (count(*) OVER (PARTITION BY count(*)) - 1) / 2.0 AS b FROM supplier GROUP BY s_nationkey) SELECT round(corr(a, b), 4) AS rho FROM s""")
+@query("""WITH s AS (SELECT c_nationkey AS k, rank() OVER (ORDER BY sum(c_acctbal)) AS a, rank() OVER (ORDER BY count(*)) + (count(*) OVER (PARTITION BY count(*)) - 1) / 2.0 AS b FROM customer GROUP BY c_nationkey) SELECT round(corr(a, b), 4) AS rho FROM s""")
 def spearman(spark, d):
-    g = t(spark, d, "supplier").groupBy("s_nationkey").agg(F.sum("s_acctbal").alias("v"), F.count("*").alias("n"))
+    g = t(spark, d, "customer").groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("v"), F.count("*").alias("n"))
     # ranks over 25 nations at most; ties share the middle rank
     r = g.withColumns({"a": F.rank().over(W.orderBy("v")), "b": F.rank().over(W.orderBy("n")) + (F.count("*").over(W.partitionBy("n")) - 1) / 2})
     return r.agg(F.round(F.corr(F.col("a").cast("double"), F.col("b")), 4).alias("rho"))
