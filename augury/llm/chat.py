@@ -8,12 +8,14 @@ whole is sought line by line. A message answers the latest earlier message that
 quotes. Messages come back without quotes and in reply order: by turn, so that each stands behind the message
 it answers.
 
-Scale: each (conversation, hash) keeps only its first turn before the join, so the join is one row to each
-quote and no two messages are paired; a hot hash or conversation is split by AQE. Positions in a conversation
-are counted in two levels, by blocks of 256 turns, so a very long conversation needs no single task.
+Scale: a message is taken apart inside its own row, and its text moves twice: to drop repeated rows, and to meet
+its result. What the joins move are hashes. Each (conversation, hash) keeps only its first turn before the join,
+so the join is one row to each quote and no two messages are paired; a hot hash or conversation is split by AQE.
+Positions in a conversation are counted in two levels, by blocks of 256 turns, so a very long conversation needs
+no single task.
 
 Rows: repeated rows are one message; null text is an empty message that quotes nothing; null conversation ids
-or turns link to nothing but are kept; ties in turn follow role and text; other columns are ignored.
+or turns link to nothing but are kept; ties in turn follow role and the md5 of the text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from __future__ import annotations
 import string
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import saved
 from .sharding import rank_within
 
 _MARKS = r"^((?:[ \t]*>)*)"
@@ -34,38 +36,56 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), _SPACE, " "))
 
 
-def _hashes(df: DataFrame, text: Column, *cols: str | Column) -> DataFrame:
-    return df.select(*cols, normalised(text).alias("_t")).where("_t <> ''").withColumn("hash", F.sha2("_t", 256)).drop("_t")
+def _hash(text: Column) -> Column:
+    """Of normalised text; null where nothing is left of it."""
+    t = normalised(text)
+    return F.when(t != "", F.unhex(F.md5(t)))
+
+
+def _parsed(text: Column) -> Column:
+    """Lines as (level, line)."""
+
+    def line(x: Column) -> Column:
+        marks = F.regexp_extract(x, _MARKS, 1)
+        return F.struct(F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), F.regexp_replace(x, _MARKS, "").alias("line"))
+
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line)
+
+
+def _passages(lines: Column) -> Column:
+    """Runs of lines of one level: (level, lines)."""
+    n = F.size(lines)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"]))
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(n))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(lines, a)["level"].alias("level"), F.transform(F.slice(lines, a + 1, b - a), lambda x: x["line"]).alias("lines")))
 
 
 def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``conv, turn, role, text (without quotes), n_quoted, n_linked, max_level, parent_turn, reply_pos``."""
-    told = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("raw")).distinct()
-    told = told.withColumn("m", F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "raw")), 256))
-    lines = told.select("m", "conv_id", "turn", F.posexplode(F.split(F.coalesce("raw", F.lit("")), "\n")).alias("at", "line"))
-    marks = F.regexp_extract("line", _MARKS, 1)
-    lines = lines.select("m", "conv_id", "turn", "at", F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), F.regexp_replace("line", _MARKS, "").alias("line"))
-    inside = W.partitionBy("m").orderBy("at")  # the lines of one message
-    lines = lines.withColumn("new", F.coalesce((F.col("level") != F.lag("level").over(inside)).cast("int"), F.lit(1)))
-    lines = lines.withColumn("passage", F.sum("new").over(inside)).drop("new")
-
-    def joined(keys: list[str], where: str, sep: str) -> DataFrame:
-        listed = F.array_sort(F.collect_list(F.struct("at", "line")))
-        return lines.where(where).groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["line"]), sep).alias("told"))
-
-    keys = ["m", "conv_id", "turn"]
-    own, passages = joined(keys, "level = 0", "\n"), joined([*keys, "passage", "level"], "true", " ")
-    source = _hashes(own, F.col("told"), "conv_id", "turn").unionByName(_hashes(passages.where("level = 0"), F.col("told"), "conv_id", "turn")).unionByName(_hashes(lines.where("level = 0"), F.col("line"), "conv_id", "turn"))
-    first = source.groupBy("conv_id", "hash").agg(F.min("turn").alias("source_turn"))
-    quotes = [*keys, "passage", "level"]
-    units = _hashes(passages.where("level > 0"), F.col("told"), *quotes, F.lit(0).alias("part")).unionByName(_hashes(lines.where("level > 0"), F.col("line"), *quotes, F.lit(1).alias("part")))
-    links = units.join(first, ["conv_id", "hash"]).where("source_turn < turn")
+    """``conv_id, turn, role, text (without quotes), n_quoted, n_linked, max_level, parent_turn, reply_pos``."""
+    told = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("raw"))
+    told = told.withColumn("m", F.unhex(F.sha2(F.to_json(F.struct("conv_id", "turn", "role", "raw")), 256))).dropDuplicates(["m"])
+    parsed = told.withColumn("lines", _parsed(F.col("raw"))).withColumn("passages", _passages(F.col("lines")))
+    mine = lambda xs: F.filter(xs, lambda x: x["level"] == 0)
+    joined = lambda x: F.array_join(x["lines"], " ")
+    own = F.array_join(F.transform(mine(F.col("lines")), lambda x: x["line"]), "\n")
+    sources = F.concat(F.array(_hash(own)), F.transform(mine(F.col("passages")), lambda x: _hash(joined(x))), F.transform(mine(F.col("lines")), lambda x: _hash(x["line"])))
+
+    def units(x: Column, i: Column) -> Column:
+        unit = lambda part, h: F.struct(i.alias("passage"), x["level"].alias("level"), F.lit(part).alias("part"), h.alias("hash"))
+        return F.when(x["level"] > 0, F.concat(F.array(unit(0, _hash(joined(x)))), F.transform(x["lines"], lambda y: unit(1, _hash(y)))))
+
+    quoted = F.filter("passages", lambda x: x["level"] > 0)
+    made = saved(parsed.select(
+        "m", "conv_id", "turn", "role", F.trim(own).alias("text"), F.md5(F.trim(own)).alias("text_md5"), F.array_distinct(F.filter(sources, lambda h: h.isNotNull())).alias("sources"),
+        F.flatten(F.filter(F.transform("passages", units), lambda u: u.isNotNull())).alias("units"), F.size(quoted).cast("long").alias("n_quoted"),
+        F.coalesce(F.array_max(F.transform(quoted, lambda x: x["level"])), F.lit(0)).alias("max_level")), "messages")
+    first = made.select("conv_id", "turn", F.explode("sources").alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("source_turn"))
+    links = made.where("n_quoted > 0").select("m", "conv_id", "turn", F.inline("units")).where("hash is not null").join(first, ["conv_id", "hash"]).where("source_turn < turn")
     # a passage counts as a whole if it links as one, else by its lines
     best = links.groupBy("m", "passage", "level", "part").agg(F.max("source_turn").alias("source_turn")).groupBy("m", "passage", "level").agg(F.min(F.struct("part", "source_turn")).alias("b"))
     linked = best.groupBy("m", "level").agg(F.max("b.source_turn").alias("source_turn"), F.count("*").alias("n")).groupBy("m").agg(F.min(F.struct("level", "source_turn")).alias("b"), F.sum("n").alias("n_linked"))
-    quoted = passages.where("level > 0").groupBy("m").agg(F.count("*").alias("n_quoted"), F.max("level").alias("max_level"))
-    out = (told.join(own.select("m", F.trim(F.col("told")).alias("text")), "m", "left").join(quoted, "m", "left").join(linked, "m", "left")
-           .select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-                   F.coalesce("max_level", F.lit(0)).cast("int").alias("max_level"), F.col("b.source_turn").alias("parent_turn")))
-    order = [F.col("turn"), F.col("role"), F.col("text")]
-    return rank_within(out, ["conv_id"], order, F.floor(F.col("turn") / 256), "reply_pos").withColumn("reply_pos", F.col("reply_pos").cast("long"))
+    order = [F.col("turn"), F.col("role"), F.col("text_md5")]
+    placed = rank_within(made.select("m", "conv_id", "turn", "role", "text_md5"), ["conv_id"], order, F.floor(F.col("turn") / 256), "reply_pos")
+    facts = placed.select("m", F.col("reply_pos").cast("long").alias("reply_pos")).join(linked, "m", "left")
+    out = made.join(facts, "m")
+    return out.select("conv_id", "turn", "role", "text", "n_quoted", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "max_level", F.col("b.source_turn").alias("parent_turn"), "reply_pos")

@@ -96,7 +96,7 @@ best AS (SELECT m, passage, level, arg_min(source_turn, part) AS source_turn FRO
 linked AS (SELECT m, arg_min(source_turn, level) AS parent_turn, sum(n) AS n_linked FROM (SELECT m, level, max(source_turn) AS source_turn, count(*) AS n FROM best GROUP BY ALL) GROUP BY m),
 quoted AS (SELECT m, count(*) AS n_quoted, max(level) AS max_level FROM passages WHERE level > 0 GROUP BY m)
 SELECT t.conv_id, t.turn, t.role, coalesce(trim(o.told), '') AS text, coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked, coalesce(max_level, 0)::INT AS max_level, parent_turn,
-  (row_number() OVER (PARTITION BY t.conv_id ORDER BY t.turn, t.role, coalesce(trim(o.told), '')) - 1)::BIGINT AS reply_pos
+  (row_number() OVER (PARTITION BY t.conv_id ORDER BY t.turn, t.role, md5(coalesce(trim(o.told), ''))) - 1)::BIGINT AS reply_pos
 FROM told t LEFT JOIN own o ON o.m = t.m LEFT JOIN quoted q ON q.m = t.m LEFT JOIN linked l ON l.m = t.m
 """,
     "op7_jaccard_join": r"""
