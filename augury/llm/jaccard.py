@@ -17,8 +17,9 @@ and words, which are ordered last, meet only where most of a text is made of the
 
 Sets that share a signature are a list; lists with the same members are one. Lists are first verified against
 one member each (so a group of thousands of near copies costs thousands of comparisons), links are contracted
-to components, and this repeats with other members; then all pairs of a list that still lie in different
-components are verified. Pairs inside a component need no check, so the components are exact. Verification
+to components, and this repeats with other members while it finds links; then (at once, where lists are short) all
+pairs of a list that still lie in different components are verified. Pairs inside a component need no check, so
+the components are exact. Verification
 counts the common shingles of whole sets.
 
 Scale: texts are read three times and never shuffled. For counting, shingles travel as 32-bit remainders of
@@ -383,29 +384,33 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comp = spark.createDataFrame([], "key long, comp long")
     if not lists.isEmpty():
         sets = _sets_of(texts, lists.select("key").distinct(), words)
-        links, tried = spark.createDataFrame([], "a long, b long"), None
-        for turn in range(STAR_ROUNDS + 1):
+        links, tried, exact, turn = spark.createDataFrame([], "a long, b long"), None, False, 0
+        while True:
             open_ = lists.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key")) if turn else lists.withColumn("comp", F.col("key"))
-            many = open_.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "comp")).alias("c")).where("lo < hi")
-            if turn:
-                many = saved(many, "open")
-                if many.isEmpty():
-                    break
-            if turn < STAR_ROUNDS:
-                pairs = open_.join(many.select("sig", "c"), "sig").where("comp <> c.comp").where(_compatible("n", "c.n", percent)).selectExpr("least(key, c.key) a", "greatest(key, c.key) b").distinct()
-            else:  # whatever is left, exactly
+            centre = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "comp")).alias("c")
+            many = saved(open_.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), centre, F.count("*").alias("m")).where("lo < hi"), "open")
+            members, all_pairs = many.agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
+            if not members:
+                break
+            exact = exact or turn >= STAR_ROUNDS or all_pairs <= 4 * members
+            if exact:  # all pairs that are left
                 rest = open_.join(many.select("sig"), "sig", "left_semi")
                 other = rest.selectExpr("sig", "key key2", "n n2", "comp comp2")
                 pairs = rest.join(other, "sig").where("key < key2 and comp <> comp2").where(_compatible("n", "n2", percent)).selectExpr("key a", "key2 b").distinct()
+            else:
+                pairs = open_.join(many.select("sig", "c"), "sig").where("comp <> c.comp").where(_compatible("n", "c.n", percent)).selectExpr("least(key, c.key) a", "greatest(key, c.key) b").distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = saved(pairs, "pairs")
             tried = pairs if tried is None else tried.unionByName(pairs)
             found = saved(_verify(pairs, sets, percent), "links")
-            if found.isEmpty():
-                continue
-            links = links.unionByName(found)
-            comp = saved(components(links), "components")
+            linked = not found.isEmpty()
+            if linked:
+                links = links.unionByName(found)
+                comp = saved(components(links), "components")
+            if exact:
+                break
+            exact, turn = not linked, turn + 1
     lowest = keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("id"))
     placed = lowest.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     names = placed.groupBy("comp").agg(F.min("id").alias("component_id"))
