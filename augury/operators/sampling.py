@@ -1,0 +1,35 @@
+"""Deterministic samples: hashes order rows, small allocation tables decide how many."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from augury.functions.scores import knuth_bucket
+
+SPACE = 1 << 32
+
+
+def bernoulli(df: DataFrame, id_col: str, share: float) -> DataFrame:
+    """Rows whose hashed id lies under the share: the same rows each time, with no shuffle."""
+    return df.where(knuth_bucket(id_col, SPACE) < int(share * SPACE))
+
+
+def equal_allocation(counts: dict[str, int], n: int) -> dict[str, int]:
+    """n split evenly over strata; what small strata cannot fill goes to the others."""
+    left, out = dict(counts), {k: 0 for k in counts}
+    while n > 0 and (open_ := sorted(k for k, c in left.items() if c > 0)):
+        share = max(1, n // len(open_))
+        for k in open_:
+            take = min(share, left[k], n)
+            out[k], left[k], n = out[k] + take, left[k] - take, n - take
+    return out
+
+
+def stratified(df: DataFrame, stratum: str, id_col: str, n: int) -> DataFrame:
+    """About equal numbers of each stratum, hash-ordered. One small count table reaches the driver."""
+    counts = {r[stratum]: r["n"] for r in df.groupBy(stratum).agg(F.count("*").alias("n")).collect()}  # strata, not rows
+    quota = df.sparkSession.createDataFrame(list(equal_allocation(counts, n).items()), f"{stratum} string, _quota long")
+    rank = F.row_number().over(W.partitionBy(stratum).orderBy(knuth_bucket(id_col, SPACE), id_col))
+    return df.withColumn("_r", rank).join(F.broadcast(quota), stratum).where("_r <= _quota").drop("_r", "_quota")
