@@ -56,6 +56,8 @@ FREQUENT = 14
 FILTER_BITS = 1 << 27
 WORD_ENTRIES = 300_000
 STAR_ROUNDS = 3
+#: Links that one task may unite.
+TASK_LINKS = 1 << 18
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
 
@@ -349,9 +351,30 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over the links of one task."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for part in batches:
+        for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    keys = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([root(k) for k in keys], pa.int64())], names=["key", "comp"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """``key, comp``: each key in a link with the smallest key of its component (alternating large and small
-    stars, until nothing changes)."""
+    """``key, comp``: each key in a link with the smallest key of its component. Up to TASK_LINKS links (16 bytes
+    each; they are counted first) one task unites them; beyond it, alternating large and small stars until
+    nothing changes."""
+    if links.limit(TASK_LINKS + 1).count() <= TASK_LINKS:
+        return links.select("a", "b").coalesce(1).mapInArrow(_united, "key long, comp long")
     edges, before = links.selectExpr("greatest(a, b) u", "least(a, b) v").where("u <> v").distinct(), None
     while True:
         both = edges.unionByName(edges.selectExpr("v u", "u v"))

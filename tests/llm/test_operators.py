@@ -249,6 +249,14 @@ def test_jaccard_join(spark, monkeypatch, frequent):
     assert jaccard.link_components(table(spark, ["", None])).count() == 2
 
 
+def test_stars_unite_like_one_task(spark, monkeypatch):
+    rng = random.Random(8)
+    links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, rng.randint(101, 140)) for _ in range(30)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)], "a long, b long").where("a <> b")
+    one = {tuple(r) for r in jaccard.components(links).collect()}
+    monkeypatch.setattr(jaccard, "TASK_LINKS", 0)
+    assert {tuple(r) for r in jaccard.components(links).collect()} == one
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there\nhow are you"), (1, 1, "assistant", "> Hello   THERE\n> how are you\nfine"), (1, 2, "user", "> fine\n>> how are you\n> not said\ngood"), (1, 3, "user", "no quote"),
             (2, 0, "user", "> Hello there\nnew"), (1, 1, "assistant", "> Hello   THERE\n> how are you\nfine"), (3, 0, None, None), (None, 0, "user", "x"), (1, None, "user", "> no quote")]
