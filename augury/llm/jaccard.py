@@ -186,7 +186,7 @@ def _classes(packed: DataFrame, bits: int) -> np.ndarray:
     import zstandard
 
     out, part = np.zeros(CELLS, np.uint8), CELLS >> bits
-    for r in packed.repartition("range").mapInArrow(run, "range int, classes binary").toLocalIterator():
+    for r in packed.repartition("range").mapInArrow(run, "range int, classes binary").collect():
         out[r["range"] * part:(r["range"] + 1) * part] = np.frombuffer(zstandard.decompress(r["classes"]), np.uint8)
     return out
 

@@ -132,7 +132,7 @@ def shard_groups(docs: DataFrame, *, shards: int | None = None, capacity: int |
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_digest"))
     groups = saved(rows.groupBy("_digest").agg(F.sum("size").alias("_bytes")), "shard-groups")
-    sizes = [(r["_bytes"], r["n"]) for r in groups.groupBy("_bytes").agg(F.count("*").alias("n")).toLocalIterator()]
+    sizes = [(r["_bytes"], r["n"]) for r in groups.groupBy("_bytes").agg(F.count("*").alias("n")).collect()]
     runs, at, given = (even_capacity(sizes, shards) if shards else pack(sizes, capacity)), {}, []
     for size, n, bin_ in runs:
         first = at.get(size, 0)
