@@ -206,7 +206,7 @@ def signatures(s: np.ndarray, classes: np.ndarray, percent: int, bits: int) -> t
     for level in {own, own - 1} if percent * n < (100 << own) else {own}:
         if level < 1:
             continue
-        g = max(1, (1 << level) // 16)
+        g = max(1, (1 << level) // 4)
         head = slice(0, min(n, n - a + g + 1))
         f = s[head][power[head] >= FREQUENT]
         group = (mix(f ^ np.uint64(level * 0x51ED)) % np.uint64(g)).astype(np.int64)
