@@ -11,8 +11,8 @@ slots of rows within a shard, are counted in two levels over salted parts, so no
 copies has to fit in one task.
 
 Rows: a null text counts as an empty one (size 1, crc 0, one group with empty texts); a group larger than the
-capacity that would even things out sets the capacity; repeated rows each get their own slot; an empty table
-gives an empty result.
+even share of the bins gets a bin of its own, and the other groups are packed evenly into the bins that remain;
+repeated rows each get their own slot; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,6 +90,19 @@ def pack(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -
     return runs
 
 
+def even_packing(sizes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
+    """Runs (size, count, bin) over at most ``bins`` bins: a group above the even share of the bins that are left
+    has a bin of its own, largest first, until none is; the others are packed into the bins that then remain."""
+    left, runs, total = sorted(sizes, reverse=True), [], sum(s * n for s, n in sizes)
+    while left and left[0][0] > -(-total // (bins - len(runs))):  # never with one bin left
+        size, count = left[0]
+        left[:1] = [(size, count - 1)] if count > 1 else []
+        runs.append((size, 1, len(runs)))
+        total -= size
+    own = len(runs)
+    return runs + [(size, n, bin_ + own) for size, n, bin_ in even_capacity(left, bins - own)]
+
+
 def even_capacity(sizes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
     """The packing of the smallest capacity found (by halving) that needs at most ``bins`` bins."""
     if not sizes:
@@ -133,7 +146,7 @@ def shard_groups(docs: DataFrame, *, shards: int | None = None, capacity: int |
     rows = docs.select(F.col(id_col), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_digest"))
     groups = saved(rows.groupBy("_digest").agg(F.sum("size").alias("_bytes")), "shard-groups")
     sizes = [(r["_bytes"], r["n"]) for r in groups.groupBy("_bytes").agg(F.count("*").alias("n")).collect()]
-    runs, at, given = (even_capacity(sizes, shards) if shards else pack(sizes, capacity)), {}, []
+    runs, at, given = (even_packing(sizes, shards) if shards else pack(sizes, capacity)), {}, []
     for size, n, bin_ in runs:
         first = at.get(size, 0)
         given.append((size, first, first + n, bin_))

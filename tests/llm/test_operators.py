@@ -8,6 +8,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +167,26 @@ def test_sharding(spark, nothing):
     assert sharding.shard_groups(nothing, shards=8).count() == 0
 
 
+def test_sharding_is_even_beside_large_groups(spark):
+    rng = random.Random(6)
+    texts = [words(rng, rng.randint(5, 40)) for _ in range(400)]
+    rest = sum(len(t) + 1 for t in texts)
+    for copied in ([1 / 2], [1 / 2, 1 / 5]):  # bytes of groups of copies, as parts of the others' bytes
+        large = [f"copied text {i}" for i in range(len(copied))]
+        counts = [round(rest * part / (len(t) + 1)) for part, t in zip(copied, large, strict=True)]
+        rows = [*texts, *(t for t, n in zip(large, counts, strict=True) for _ in range(n))]
+        of, used = {}, Counter()
+        for r in sharding.shard_groups(table(spark, rows), shards=8).collect():
+            assert of.setdefault(rows[r["doc_id"]], r["shard"]) == r["shard"]
+            used[r["shard"]] += r["size"]
+        own = {of[t] for t in large}
+        assert len(own) == len(large) and all(used[of[t]] == (len(t) + 1) * n for t, n in zip(large, counts, strict=True))
+        others = [used[s] for s in range(8) if s not in own]
+        assert min(others) >= 0.95 * rest / len(others) and max(others) <= 1.05 * rest / len(others)
+    assert sharding.even_packing([(10, 2), (3, 1), (1, 4)], 3) == [(10, 1, 0), (10, 1, 1), (3, 1, 2), (1, 4, 2)]
+    assert sharding.even_packing([(7, 1)], 1) == [(7, 1, 0)] and sharding.even_packing([], 8) == []
+
+
 def test_nearest_neighbours(spark):
     import numpy as np
 
