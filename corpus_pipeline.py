@@ -8,8 +8,9 @@ as the next one's input.
 5. pieces       encodes and decodes what is left
 
 Stages 1 to 4 return the columns of their input. Null and empty texts go through every stage by the rules of its
-operator. Rows with the same id and text count as one document in stage 3; of rows that share a component and
-its smallest id the one with the smallest text stays.
+operator. Rows with the same id and text count as one document in stage 3; rows that share an id, a null one
+included, and not the text are different documents in stages 3 and 4. Of documents that share a component and
+its smallest id the one whose text hashes lowest stays; a null id is larger than any other.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augury.llm import decontam, jaccard, quality, toxicity
-from augury.llm.common import crc32_mod, saved, table
+from augury.llm.common import crc32_mod, saved, table, unused
 from augury.llm.queries import piece_digests
 
 
@@ -33,19 +34,29 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, model, score_col="_score").where("_score < 0.5").drop("_score")
 
 
+def with_document(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that names the document of each row, and that column's name: rows of the same id and text
+    are one document, and rows that share only an id (null too) are not. Smaller ids order first, null ids last."""
+    name = unused(docs, "_document")
+    return docs.withColumn(name, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))), name
+
+
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.link_components(docs)
-    # a component's smallest id stays; its rows (one, unless the id repeats) are told apart by their text's hash
-    heads = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
-    once = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    return kept.withColumn("_n", once).where("_n = 1").drop("_n")
+    given, document = with_document(docs)
+    found = jaccard.link_components(given, id_col=document)
+    heads = found.where(F.col(document) == F.col("component_id")).select(document).distinct()
+    kept = given.join(heads, document, "left_semi").select(*docs.columns)
+    # the rows of a head: the same id and text
+    once = F.row_number().over(W.partitionBy("doc_id", "text").orderBy("doc_id"))
+    number = unused(docs, "_n")
+    return kept.withColumn(number, once).where(F.col(number) == 1).drop(number)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.find_windows(docs, table(spark, sf_dir, "benchmark"))
-    leaks = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
+    given, document = with_document(docs)
+    found = decontam.find_windows(given, table(spark, sf_dir, "benchmark"), id_col=document)
+    leaks = found.where("n_hit > 0").select(document).distinct()
+    return given.join(leaks, document, "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

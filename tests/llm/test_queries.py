@@ -33,6 +33,28 @@ def test_pipeline(spark):
     assert P.run(spark, DIR).count() == docs.count()
 
 
+def test_pipeline_tells_rows_of_one_id_apart(spark, tmp_path):
+    import corpus_pipeline as P
+
+    say = lambda k, n=30: " ".join(f"{k}w{i}" for i in range(n))
+    copied, item = say("copied"), say("item", 12)
+    rows = [(None, say("a")), (None, say("b")), (None, say("c")), (7, say("d")), (7, say("e")), (7, say("d")),
+            (1, copied), (9, copied), (9, say("f")), (None, copied), (None, say("g") + " x"), (None, say("g")),
+            (None, None), (None, None), (None, ""), (3, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, _document int")
+    got = P.keep_distinct(spark, docs, DIR)
+    assert got.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert len(kept) == len(set(kept)) and ((None, say("g")) in kept) + ((None, say("g") + " x") in kept) == 1
+    assert {k for k in kept if not (k[1] or "").startswith("gw")} == {(None, say("a")), (None, say("b")), (None, say("c")), (7, say("d")), (7, say("e")), (1, copied), (9, say("f")), (None, None), (None, ""), (3, ""), (4, "")}
+
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, say("a")), (None, f"x {item} y"), (None, None), (7, say("d")), (7, item), (8, item), (7, say("d"))], "doc_id long, text string")
+    clean = P.keep_clean(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert sorted(map(repr, map(tuple, clean.collect()))) == sorted(map(repr, [(None, say("a")), (None, None), (7, say("d")), (7, say("d"))]))
+
+
 @pytest.mark.parametrize("name", ["op6_quote_links", "op7_jaccard_join", "op10_decontamination"])
 def test_against_sql(spark, name):
     import duckdb
