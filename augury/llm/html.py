@@ -48,7 +48,7 @@ BOILER_NAMES = frozenset(
     "consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager skip tags toolbar form search".split()
 )
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*|/)?)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")  # one attribute with its value
 _NAME = re.compile(r"[A-Za-z]+")
 _DIGITS = re.compile(r"\d+")
 

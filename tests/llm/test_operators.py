@@ -308,6 +308,22 @@ def test_html(spark):
     assert html.extract_pages(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("attrs, out", [
+    ('style="overflow:hidden"', False), ("style='overflow-x: hidden'", False), ('aria-hidden="false"', False), ('title="a hidden valley"', False), ("data-hidden", False), ("title=hidden", False),
+    ('data-id="sidebar"', False), ('data-role="banner"', False), ('data-class="footer"', False), ('title="class=sidebar"', False), ('class="post" data-class="sidebar"', False), ("data-x=1/id=nav", False),
+    ("hidden", True), ('HIDDEN=""', True), ('title="x"hidden', True), ('role = "Banner"', True), ("id=sidebar", True), ("class='wrap sidebar-1'", True), ('data-id="a" id="comments"', True),
+])
+def test_html_attributes(attrs, out):
+    page = f"<html><body><div class=wrap><section {attrs}><p>inside of it</p></section><p>the text beside it</p></div></body></html>"
+    assert html.extract(page, "/html/body/div.wrap") == ("" if out else "inside of it\n") + "the text beside it"
+
+
+def test_html_keeps_pages_that_hide_overflow(spark):
+    pages = ['<html><body style="overflow-x:hidden"><p>whole page</p></body></html>', '<body><div style="overflow:hidden"><article><p>whole article</p></article></div></body>', "<body><article hidden><p>not shown</p></article></body>"]
+    df = spark.createDataFrame([(i, f"https://h{i}.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract_pages(df).collect()} == {0: "whole page", 1: "whole article", 2: ""}
+
+
 def brute_hits(doc, items, window=10):
     import re
 
