@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from augury.functions.dates import epoch_seconds
 from augury.functions.vectors import cosine
 from augury.operators import relational as R
+from augury.operators import resolve as V
 
 from .catalog import query, t
 
@@ -72,6 +73,11 @@ def near_duplicate_pairs(spark, d):
     return a.join(b, "label").where("a < b").where(cosine("va", "vb") >= 0.4).select("a", "b")
 
 
+@query()
+def near_duplicate_pairs_all_labels(spark, d):
+    return V.cosine_pairs(t(spark, d, "embeddings"), "vec_id", "embedding", 0.4)
+
+
 @query("""SELECT e.event_id, (SELECT arg_max(p.value, (p.ts, p.event_id)) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts - INTERVAL 24 HOUR) AS value_before FROM events e WHERE e.event_type = 'error'""")
 def asof_latest_sample(spark, d):
     e = t(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")

@@ -169,3 +169,28 @@ def test_monitoring_rules(spark):
 @pytest.mark.parametrize("body, reason", [("x", "short"), ("word " * 40, "repetitive"), ("Clean sentence of different ordinary words that says something new here", "ok"), ("ALL OF THIS TEXT IS WRITTEN WITHOUT ANY SMALL LETTERS YES", "shouting")])
 def test_garbage(spark, body, reason):
     assert value(spark, garbage_reasons(F.lit(body))) == reason
+
+
+def test_cosine_pairs_are_those_of_brute_force(spark):
+    import numpy as np
+
+    from augury.operators import resolve as V
+
+    x = np.random.default_rng(4).normal(0, 1, (90, 6))
+    rows = [(i, [None, 1, 2][i % 3], v.tolist()) for i, v in enumerate(x)]
+    rows += [(3, 1, x[3].tolist()), (None, 1, x[3].tolist()), (200, 1, None), (201, 1, [0.0] * 6), (202, 1, [1.0, 2.0]), (203, None, [2.0, 4.0]), (204, 1, [None] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    cos = lambda a, b: np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))
+    given = [(i, v) for i, _, v in rows if i is not None and v and None not in v and any(v)]
+    want = sorted((i, j) for i, a in given for j, b in given if i < j and len(a) == len(b) and cos(a, b) >= 0.4)
+    for block_rows in (7, 512):
+        assert sorted(map(tuple, V.cosine_pairs(df, "vec_id", "embedding", 0.4, block_rows).collect())) == want
+
+
+def test_near_duplicate_pairs_of_all_labels(spark, tmp_path):
+    from augury.plans import catalog
+
+    rows = [(1, 1, [1.0, 0.0]), (2, 2, [1.0, 0.1]), (3, None, [1.0, 0.2]), (4, 1, [-1.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["near_duplicate_pairs_all_labels"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 3), (2, 3)]
