@@ -4,31 +4,36 @@ A text's set is its distinct shingles of five words (64-bit hashes). Texts with
 so copies are never compared. In how many sets each shingle stands is counted over all texts; a shingle's class
 is twice the binary logarithm of that number (0: it stands in one set, and cannot link anything). Sets are
 ordered by class, then hash: rare shingles first. With threshold t, sets of n shingles and a = ceil(t n), two
-linked sets
-
-* share their first common shingle within the first n - a + 1 of both. If it is rare (class below FREQUENT),
-  that shingle alone is the signature;
-* else all they share is frequent, and they share g + 1 shingles within the first n - a + g + 1. Frequent
-  shingles are dealt to g classes by hash; two of those shared fall in one class, and that pair is the signature.
-
-g grows with the size of the smaller set (by powers of two; a set signs for its own power and, if a partner may
-be that small, the next lower), so signatures stay linear in the length of a text and common passages, lines
-and words, which are ordered last, meet only where most of a text is made of them.
-
-Sets that share a signature are a list; lists with the same members are one. Lists are first verified against
-one member each (so a group of thousands of near copies costs thousands of comparisons), links are contracted
-to components, and this repeats with other members while it finds links; then (at once, where lists are short) all
-pairs of a list that still lie in different components are verified. Pairs inside a component need no check, so
-the components are exact. Verification
-counts the common shingles of whole sets.
+linked sets share their first common shingle within the first n - a + 1 of both.
+
+* Rare shingles (class below FREQUENT) are indexed singly. Their lists are short by definition.
+* A frequent shingle alone says little, so its list is extended by combinations of further tokens. Lists with a
+  leader (the member of smallest hash) in common form a family, and a family gets a centre: the shingles that most
+  of a few members have. A member x is then known by its difference D(x) from the centre. With e(x) =
+  (1 + t) |D(x)| - (1 - t) |x|, two members are linked exactly if 2 (1 + t) |D(x) & D(y)| >= e(x) + e(y). So
+
+  - all members with e(x) + e(m) <= 0, m being the one of smallest e, are linked with m without a comparison; in a
+    group of near copies those are most, and they cost one row each;
+  - any other member needs o >= 1 tokens of its difference in common with a partner, and the more the farther both
+    are from the centre. Where o is up to SINGLES, or either has less than SINGLES tokens to spare, prefixes of s - o + 1
+    tokens are indexed singly; else the tokens are dealt to o - 1 classes, two of those shared fall in one class, and
+    each such pair of tokens is indexed. Classes follow the place in the centre, so that the five shingles one
+    changed word touches are in different ones and a pair stands for two common changes. Since o depends on both,
+    a member signs for each band of e that partners are in, and pairs too far for the tokens they have are left out.
+
+  A list of the second index that is still long is a family again, with a centre of its own.
+
+Short lists are verified pair by pair, where the two are not yet in one component; long ones never are, save what
+is left after LEVELS levels. Links are contracted to components, and pairs inside a component need no check, so the
+components are exact. Rare lists are first verified against one member each, and this repeats with other members
+while it finds links. Verification counts the common shingles of whole sets, or of whole differences.
 
 Scale: texts are read three times and never shuffled. For counting, shingles travel as 32-bit remainders of
-their hash range, sorted, delta-coded and packed; signatures of rare shingles as packed arrays cut by hash range,
-and their lists are short by the definition of rare. Lists of frequent pairs are aggregated before they are
-joined, and hot joins are AQE's to split. What is broadcast has a fixed size, whatever the corpus: the class
-table (CELLS bytes; shingles that fall in one cell share the highest class, which costs candidates but loses
-none) and the filter of nodes that are in any list (FILTER_BITS bits; one that fills up only lets more sets
-through to an exact join). Lineage is cut by tables in the shared folder.
+their hash range, sorted, delta-coded and packed; signatures of rare shingles as packed arrays cut by hash range.
+Families are aggregated before they are joined, hot joins are AQE's to split, and no task holds a family. What is
+broadcast has a fixed size, whatever the corpus: the class table (CELLS bytes; shingles that fall in one cell share
+the highest class, which costs candidates but loses none) and the filter of nodes that are in any list (FILTER_BITS
+bits; one that fills up only lets more sets through to an exact join). Lineage is cut by tables in the shared folder.
 
 Rows: null and empty texts, and texts of white space, have no shingles and are linked with nothing; with fewer
 than five words the whole sequence is one shingle; repeated ids and rows keep their rows and share a component
@@ -56,6 +61,10 @@ FREQUENT = 14
 FILTER_BITS = 1 << 27
 WORD_ENTRIES = 300_000
 STAR_ROUNDS = 3
+#: Families up to this length are verified pair by pair, and lists of the second index up to eight times of it.
+SHORT = 64
+#: Levels of centres, members that vote on a centre, bands of e above a centre's own size, tokens indexed singly.
+LEVELS, VOTERS, BANDS, SINGLES = 4, 16, 64, 3
 #: Links that one task may unite.
 TASK_LINKS = 1 << 18
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
@@ -75,7 +84,8 @@ class Shingler:
 
         self.n, self.hash, self.words = n, xxh3_64_intdigest, {}
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts: list[str], ordered: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """The sets; ordered also gets each in the order of the text."""
         split = [t.encode().lower().split() for t in texts]  # ASCII white space, ASCII case
         if len(self.words) > WORD_ENTRIES:
             self.words.clear()
@@ -93,7 +103,10 @@ class Shingler:
         out, at = [], 0
         for size in sizes:
             if size >= n:
-                out.append(np.unique(rolled[at:at + size - n + 1]))
+                found, first = np.unique(rolled[at:at + size - n + 1], return_index=True)
+                out.append(found)
+                if ordered is not None:
+                    ordered.append(found[np.argsort(first)])
             elif size:
                 h = np.array([size], np.uint64)
                 for i in range(at, at + size):
@@ -101,6 +114,8 @@ class Shingler:
                 out.append(h)
             else:
                 out.append(np.zeros(0, np.uint64))
+            if ordered is not None and size < n:
+                ordered.append(out[-1])
             at += size
         return out
 
@@ -191,38 +206,17 @@ def _classes(packed: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def signatures(s: np.ndarray, classes: np.ndarray, percent: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A set's rare single shingles, and its signatures from pairs of frequent ones."""
+def signatures(s: np.ndarray, classes: np.ndarray, percent: int, bits: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The rare and the frequent shingles of a set's prefix."""
     n = len(s)
-    a = -(-percent * n // 100)
     power = classes[cells(*cut(s, bits), bits)]
-    order = np.lexsort((s, power))
-    s, power = s[order], power[order]
-    first = n - a + 1
-    rare = s[:first][(power[:first] > 0) & (power[:first] < FREQUENT)]
-    if power[min(first, n) - 1] < FREQUENT:  # the first common shingle is rare
-        return rare, np.zeros(0, np.uint64)
-    own, pairs = n.bit_length() - 1, []
-    for level in {own, own - 1} if percent * n < (100 << own) else {own}:
-        if level < 1:
-            continue
-        g = max(1, (1 << level) // 4)
-        head = slice(0, min(n, n - a + g + 1))
-        f = s[head][power[head] >= FREQUENT]
-        group = (mix(f ^ np.uint64(level * 0x51ED)) % np.uint64(g)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        f, group = f[order], group[order]
-        ends = np.searchsorted(group, group, side="right")
-        for i in range(len(f) - 1):
-            others = f[i + 1:ends[i]]
-            if len(others):
-                low, high = np.minimum(f[i], others), np.maximum(f[i], others)
-                pairs.append(mix(low * _ODD[0] + mix(high + np.uint64(level))))
-    return rare, np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
-
-
-def _lists(docs: DataFrame, classes, n: int, percent: int, bits: int) -> DataFrame:
-    """``sig, key, n``: members of every list of two sets or more."""
+    first = np.lexsort((s, power))[:n - -(-percent * n // 100) + 1]
+    s, power = s[first], power[first]
+    return s[(power > 0) & (power < frequent)], s[power >= frequent]
+
+
+def _lists(docs: DataFrame, classes, n: int, percent: int, bits: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """``sig, key, n``: members of every list of two sets or more, for rare shingles and for frequent ones."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen, table = Shingler(n), set(), np.frombuffer(classes.value, np.uint8)
@@ -252,7 +246,7 @@ def _lists(docs: DataFrame, classes, n: int, percent: int, bits: int) -> DataFra
             for s in shingle([t or "" for t in part.column(0).to_pylist()]):
                 if len(s) and (k := set_key(s, shingle.hash)) not in seen:
                     seen.add(k)
-                    single, paired = signatures(s, table, percent, bits)
+                    single, paired = signatures(s, table, percent, bits, frequent)
                     if len(single):
                         rare.append((single, k, len(s)))
                     if len(paired):
@@ -296,10 +290,8 @@ def _lists(docs: DataFrame, classes, n: int, percent: int, bits: int) -> DataFra
     packs = saved(docs.select("text").mapInArrow(sign, "range int, sigs binary, keys binary, sizes binary"), "signatures")
     schema = "sig long, key long, n int"
     rare = packs.where("range >= 0").repartition("range").select("sigs", "keys", "sizes").mapInArrow(gather, schema).distinct()
-    pairs = packs.where("range < 0").select("sigs", "keys", "sizes").mapInArrow(unpacked, schema).distinct()
-    shared = pairs.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("key")).alias("x")).where("c > 1")
-    shared = shared.groupBy("c", "x").agg(F.min("sig").alias("sig")).select("sig")
-    return saved(rare.unionByName(pairs.join(shared, "sig")), "lists")
+    often = packs.where("range < 0").select("sigs", "keys", "sizes").mapInArrow(unpacked, schema).distinct()
+    return saved(rare, "rare-lists"), saved(often, "frequent-lists")
 
 
 def _bits(keys: np.ndarray) -> np.ndarray:
@@ -307,7 +299,8 @@ def _bits(keys: np.ndarray) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """``key, shingles`` of the sets in keys, each once. keys go through a filter of FILTER_BITS bits."""
+    """``key, shingles`` (in the order of the text) of the sets in keys, each once. keys go through a filter of
+    FILTER_BITS bits."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -322,8 +315,9 @@ def _sets_of(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen, bits = Shingler(n), set(), np.frombuffer(wanted.value, np.uint32)
         for part in slices(batches):
-            sets = [s for s in shingle([t or "" for t in part.column(0).to_pylist()]) if len(s)]
-            own = np.array([set_key(s, shingle.hash) for s in sets], np.int64)
+            told: list[np.ndarray] = []
+            own = np.array([set_key(s, shingle.hash) for s in shingle([t or "" for t in part.column(0).to_pylist()], told) if len(s)], np.int64)
+            sets = [s for s in told if len(s)]
             at = _bits(own)
             hit = (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1
             rows = [(k, s.tobytes()) for k, s, h in zip(own.tolist(), sets, hit.tolist(), strict=True) if h and k not in seen and not seen.add(k)]
@@ -393,7 +387,223 @@ def _compatible(x: str, y: str, percent: int):
     return F.expr(f"100L * least({x}, {y}) >= {percent}L * greatest({x}, {y})")
 
 
-def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75) -> DataFrame:
+def _families(lists: DataFrame) -> DataFrame:
+    """``leader, key, n``: the members of all lists whose leaders lead to one. A list's leader is its member of
+    smallest hash; it passes on to the least leader that any member has in another list."""
+    low = lambda c: F.min(F.struct(F.xxhash64(c, F.lit(11)).alias("h"), F.col(c).alias("k")))
+    led = lists.groupBy("sig").agg(low("key")["k"].alias("leader"), F.count("*").alias("m")).where("m > 1").select("sig", "leader")
+    best = lists.join(led, "sig").groupBy("key").agg(low("leader")["k"].alias("leader"))
+    led = lists.join(best, "key").groupBy("sig").agg(low("leader")["k"].alias("leader"), F.count("*").alias("m")).where("m > 1").select("sig", "leader")
+    return saved(lists.join(led, "sig").select("leader", "key", "n").distinct(), "families")
+
+
+def _centres(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """``leader, centre``: the shingles that more than half of at most VOTERS members have, in the order of a text."""
+    bucket = F.pmod(F.xxhash64("key", F.lit(13)), F.lit(VOTERS))
+    voters = families.groupBy("leader", bucket.alias("b")).agg(F.min(F.struct(F.xxhash64("key", F.lit(17)), "key"))["key"].alias("key"))
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            votes: list[bytes] = part.column(1)[0].as_py()
+            told = np.frombuffer(b"".join(votes), np.uint64)
+            found, first, count = np.unique(told, return_index=True, return_counts=True)
+            most = 2 * count > len(votes)
+            centre = found[most][np.argsort(first[most])]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([centre.tobytes()], pa.binary())], names=["leader", "centre"])
+
+    ballots = voters.join(sets, "key").groupBy("leader").agg(F.array_sort(F.collect_list("shingles")).alias("votes"))  # VOTERS sets at most
+    return ballots.mapInArrow(vote, "leader long, centre binary")
+
+
+def _differences(families: DataFrame, sets: DataFrame, classes, percent: int, bits: int) -> DataFrame:
+    """``leader, key, n, e, band, tokens, places``: each member as what it differs in from the centre. tokens are
+    those that another set may have, in one order for the whole family; places deal them to classes."""
+    schema = "leader long, key long, n int, e long, band int, step int, tokens binary, places binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, last, names = np.frombuffer(classes.value, np.uint8), None, ["leader", "key", "n", "e", "band", "step", "tokens", "places"]
+        for part in slices(batches, 64):
+            rows = []
+            for leader, key, n, own, told in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if leader != last:
+                    last, centre = leader, np.frombuffer(told, np.uint64)
+                    order = np.argsort(centre)
+                    rising, step = centre[order], max(1, len(centre) // (2 * BANDS))
+                own = np.frombuffer(own, np.uint64)
+                at = np.minimum(np.searchsorted(rising, own), max(len(rising) - 1, 0))
+                inside = rising[at] == own if len(rising) else np.zeros(len(own), bool)
+                lacks = np.ones(len(centre), bool)
+                lacks[order[at[inside]]] = False
+                lacks, more = np.flatnonzero(lacks), own[~inside]
+                e = (100 + percent) * (len(lacks) + len(more)) - (100 - percent) * n
+                power = table[cells(*cut(more, bits), bits)]
+                more, power = more[power > 0], power[power > 0]
+                more = more[np.lexsort((more, power))]
+                lacks = lacks[np.argsort(mix(centre[lacks]))]
+                places = np.concatenate([(more >> np.uint64(33)).astype(np.int64), lacks])
+                rows.append((leader, key, n, e, min(e // (2 * (100 + percent) * step), BANDS), step, np.concatenate([more, centre[lacks]]).tobytes(), places.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=names)
+
+    given = families.join(sets, "key").join(_centres(families, sets), "leader").select("leader", "key", "n", "shingles", "centre")
+    return saved(given.mapInArrow(run, schema), "differences")
+
+
+def combinations(tokens: np.ndarray, places: np.ndarray, need: int, single: bool) -> np.ndarray:
+    """What sets that share ``need`` tokens are sure to have in common: single tokens of a prefix, or pairs of tokens
+    in one of need - 1 classes (need being 2 or more)."""
+    if len(tokens) < need:
+        return tokens[:0]
+    if single:
+        return mix(tokens[:len(tokens) - need + 1])
+    group = places % (need - 1)
+    order = np.lexsort((tokens, group))
+    t, group = tokens[order], group[order]
+    ends, out = np.searchsorted(group, group, side="right"), [tokens[:0]]
+    for i in range(len(t) - 1):
+        if ends[i] > i + 1:
+            out.append(mix(t[i:i + 1] * _ODD[0] + mix(t[i + 1:ends[i]] + _ODD[1])))
+    return np.concatenate(out)
+
+
+def _second_lists(far: DataFrame) -> DataFrame:
+    """``sig, leader, key, n, e, s, comp, far``: members of the lists of token combinations. far has the differences
+    with the bands (all, and those with members off the centre) of their family and the most tokens in each."""
+    schema = "sig long, leader long, key long, n int, e long, s int, comp long, far boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["sig", "leader", "key", "n", "e", "s", "comp", "far"]
+        for part in slices(batches, 64):
+            sigs, counts = [], []
+            for leader, band, step, off, bands, off_bands, tokens, places in zip(*(part.column(c).to_pylist() for c in ("leader", "band", "step", "far", "bands", "far_bands", "tokens", "places")), strict=True):
+                bands, off_bands = ({x["band"]: x["most"] for x in b} for b in (bands, off_bands))
+                tokens, places, found = np.frombuffer(tokens, np.uint64), np.frombuffer(places, np.int64), []
+                for other, most in (bands if off else off_bands).items():
+                    need = max(1, step * (band + other))
+                    if most < need:
+                        continue
+                    few = min(bands[band], bands[other]) - need < SINGLES
+                    found.append(combinations(tokens, places, need, few or need <= SINGLES))
+                salt = mix(np.array([leader & ((1 << 64) - 1)], np.uint64))
+                found = np.unique(np.concatenate(found)) ^ salt if found else tokens[:0]
+                sigs.append(found)
+                counts.append(len(found))
+            at = pa.array(np.repeat(np.arange(part.num_rows), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), *(part.column(c).take(at) for c in names[1:])], names=names)
+
+    return far.mapInArrow(run, schema)
+
+
+def _shared(pairs: DataFrame, facts: DataFrame, on: list[str], percent: int) -> DataFrame:
+    """pairs (leader, a, b) whose differences have enough in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 256):
+            cols, keep = part.to_pydict(), []
+            for i, (x, y, e) in enumerate(zip(cols["x"], cols["y"], cols["e"], strict=True)):
+                common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                if 2 * (100 + percent) * common >= e:
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(keep, pa.int32())) for c in (0, 1)], names=["a", "b"])
+
+    both = pairs.join(facts.selectExpr("leader", "key a", "tokens x", "e ex"), ["leader", "a"]).join(facts.selectExpr("leader", "key b", "tokens y", "e ey"), ["leader", "b"])
+    return both.selectExpr("a", "b", "ex + ey e", "x", "y").mapInArrow(run, "a long, b long")
+
+
+class _Links:
+    """Links found so far and the components they make."""
+
+    def __init__(self, spark):
+        self.links, self.comp = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "key long, comp long")
+
+    def add(self, found: DataFrame) -> bool:
+        if found.isEmpty():
+            return False
+        self.links = self.links.unionByName(found)
+        self.comp = saved(components(self.links), "components")
+        return True
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        return df.join(self.comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+
+
+def _pairs_within(lists: DataFrame, on: str, percent: int) -> DataFrame:
+    """``on, a, b``: pairs of one list that are in different components and not too different in size."""
+    other = lists.selectExpr(on, "key key2", "n n2", "comp comp2")
+    return lists.join(other, on).where("key < key2 and comp <> comp2").where(_compatible("n", "n2", percent)).selectExpr(on, "key a", "key2 b")
+
+
+def _link_rare(lists: DataFrame, sets: DataFrame, found: _Links, percent: int) -> None:
+    """Lists of rare shingles, each shorter than a frequent shingle's: against one member while that finds links,
+    then pair by pair."""
+    tried, turn, exact = None, 0, False
+    while not exact:
+        exact = turn >= STAR_ROUNDS
+        open_ = found.placed(lists)
+        if exact:
+            many = open_.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+            pairs = _pairs_within(open_.join(many.select("sig"), "sig", "left_semi"), "sig", percent).select("a", "b").distinct()
+        else:
+            centre = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "comp")).alias("c")
+            many = open_.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), centre).where("lo < hi")
+            pairs = open_.join(many.select("sig", "c"), "sig").where("comp <> c.comp").where(_compatible("n", "c.n", percent)).selectExpr("least(key, c.key) a", "greatest(key, c.key) b").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = saved(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        turn = turn + 1 if found.add(saved(_verify(pairs, sets, percent), "links")) else STAR_ROUNDS
+
+
+def _near_centres(families: DataFrame, sets: DataFrame, classes, found: _Links, percent: int, bits: int, short: int) -> tuple[DataFrame, DataFrame] | None:
+    """Links of a family's members near its centre; the differences, and the families that have members off it."""
+    sized = families.groupBy("leader").agg(F.count("*").alias("m"))
+    long = families.join(sized.where(F.col("m") > short).select("leader"), "leader", "left_semi")
+    if long.isEmpty():
+        return None
+    facts = _differences(long, sets, classes, percent, bits)
+    nearest = facts.groupBy("leader").agg(F.min(F.struct("e", "key")).alias("c"))
+    told = facts.join(nearest, "leader").withColumn("far", F.expr("e + c.e > 0"))
+    found.add(saved(told.where("not far and key <> c.key").selectExpr("least(key, c.key) a", "greatest(key, c.key) b").distinct(), "links"))
+    most = told.groupBy("leader", "band").agg(F.max(F.octet_length("tokens") / 8).cast("int").alias("most"), F.max(F.when(F.col("far"), F.octet_length("tokens") / 8)).cast("int").alias("far_most"), F.first("c").alias("c"))
+    listed = lambda c: F.collect_list(F.when(F.col(c).isNotNull(), F.struct("band", F.col(c).alias("most"))))
+    bands = most.groupBy("leader").agg(listed("most").alias("bands"), listed("far_most").alias("far_bands"), F.first("c").alias("c")).where("size(far_bands) > 0")
+    return facts, saved(bands, "bands")
+
+
+def _link_frequent(often: DataFrame, sets: DataFrame, classes, rare: DataFrame, found: _Links, percent: int, bits: int, short: int) -> None:
+    """Families of frequent shingles, level by level; the rare lists come in once the near copies are contracted."""
+    families = _families(often)
+    for level in range(LEVELS):
+        near = _near_centres(families, sets, classes, found, percent, bits, short)
+        if level == 0:
+            _link_rare(rare, sets, found, percent)
+        placed = found.placed(families)
+        sized = placed.groupBy("leader").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        some = placed.join(sized.where(F.col("m") <= short).select("leader"), "leader", "left_semi")
+        pairs = _pairs_within(some, "leader", percent).select("a", "b").distinct()
+        found.add(saved(_verify(pairs, sets, percent), "links"))
+        if near is None:
+            return
+        facts, bands = near
+        members = found.placed(facts).join(bands, "leader").withColumns({"far": F.expr("e + c.e > 0"), "s": F.expr("int(octet_length(tokens) / 8)")})
+        lists = saved(_second_lists(members), "combinations")
+        many = lists.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("far").alias("any"), F.bit_xor(F.xxhash64("key")).alias("x"), F.first("leader").alias("leader"))
+        many = saved(many.where("lo < hi and any").groupBy("leader", "m", "x").agg(F.min("sig").alias("sig")), "open")  # lists with the same members are one
+        last = level == LEVELS - 1
+        brief = many if last else many.where(F.col("m") <= 8 * short)
+        some = lists.join(brief.select("sig"), "sig", "left_semi")
+        other = some.selectExpr("sig", "key key2", "n n2", "comp comp2", "far far2", "e e2", "s s2")
+        enough = f"e + e2 <= {2 * (100 + percent)} * least(s, s2)"
+        pairs = some.join(other, "sig").where(f"key < key2 and comp <> comp2 and (far or far2) and {enough}").where(_compatible("n", "n2", percent)).selectExpr("leader", "key a", "key2 b").distinct()
+        found.add(saved(_shared(pairs, facts, ["leader"], percent), "links"))
+        if last:
+            return
+        families = saved(lists.join(many.where(F.col("m") > 8 * short).select("sig"), "sig", "left_semi").selectExpr("sig leader", "key", "n"), "families")
+        if families.isEmpty():
+            return
+
+
+def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75,
+                    frequent: int = FREQUENT, short: int = SHORT) -> DataFrame:
     """``id_col, n_shingles, key, component_id`` of every row: key names the set (null without shingles),
     component_id is the smallest id that links reach."""
     spark = docs.sparkSession
@@ -403,39 +613,14 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keyed = made.where("range is null").select("id", "n", "key")
     table = _classes(made.where("range is not null").select("range", "packed"), bits)
     classes = spark.sparkContext.broadcast(table.tobytes())
-    lists = _lists(texts, classes, words, percent, bits)
-    comp = spark.createDataFrame([], "key long, comp long")
-    if not lists.isEmpty():
-        sets = _sets_of(texts, lists.select("key").distinct(), words)
-        links, tried, exact, turn = spark.createDataFrame([], "a long, b long"), None, False, 0
-        while True:
-            open_ = lists.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key")) if turn else lists.withColumn("comp", F.col("key"))
-            centre = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "comp")).alias("c")
-            many = saved(open_.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), centre, F.count("*").alias("m")).where("lo < hi"), "open")
-            members, all_pairs = many.agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - 1) / 2)).first()
-            if not members:
-                break
-            exact = exact or turn >= STAR_ROUNDS or all_pairs <= 4 * members
-            if exact:  # all pairs that are left
-                rest = open_.join(many.select("sig"), "sig", "left_semi")
-                other = rest.selectExpr("sig", "key key2", "n n2", "comp comp2")
-                pairs = rest.join(other, "sig").where("key < key2 and comp <> comp2").where(_compatible("n", "n2", percent)).selectExpr("key a", "key2 b").distinct()
-            else:
-                pairs = open_.join(many.select("sig", "c"), "sig").where("comp <> c.comp").where(_compatible("n", "c.n", percent)).selectExpr("least(key, c.key) a", "greatest(key, c.key) b").distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = saved(pairs, "pairs")
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            found = saved(_verify(pairs, sets, percent), "links")
-            linked = not found.isEmpty()
-            if linked:
-                links = links.unionByName(found)
-                comp = saved(components(links), "components")
-            if exact:
-                break
-            exact, turn = not linked, turn + 1
+    rare, often = _lists(texts, classes, words, percent, bits, frequent)
+    found = _Links(spark)
+    listed = rare.select("key").unionByName(often.select("key")).distinct()
+    if not listed.isEmpty():
+        sets = _sets_of(texts, listed, words)
+        _link_frequent(often, sets, classes, rare, found, percent, bits, short)
     lowest = keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("id"))
-    placed = lowest.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    placed = found.placed(lowest)
     names = placed.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = placed.join(names, "comp").select("key", "component_id")
     out = keyed.join(named, "key", "left")

@@ -230,14 +230,12 @@ def brute_components(texts):
     return [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("frequent", [jaccard.FREQUENT, 2])
-def test_jaccard_join(spark, monkeypatch, frequent):
-    """With the low bound for frequent shingles nearly all signatures are pairs."""
-    import numpy as np
-
+@pytest.mark.parametrize("bounds", [{}, {"frequent": 2, "short": 1}, {"frequent": 6, "short": 8}])
+def test_jaccard_join(spark, bounds):
+    """With low bounds nearly all shingles are frequent, and families and lists long."""
     rng = random.Random(11)
-    base = [words(rng, rng.randint(5, 90)) for _ in range(25)]
-    common = words(rng, 30)
+    base = [words(rng, rng.randint(5, 90)) for _ in range(12)]
+    common, chosen = words(rng, 30), words(rng, 110).split()
     texts = list(ODD)
     for b in base:
         for _ in range(rng.randint(1, 9)):
@@ -245,29 +243,34 @@ def test_jaccard_join(spark, monkeypatch, frequent):
             for _ in range(rng.randint(0, max(1, len(w) // 14))):
                 w[rng.randrange(len(w))] = words(rng, 1)
             texts.append(" ".join(w))
+    for _ in range(90):  # a large group of near copies, linked and not
+        w = list(chosen)
+        for _ in range(rng.choice([0, 1, 2, 2, 3, 3, 4, 5, 6, 8])):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        texts.append(" ".join(w))
     texts += [common + " " + words(rng, n) for n in range(0, 24)] + ["ONE two Three four", "one\ttwo three  four"]
     want = brute_components(texts)
-    if frequent != jaccard.FREQUENT:  # executors read the constant themselves: the scheme is checked on its functions
-        monkeypatch.setattr(jaccard, "FREQUENT", frequent)
-        sh = jaccard.Shingler()
-        sets = [s for s in sh([t or "" for t in texts])]
-        table_, bits = np.zeros(jaccard.CELLS, np.uint8), 8
-        x, c = np.unique(np.concatenate(sets), return_counts=True)
-        np.maximum.at(table_, jaccard.cells(*jaccard.cut(x, bits), bits), (2 * np.log2(c)).astype(np.uint8))
-        signed = [[set(p.tolist()) for p in jaccard.signatures(s, table_, 75, bits)] if len(s) else [set(), set()] for s in sets]
-        assert sum(len(s[1]) for s in signed) > 100
-        for i, j in itertools.combinations(range(len(texts)), 2):
-            a, b = set(sets[i].tolist()), set(sets[j].tolist())
-            if a and b and a != b and 100 * len(a & b) >= 75 * len(a | b):
-                assert signed[i][0] & signed[j][0] or signed[i][1] & signed[j][1], (i, j)
-        return
+    assert len(set(want[-116:-26])) > 5
     df = table(spark, texts)
-    got = jaccard.link_components(df.unionByName(df.where("doc_id = 5"))).collect()
+    got = jaccard.link_components(df.unionByName(df.where("doc_id = 5")), **bounds).collect()
     assert len(got) == len(texts) + 1
     for r in got:
         assert (r["n_shingles"], r["component_id"]) == (len(shingles(texts[r["doc_id"]])), want[r["doc_id"]])
-    assert jaccard.link_components(table(spark, [])).count() == 0
-    assert jaccard.link_components(table(spark, ["", None])).count() == 2
+    assert jaccard.link_components(table(spark, []), **bounds).count() == 0
+    assert jaccard.link_components(table(spark, ["", None]), **bounds).count() == 2
+
+
+def test_combinations_of_tokens():
+    """Sets that share the needed tokens share a combination."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        x, y = (set(rng.integers(0, 40, rng.integers(1, 25)).tolist()) for _ in range(2))
+        for need in range(1, len(x & y) + 1):
+            for single in (True, False) if need > 1 else (True,):
+                a, b = (set(jaccard.combinations(t, t.astype(np.int64), need, single).tolist()) for t in (np.array(sorted(s), np.uint64) for s in (x, y)))
+                assert a & b
 
 
 def test_stars_unite_like_one_task(spark, monkeypatch):
