@@ -11,7 +11,8 @@ from .dates import col
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 #: Legal-form endings of company names.
-LEGAL_FORMS = "gmbh|co|kg|ag|ltd|limited|inc|corp|corporation|llc|sa|srl|bv|plc|sarl|spa|oy|ab|as"
+LEGAL_FORMS = ("inc|incorporated|corp|corporation|co|company|llc|llp|lp|ltd|limited|plc|pllc|pc|gmbh|mbh|ag|kg|ug|ohg|gbr|ev|sa|sas|sarl|sl|srl|spa|spzoo|zoo|"
+               "bv|nv|ab|oy|oyj|asa|aps|kft|zrt|sro|doo|dd|pty|pvt|bhd|sdn|kk|gk|corpn|intl|international")
 
 
 def fold(c: Column | str) -> Column:
@@ -22,7 +23,7 @@ def fold(c: Column | str) -> Column:
 def company_key(c: Column | str) -> Column:
     """Folded, & as and, punctuation to spaces, trailing legal forms dropped."""
     x = F.regexp_replace(fold(c), "&", " and ")
-    x = F.trim(F.regexp_replace(F.regexp_replace(x, "[^a-z0-9 ]", " "), " +", " "))
+    x = F.trim(F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{N} ]", " "), " +", " "))
     return F.regexp_replace(F.regexp_replace(x, f"( and)?( ({LEGAL_FORMS}))+$", ""), f"( ({LEGAL_FORMS}))+$", "")
 
 
@@ -43,7 +44,7 @@ def stem(w: Column) -> Column:
     """Light plural stemmer."""
     n = F.length(w)
     return (F.when(w.endswith("ies") & (n > 4), F.concat(F.substring(w, F.lit(1), n - 3), F.lit("y")))
-            .when(w.endswith("sses"), F.substring(w, F.lit(1), n - 2))
+            .when((n > 4) & (w.endswith("sses") | w.endswith("shes") | w.endswith("ches") | w.endswith("xes")), F.substring(w, F.lit(1), n - 2))
             .when(w.endswith("s") & ~w.endswith("ss") & (n > 3), F.substring(w, F.lit(1), n - 1)).otherwise(w))
 
 
@@ -64,14 +65,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
+_MONEY = r"(?i)([$€£]|EUR)\s?([0-9]+(?:\.[0-9]+)?)\s?([kmb]?)"
+
+
 def money(c: Column | str) -> Column:
-    """$3.1M -> 3100000.0; null where there is no amount."""
-    number = F.regexp_extract(col(c), r"[$€£]\s?([0-9]+(?:\.[0-9]+)?)\s?([kKmMbB]?)", 1)
-    scale = F.lower(F.regexp_extract(col(c), r"[$€£]\s?([0-9]+(?:\.[0-9]+)?)\s?([kKmMbB]?)", 2))
+    """$3.1M -> 3100000.0, EUR 149k -> 149000.0; null where there is no amount."""
+    number, scale = F.regexp_extract(col(c), _MONEY, 2), F.lower(F.regexp_extract(col(c), _MONEY, 3))
     factor = F.when(scale == "k", 1e3).when(scale == "m", 1e6).when(scale == "b", 1e9).otherwise(1.0)
     return F.when(number != "", number.cast("double") * factor)
 
 
+def currency(c: Column | str) -> Column:
+    """USD, EUR or GBP of the amount that money() reads; null without one."""
+    sign = F.lower(F.regexp_extract(col(c), _MONEY, 1))
+    return F.when(sign == "$", "USD").when(sign == "£", "GBP").when(sign != "", "EUR")
+
+
 def number_tokens(c: Column | str) -> Column:
     """Numbers in a text, distinct, without thousands commas."""
     return F.array_distinct(F.transform(F.regexp_extract_all(col(c), F.lit(r"([0-9][0-9,.]*[0-9]|[0-9])"), F.lit(1)), lambda x: F.regexp_replace(x, ",", "")))

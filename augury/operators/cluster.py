@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from augury.functions.vectors import cosine, doubles, unit
+from augury.functions.vectors import cosine, doubles, norm, unit
 
 
 def mean_vectors(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
@@ -26,9 +26,23 @@ def centred(df: DataFrame, key: str, vec: str) -> DataFrame:
     return df.join(means, key).withColumn(vec, unit(F.zip_with(doubles(vec), "mean", lambda a, b: a - b))).drop("mean")
 
 
+def nearest_in_blocks(rows: DataFrame, queries: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
+    """``query_id, id, s``: the k rows of highest cosine to each query, by exact comparison. Rows are dealt to blocks
+    and each block meets every query; a block keeps its own k of each query before the blocks are merged."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("_q")).withColumn("_block", block)
+    dealt = rows.select(id_col, vec, F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("_block"))
+    pairs = dealt.join(asked, "_block").where(F.col(id_col) != F.col("query_id")).select("_block", "query_id", id_col, F.round(cosine(vec, "_q"), 12).alias("s"))
+    first = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("s"), id_col))
+    some = pairs.withColumn("_r", first("query_id", "_block")).where(F.col("_r") <= k)
+    return some.withColumn("_r", first("query_id")).where(F.col("_r") <= k).drop("_r", "_block")
+
+
 def cosine_kmeans(df: DataFrame, vec: str, k: int, seed: int = 42, out: str = "cluster") -> tuple[DataFrame, list[list[float]]]:
-    """Spherical k-means: clusters of unit vectors, and the k centres."""
-    data = df.withColumn("_v", array_to_vector(unit(vec)))
+    """Spherical k-means: clusters of unit vectors, and the k centres. Vectors that are null or all zero have no
+    direction: they take no part and get no row."""
+    data = df.where(norm(vec) > 0).withColumn("_v", array_to_vector(unit(vec)))
     model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=out, distanceMeasure="cosine", maxIter=20).fit(data)
     return model.transform(data).drop("_v"), [c.tolist() for c in model.clusterCenters()]
 

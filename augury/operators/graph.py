@@ -24,17 +24,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
 
 
-def log_path_counts(nodes: DataFrame, edges: DataFrame, layers: int) -> DataFrame:
-    """``node, logn``: log of 1 + the paths that end at each node of a DAG. nodes: (node, layer); edges: (src, dst)
-    from a later layer to an earlier one. One join a layer; counts stay logarithms, so they cannot overflow."""
+def log_path_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, logn``: log of 1 + the paths that end at each node of a DAG. nodes: (node, layer), layers being few
+    (years); edges: (src, dst) from a later layer to an earlier one, others don't count. One join and one written
+    table a layer; sums are taken after a shift by their largest logarithm, so that no count leaves the logarithms."""
     e = edges.join(nodes.select(F.col("node").alias("src"), F.col("layer").alias("ls")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("layer").alias("ld")), "dst").where("ls > ld")
     known = None
-    for layer in range(layers):
+    for (layer,) in nodes.select("layer").distinct().orderBy("layer").collect():  # layers, not rows
         now = nodes.where(F.col("layer") == layer).select("node")
         if known is None:
             known = cut(now.withColumn("logn", F.lit(0.0)), "paths")
             continue
-        sums = e.where(F.col("ls") == layer).join(known.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.exp("logn")).alias("s"))
-        got = now.join(sums, "node", "left").select("node", F.log1p(F.coalesce("s", F.lit(0.0))).alias("logn"))
-        known = cut(known.unionByName(got), "paths")
+        told = e.where(F.col("ls") == layer).join(known.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "logn")
+        top = told.groupBy("node").agg(F.max("logn").alias("top"))
+        sums = told.join(top, "node").groupBy("node", "top").agg(F.sum(F.exp(F.col("logn") - F.col("top"))).alias("s"))
+        got = now.join(sums, "node", "left").select("node", F.coalesce(F.col("top") + F.log(F.col("s") + F.exp(-F.col("top"))), F.lit(0.0)).alias("logn"))
+        known = known.unionByName(cut(got, "paths"))
     return known

@@ -220,11 +220,11 @@ def page_with_total(spark, d):
 
 
 @query("""SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v FROM (SELECT c_custkey AS k, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS v FROM customer WHERE c_custkey % 2 = 0) a
-FULL JOIN (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k""")
+FULL JOIN (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 1 OR c_custkey % 3 = 0) b ON a.k = b.k""")
 def upsert_coalesce(spark, d):
     c = t(spark, d, "customer")
     held = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("v"))
-    return R.upsert(held, c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), "k", ["v"])
+    return R.upsert(held, c.where("c_custkey % 2 = 1 OR c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), "k", ["v"])
 
 
 @query("""SELECT source, doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT source, min(doc_id) FROM documents WHERE lang = 'de' AND source NOT IN (SELECT source FROM documents WHERE lang = 'en') GROUP BY source""")
@@ -240,10 +240,10 @@ def distinct_on(spark, d):
 
 
 @query("""SELECT coalesce(h.k, n.k) AS k, CASE WHEN h.k IS NULL THEN 'insert' WHEN n.k IS NULL THEN 'retract' WHEN h.v IS DISTINCT FROM n.v THEN 'update' ELSE 'unchanged' END AS action
-FROM (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 4 <> 0) h FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 5 <> 0) n ON h.k = n.k""")
+FROM (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 4 <> 0) h FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 4 = 0) n ON h.k = n.k""")
 def cdc_plan(spark, d):
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
-    return R.change_plan(o.where("k % 4 <> 0"), o.where("k % 5 <> 0").withColumn("v", F.when(F.col("k") % 7 == 0, "X").otherwise(F.col("v"))), "k", "v")
+    return R.change_plan(o.where("k % 4 <> 0"), o.where("k % 5 <> 0 OR k % 4 = 0").withColumn("v", F.when(F.col("k") % 7 == 0, "X").otherwise(F.col("v"))), "k", "v")
 
 
 @query("""SELECT l_partkey, base, recent, round(recent / base, 6) AS growth FROM (SELECT l_partkey, count(*) FILTER (WHERE year(l_shipdate) = lo) AS base, count(*) FILTER (WHERE year(l_shipdate) = hi - 1) AS recent

@@ -60,9 +60,9 @@ def monotone_growth(spark, d):
     return n.groupBy("user_id").agg((F.bool_and(F.col("n") >= F.col("p")) & (F.count("*") >= 3)).alias("growing"))
 
 
-@query(f"""SELECT doc_id, len(list_filter({_W.format("left(text, 60)")}, lambda x: NOT list_contains({_W.format("substr(text, 61)")}, x))) AS unsupported FROM documents""")
+@query(f"""SELECT doc_id, len(list_filter(list_distinct({_W.format("split_part(text, chr(10), 1)")}), lambda x: NOT list_contains({_W.format("substr(text, length(split_part(text, chr(10), 1)) + 1)")}, x))) AS unsupported FROM documents""")
 def label_words_grounded(spark, d):
-    return t(spark, d, "documents").select("doc_id", words(F.substring("text", 1, 60)).alias("a"), words(F.expr("substring(text, 61)")).alias("b")).select("doc_id", F.size(F.filter("a", lambda w: ~F.array_contains("b", w))).cast("long").alias("unsupported"))
+    return t(spark, d, "documents").select("doc_id", words(F.substring_index("text", "\n", 1)).alias("a"), words(F.expr("substring(text, length(substring_index(text, '\n', 1)) + 1)")).alias("b")).select("doc_id", F.size(F.array_except("a", "b")).cast("long").alias("unsupported"))
 
 
 @query("""SELECT item_id, array_to_string(list_filter(string_split(text, '. '), lambda s: NOT contains(lower(s), 'the ')), '. ') AS kept FROM benchmark""")

@@ -15,9 +15,9 @@ _FOLD = "translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúû
 _FORMS = T.LEGAL_FORMS
 
 
-@query(f"""SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace({_FOLD.format("left(text, 40) || ' GmbH & Co. KG'")}, '&', ' and ', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), '( and)?( ({_FORMS}))+$', ''), '( ({_FORMS}))+$', '') AS key FROM documents""")
+@query(f"""SELECT c_custkey, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace({_FOLD.format("c_name || ' Söhne GmbH & Co. KG'")}, '&', ' and ', 'g'), '[^\\p{{L}}\\p{{N}} ]', ' ', 'g'), ' +', ' ', 'g')), '( and)?( ({_FORMS}))+$', ''), '( ({_FORMS}))+$', '') AS key FROM customer""")
 def norm_company_key(spark, d):
-    return t(spark, d, "documents").select("doc_id", T.company_key(F.concat(F.substring("text", 1, 40), F.lit(" GmbH & Co. KG"))).alias("key"))
+    return t(spark, d, "customer").select("c_custkey", T.company_key(F.concat("c_name", F.lit(" Söhne GmbH & Co. KG"))).alias("key"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_brand, list_distinct([('  ' || lower(p_name) || ' ')[i:i + 2] for i in range(1, length(p_name) + 2)]) AS g FROM part)
@@ -28,10 +28,10 @@ def trigram_jaccard(spark, d):
     return a.join(b, "p_brand").where("a < b").withColumn("sim", T.jaccard(F.col("ga"), F.col("gb"))).where("sim >= 0.5").select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 97)::DOUBLE * 1e6 WHEN o_orderkey % 3 = 1 THEN (o_orderkey % 97)::DOUBLE * 1e3 ELSE NULL END AS amount FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 97)::DOUBLE * 1e6 WHEN o_orderkey % 3 = 1 THEN (o_orderkey % 97)::DOUBLE * 1e3 ELSE NULL END AS amount, CASE o_orderkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' END AS currency FROM orders""")
 def parse_money(spark, d):
-    said = F.when(F.col("o_orderkey") % 3 == 0, F.format_string("raised $%dM in seed", F.col("o_orderkey") % 97)).when(F.col("o_orderkey") % 3 == 1, F.format_string("grant of € %dk", F.col("o_orderkey") % 97)).otherwise("undisclosed")
-    return t(spark, d, "orders").select("o_orderkey", T.money(said).alias("amount"))
+    said = F.when(F.col("o_orderkey") % 3 == 0, F.format_string("raised $%dM in seed", F.col("o_orderkey") % 97)).when(F.col("o_orderkey") % 3 == 1, F.format_string("secures EUR %dk grant", F.col("o_orderkey") % 97)).otherwise("undisclosed")
+    return t(spark, d, "orders").select("o_orderkey", T.money(said).alias("amount"), T.currency(said).alias("currency"))
 
 
 @query("""SELECT event_type, count(*) AS n, sum((props->>'$.k')::INT)::BIGINT AS total, max((props->>'$.k')::INT) AS top FROM events GROUP BY event_type""")
@@ -119,6 +119,6 @@ def html_to_text(spark, d):
 query()(html_to_text)
 
 
-@query("""SELECT w, s FROM (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM benchmark), LATERAL (SELECT CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%sses' THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END AS s)""")
+@query("""SELECT w, s FROM (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM benchmark), LATERAL (SELECT CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN left(w, length(w) - 3) || 'y' WHEN length(w) > 4 AND (w LIKE '%sses' OR w LIKE '%shes' OR w LIKE '%ches' OR w LIKE '%xes') THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END AS s)""")
 def stemmed_tokens(spark, d):
     return t(spark, d, "benchmark").select(F.explode(T.words("text")).alias("w")).distinct().select("w", T.stem(F.col("w")).alias("s"))

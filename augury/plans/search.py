@@ -103,10 +103,10 @@ def chips_and_substrings(spark, d):
     return hits.select("doc_id", (F.lower(F.substring("text", 1, 60)).contains("the").cast("int") * 2 + 1).alias("boost"))
 
 
-@query("""SELECT lang, term, df FROM (SELECT lang, term, count(*) AS df FROM (SELECT lang, unnest(list_distinct(list_filter(regexp_split_to_array(lower(left(text, 80)), '[^a-z0-9]+'), lambda w: length(w) >= 4))) AS term FROM documents) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY df DESC, term) <= 3""")
+@query("""SELECT lang, term, df FROM (SELECT lang, term, count(*) AS df FROM (SELECT lang, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 4))) AS term FROM documents) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY df DESC, term) <= 3""")
 def title_terms(spark, d):
     from augury.operators.relational import first_per_key
 
-    terms = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 80)), "[^a-z0-9]+"), lambda w: F.length(w) >= 4))
+    terms = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: F.length(w) >= 4))
     df = t(spark, d, "documents").select("lang", F.explode(terms).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("df"))
     return first_per_key(df, ["lang"], [F.desc("df"), F.col("term")], 3)

@@ -38,9 +38,9 @@ def percent_rank_in_group(spark, d):
 
 
 @query("""SELECT o_orderkey, round(CASE WHEN count(*) OVER (PARTITION BY y, p) >= 50 THEN (row_number() OVER (PARTITION BY y, p ORDER BY v, o_orderkey) - 0.5) / count(*) OVER (PARTITION BY y, p)
-ELSE (row_number() OVER (PARTITION BY y ORDER BY v, o_orderkey) - 0.5) / count(*) OVER (PARTITION BY y) END, 6)::DOUBLE AS pct FROM (SELECT o_orderkey, year(o_orderdate) AS y, o_orderpriority AS p, o_totalprice AS v FROM orders WHERE o_orderkey % 3 = 0 OR o_orderpriority = '5-LOW')""")
+ELSE (row_number() OVER (PARTITION BY y ORDER BY v, o_orderkey) - 0.5) / count(*) OVER (PARTITION BY y) END, 6)::DOUBLE AS pct FROM (SELECT o_orderkey, year(o_orderdate) AS y, o_orderpriority AS p, o_totalprice AS v FROM orders)""")
 def cohort_percentile_with_fallback(spark, d):
-    o = t(spark, d, "orders").where("o_orderkey % 3 = 0 OR o_orderpriority = '5-LOW'").select("o_orderkey", F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("p"), F.col("o_totalprice").alias("v"))
+    o = t(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("p"), F.col("o_totalprice").alias("v"))
     return S.cohort_percentile(o, "v", "o_orderkey", ["y", "p"], ["y"], 50, "pct").select("o_orderkey", F.round("pct", 6).alias("pct"))
 
 

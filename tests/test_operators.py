@@ -123,7 +123,7 @@ def test_components_chain_and_pair(spark):
 def test_path_counts(spark):
     nodes = spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "node int, layer int")
     edges = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (0, 2)], "src int, dst int")  # the last one points forward
-    got = {r["node"]: r["logn"] for r in graph.log_path_counts(nodes, edges, 3).collect()}
+    got = {r["node"]: r["logn"] for r in graph.log_path_counts(nodes, edges).collect()}
     assert got[0] == 0 and got[1] == pytest.approx(math.log(2)) and got[2] == pytest.approx(math.log(4))
 
 
@@ -194,3 +194,29 @@ def test_near_duplicate_pairs_of_all_labels(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = catalog.QUERIES["near_duplicate_pairs_all_labels"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_path_counts_stay_logarithms(spark):
+    """Repeated edges count as paths of their own; the shifted sum holds where exp() of a logarithm would not."""
+    nodes = spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "node int, layer int")
+    edges = spark.createDataFrame([(1, 0)] * 2 + [(2, 1)] * 2, "src int, dst int")
+    got = {r["node"]: r["logn"] for r in graph.log_path_counts(nodes, edges).collect()}
+    assert got[2] == pytest.approx(math.log(7))
+    one = spark.createDataFrame([(800.0,), (799.0,)], "x double")
+    top = one.agg(F.max("x")).first()[0]
+    assert one.agg(F.lit(top) + F.log(F.sum(F.exp(F.col("x") - top)) + F.exp(F.lit(-top)))).first()[0] == pytest.approx(800 + math.log(1 + math.exp(-1)))
+
+
+@pytest.mark.parametrize("raw, unit", [("$3.1M", "USD"), ("EUR 149k", "EUR"), ("none", None)])
+def test_currency(spark, raw, unit):
+    assert value(spark, T.currency(F.lit(raw))) == unit
+
+
+def test_codes(spark):
+    from augury.functions import codes as K
+
+    assert value(spark, K.state_code(F.lit(" New York "))) == "NY" and value(spark, K.state_code(F.lit("ny"))) == "NY" and value(spark, K.state_code(F.lit("Bavaria"))) is None
+    assert value(spark, K.with_migrated(F.array(F.lit("H01L"), F.lit("A01B")))) == ["H01L", "H10B", "H10D", "H10F", "H10H", "H10K", "H10N", "H10P", "H10W", "A01B"]
+    assert value(spark, K.patents_in(F.lit("EP-3535216-B1 · EP3535216B1 · US 12722991 B2 · WO2024/123456 A1"))) == ["EP-3535216-B1", "US-12722991-B2", "WO-2024123456-A1"]
+    assert [value(spark, K.local_number(F.lit(x))) for x in ("3 429", "3.429", "6,4", "x")] == [3429.0, 3429.0, 6.4, None]
+    assert value(spark, K.actor_name(F.lit("ANN AND SONS"))) is None and value(spark, K.actor_name(F.lit("IBM"))) == "IBM"
