@@ -52,3 +52,14 @@ def cohort_percentile(df: DataFrame, value: str, tie: str, cohort: Sequence[str]
         return (F.row_number().over(w.orderBy(value, tie)) - 0.5) / F.count("*").over(w)
 
     return df.withColumn(out, F.when(F.count("*").over(W.partitionBy(*cohort)) >= least, mid(cohort)).otherwise(mid(wider)))
+
+
+def rank_in_parts(df: DataFrame, key: list[str], hashed: str, ties: list[str], out: str, digits: int = 2) -> DataFrame:
+    """Ranks from 0 within a key by a column of hex hashes: within the parts that their first digits make, shifted by
+    the counts of the parts before, so that no key has to fit in one task."""
+    parted = df.withColumn("_part", F.substring(hashed, 1, digits))
+    counts = parted.groupBy(*key, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    shifts = counts.select(*key, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(W.partitionBy(*key, "_part").orderBy(hashed, *ties)) - 1
+    return parted.withColumn("_within", within).join(shifts, [*key, "_part"]).withColumn(out, F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
