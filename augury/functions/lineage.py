@@ -15,6 +15,8 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     unset (tests on one machine)."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not base:
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="augury-cut-"))
