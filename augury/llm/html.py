@@ -8,8 +8,11 @@
    such an element (or with nothing in it) falls back to its own best container.
 
 Inside the chosen element, subtrees that are menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments, scripts or styles by tag, role, class or id are left out. Block elements part blocks; inline tags
-don't, and a line break is white space. Character references are decoded; white space inside a block becomes
+comments, scripts or styles by tag, role, class or id, and hidden ones, are left out. A class such as ``has-sidebar``
+tells of something else and doesn't count; an inline element is left out only if every word of one of its classes says
+so; and an element with a page's main heading or <main> and more than half of its text is no boilerplate whatever its
+class or, for a form, its tag. Block elements part blocks; inline tags
+(left out or not) don't, and a line break is white space. Character references are decoded; white space inside a block becomes
 one space.
 
 Scale: pages are never shuffled while the table of winners (one short row a host) is under ``broadcast_bytes``
@@ -34,7 +37,8 @@ from .common import saved, slices, unused
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select".split())
+INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i ins kbd label mark math q s samp small span strong sub sup time tt u var".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul hr".split())
 #: What closes an open <p>, and which siblings close each other.
 ENDS_P = BLOCK - frozenset("html head body td th tr tbody thead tfoot li dd dt summary figcaption".split())
@@ -50,38 +54,55 @@ BOILER_NAMES = frozenset(
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*|/)?)>", re.S)
 _ATTR = re.compile(r"([^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")  # one attribute with its value
 _NAME = re.compile(r"[A-Za-z]+")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+# First words of classes that tell of other elements, and words beside names that add nothing.
+ABOUT = frozenset("has have with without no not is js hide show".split())
+BESIDE = frozenset("link links button btn icon icons box text item label list wrapper container".split())
 _DIGITS = re.compile(r"\d+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "boiler", "score", "parent", "inside")
+    __slots__ = ("tag", "path", "boiler", "score", "parent", "inside", "root")
 
-    def __init__(self, tag: str, path: str, boiler: bool, parent: Element | None, inside: bool):
-        self.tag, self.path, self.boiler, self.parent, self.inside, self.score = tag, path, boiler, parent, inside, 0.0
+    def __init__(self, tag: str, path: str, boiler: bool, parent: Element | None, inside: bool, root: int = 0):
+        self.tag, self.path, self.boiler, self.parent, self.inside, self.root, self.score = tag, path, boiler, parent, inside, root, 0.0
 
 
-def _described(tag: str, attrs: str) -> tuple[str, bool]:
-    """A step of a path, and whether the element is boilerplate."""
+def _named(tag: str, name: str) -> bool:
+    """Whether one class or id says boilerplate."""
+    found = [n.lower() for n in _NAME.findall(name)]
+    if not found or found[0] in ABOUT:
+        return False
+    told = [n in BOILER_NAMES for n in found]
+    return any(told) and (tag not in INLINE or all(t or n in BESIDE for t, n in zip(told, found, strict=True)))
+
+
+def _described(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """A step of a path, whether the element is boilerplate, and whether that is by its looks only."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
     classes = found.get("class", "").split()
-    names = {n.lower() for c in [*classes, found.get("id", "")] for n in _NAME.findall(c)}
-    boiler = tag in BOILER_TAGS or found.get("role", "").lower() in BOILER_ROLES or "hidden" in found
-    boiler |= tag not in ("html", "body", "article", "main") and not BOILER_NAMES.isdisjoint(names)
-    return ".".join([tag, *sorted(_DIGITS.sub("#", c) for c in classes)]), boiler
+    sure = tag in BOILER_TAGS and tag != "form" or found.get("role", "").lower() in BOILER_ROLES
+    sure = sure or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(found.get("style", "")))
+    looks = tag == "form" or tag not in ("html", "body", "article", "main") and any(_named(tag, c) for c in [*classes, found.get("id", "")])
+    return ".".join([tag, *sorted(_DIGITS.sub("#", c) for c in classes)]), sure or looks, looks and not sure
 
 
-def walk(page: str, chosen: frozenset[str] = frozenset()) -> tuple[dict[str, float], list[str]]:
-    """One pass: scores of containers by path, and the blocks of text in elements on chosen paths."""
+def walk(page: str, chosen: frozenset[str] = frozenset(), cleared: frozenset[int] = frozenset()) -> tuple[dict[str, float], list[str]]:
+    """One pass: scores of containers by path, and the blocks of text in elements on chosen paths. cleared are elements
+    (by their number) that only look like boilerplate; a page that needs one is walked again, which is rare."""
     root = Element("", "", False, None, "/" in chosen)
     open_, scores, blocks, pending, links, at = root, {}, [], [], 0, 0
     took = 0  # characters of linked text in the block
+    number, total, held, main = 0, 0, {}, set()  # elements so far, characters of the page and of each looking root, roots with the main heading
 
     def flush(owner: Element) -> None:
         nonlocal took
         if pending:
             text = " ".join(entities.unescape("".join(pending)).split())
             pending.clear()
-            if text and not owner.boiler:
+            while owner.boiler:  # its own text is never pending
+                owner = owner.parent
+            if text:
                 if owner.inside:
                     blocks.append(text)
                 value, up = max(0.0, len(text) - 2.0 * took), owner
@@ -99,7 +120,7 @@ def walk(page: str, chosen: frozenset[str] = frozenset()) -> tuple[dict[str, flo
     def close(until: Element) -> None:
         nonlocal open_, links
         while open_ is not until:
-            if open_.tag in BLOCK or open_.boiler and not open_.parent.boiler:
+            if open_.tag in BLOCK and not open_.parent.boiler:
                 flush(open_)
             links -= open_.tag == "a"
             open_ = open_.parent
@@ -118,6 +139,11 @@ def walk(page: str, chosen: frozenset[str] = frozenset()) -> tuple[dict[str, flo
     while at < end:
         m = _TAG.search(page, at)
         text = page[at:m.start() if m else end]
+        if text:
+            size = len(text.strip())
+            total += size
+            if open_.root:
+                held[open_.root] = held.get(open_.root, 0) + size
         if text and not open_.boiler:
             pending.append(text)
             if links:
@@ -148,20 +174,30 @@ def walk(page: str, chosen: frozenset[str] = frozenset()) -> tuple[dict[str, flo
             close(e.parent)
         if tag in SIBLINGS and (e := nearest(SIBLINGS[tag], frozenset(("ul", "ol", "dl", "table", "select")))) is not None:
             close(e.parent)
-        step, boiler = _described(tag, m[3])
-        if tag in BLOCK or boiler and not open_.boiler:
+        step, boiler, looks = _described(tag, m[3])
+        number += 1
+        root_ = open_.root
+        if boiler and looks and number in cleared:
+            boiler = False
+        elif boiler and not open_.boiler:
+            root_ = number if looks else 0
+        if tag in ("h1", "main") and root_:
+            main.add(root_)
+        if tag in BLOCK and not open_.boiler:
             flush(open_)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        if tag in RAW:
+        if tag in RAW:  # without an end tag a script or style runs to the end of the page, others hold nothing
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else end
+            at = stop.end() if stop else end if tag in ("script", "style") else at
             continue
         path = f"{open_.path}/{step}" if tag in BLOCK else open_.path
-        open_ = Element(tag, path, boiler or open_.boiler, open_, open_.inside or path in chosen)
+        open_ = Element(tag, path, boiler or open_.boiler, open_, open_.inside or path in chosen, root_)
         links += tag == "a"
     close(root)
     flush(root)
+    if wrong := [r for r in main if 2 * held.get(r, 0) > total]:
+        return walk(page, chosen, cleared.union(wrong))
     return scores, blocks
 
 
