@@ -15,7 +15,7 @@ each document that holds it a few rows; documents are never paired with each oth
 Words: runs of characters other than ASCII ones that are no letters or digits, A-Z lower-cased.
 
 Rows: null and empty texts have no words; an item without words has no windows; repeated rows each keep their
-result; items of equal texts count each under its own id; other columns are ignored; empty tables on either
+result; items of equal texts count each under its own id, which may be of any type; ids may have any name; other columns are ignored; empty tables on either
 side give rows without hits, or no rows.
 """
 
@@ -95,25 +95,26 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_
     (item_id, start, length; starts from 0), n_hit the words inside any, items the sorted ids as strings."""
     items = (benchmark.select(F.col(item_col).alias("item_id"), split_words(ascii_lower(item_text_col)).alias("item_words"))
              .where("size(item_words) > 0").distinct())
-    given = docs.select(F.col(id_col), F.xxhash64(text_col).alias("_text"), split_words(F.col(text_col)).alias("doc_words"))
+    item_type = items.schema["item_id"].dataType.simpleString()
+    given = docs.select(F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_text"), split_words(F.col(text_col)).alias("doc_words"))
     vocabulary = items.select(F.explode("item_words").alias("w")).select(loose("w").alias("h")).distinct()
     n_words, n_bytes = items.agg(F.coalesce(F.sum(F.size("item_words")), F.lit(0)), F.coalesce(F.sum(F.octet_length(F.array_join("item_words", " "))), F.lit(0))).first()
     small = n_bytes * 20 + n_words * 60 <= broadcast_bytes  # a bound of what the anchors of all items hold
     shared = F.broadcast if small else (lambda df: df)
     counts = given.select(F.explode("doc_words").alias("w")).select(loose("w").alias("h")).join(shared(vocabulary), "h", "left_semi" if not small else "inner").groupBy("h").agg(F.count("*").alias("n"))
     found = anchors(items, counts, window)
-    keys = [id_col, "_text"]
+    keys = ["_doc", "_text"]
     if small:
         joined = given.select(*keys, "doc_words", F.posexplode("doc_words").alias("pos", "w")).withColumn("h", loose("w")).join(F.broadcast(found), "h")
         cands = _candidates(joined, keys, F.size("doc_words"))
     else:
         placed = given.select(*keys, F.posexplode("doc_words").alias("pos", "w")).select(*keys, "pos", loose("w").alias("h"))
-        wanted = placed.join(found, "h").select(F.col(id_col).alias("_i"), F.col("_text").alias("_t"), "pos", "item_id", "at", "first", "last", "length", "words")
-        joined = given.dropDuplicates(keys).join(wanted, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t")))
+        wanted = placed.join(found, "h").select(F.col("_doc").alias("_i"), F.col("_text").alias("_t"), "pos", "item_id", "at", "first", "last", "length", "words")
+        joined = given.dropDuplicates(keys).join(wanted, F.col("_doc").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t")))
         cands = _candidates(joined, keys, F.size("doc_words"))
-    hits = cands.groupBy(*keys).agg(F.array_distinct(_verified(F.collect_set("c"))).alias("hits")).withColumnsRenamed({id_col: "_i", "_text": "_t"})
+    hits = cands.groupBy(*keys).agg(F.array_distinct(_verified(F.collect_set("c"))).alias("hits")).withColumnsRenamed({"_doc": "_i", "_text": "_t"})
     sized = given.select(*keys, F.size("doc_words").cast("long").alias("n_words"))
-    none = F.array().cast("array<struct<item_id:bigint,start:int,length:int>>")
-    out = sized.join(hits, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t")), "left")
-    out = out.select(id_col, "n_words", F.coalesce("hits", none).alias("hits"))
-    return out.select("*", _covered(F.col("hits")).alias("n_hit"), F.array_sort(F.array_distinct(F.transform("hits", lambda w: w["item_id"].cast("string")))).alias("items"))
+    none = F.array().cast(f"array<struct<item_id:{item_type},start:int,length:int>>")
+    out = sized.join(hits, F.col("_doc").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t")), "left")
+    out = out.select("_doc", "n_words", F.coalesce("hits", none).alias("hits"))
+    return out.select(F.col("_doc").alias(id_col), "n_words", "hits", _covered(F.col("hits")).alias("n_hit"), F.array_sort(F.array_distinct(F.transform("hits", lambda w: w["item_id"].cast("string")))).alias("items"))
