@@ -80,10 +80,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_bin_packing, op3_token_counts, op4_hnsw, op5_sentencepiece, op6_quote_links, op7_jaccard_join, op8_quality, op9_host_paths, op10_decontamination, pipeline)}
 SQL: dict[str, str] = {
     "op6_quote_links": r"""
-WITH told AS (SELECT row_number() OVER () AS m, * FROM (SELECT DISTINCT conv_id, turn, role, text AS raw FROM conversations)),
+WITH RECURSIVE told AS (SELECT row_number() OVER () AS m, * FROM (SELECT DISTINCT conv_id, turn, role, text AS raw FROM conversations)),
 split AS (SELECT m, conv_id, turn, unnest(string_split(coalesce(raw, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(raw, ''), chr(10)), 1) AS pos FROM told),
 lines AS (SELECT m, conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)*)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^((?:[ \t]*>)*)', '') AS line FROM split),
-marked AS (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY m ORDER BY pos) THEN 1 ELSE 0 END AS fresh FROM lines),
+attributed AS (SELECT m, conv_id, turn, pos, line, CASE WHEN level = 0 AND lead(level) OVER (PARTITION BY m ORDER BY pos) > 0 AND regexp_matches(line, '^[ \t]*((on|am|le|el) .*)?(wrote|writes|schrieb|a écrit|escribió)[^a-z]*:[ \t\r]*$', 'i') THEN -1 ELSE level END AS level FROM lines),
+marked AS (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY m ORDER BY pos) THEN 1 ELSE 0 END AS fresh FROM attributed),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY m ORDER BY pos) AS passage FROM marked),
 own AS (SELECT m, conv_id, turn, string_agg(line, chr(10) ORDER BY pos) AS told FROM runs WHERE level = 0 GROUP BY ALL),
 passages AS (SELECT m, conv_id, turn, passage, level, string_agg(line, ' ' ORDER BY pos) AS told FROM runs GROUP BY m, conv_id, turn, passage, level),
@@ -94,10 +95,13 @@ hashed AS (SELECT * EXCLUDE told, trim(regexp_replace(translate(told, 'ABCDEFGHI
 links AS (SELECT m, passage, level, part, max(source_turn) AS source_turn FROM hashed JOIN first USING (conv_id, h) WHERE h <> '' AND source_turn < turn GROUP BY ALL),
 best AS (SELECT m, passage, level, arg_min(source_turn, part) AS source_turn FROM links GROUP BY ALL),
 linked AS (SELECT m, arg_min(source_turn, level) AS parent_turn, sum(n) AS n_linked FROM (SELECT m, level, max(source_turn) AS source_turn, count(*) AS n FROM best GROUP BY ALL) GROUP BY m),
+answers AS (SELECT t.conv_id, t.turn, min(l.parent_turn) AS parent FROM linked l JOIN told t USING (m) GROUP BY ALL),
+chains AS (SELECT conv_id, turn, parent AS root FROM answers UNION ALL SELECT c.conv_id, c.turn, a.parent FROM chains c JOIN answers a ON a.conv_id = c.conv_id AND a.turn = c.root),
+roots AS (SELECT conv_id, turn, min(root) AS root FROM chains GROUP BY ALL),
 quoted AS (SELECT m, count(*) AS n_quoted, max(level) AS max_level FROM passages WHERE level > 0 GROUP BY m)
 SELECT t.conv_id, t.turn, t.role, coalesce(trim(o.told), '') AS text, coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked, coalesce(max_level, 0)::INT AS max_level, parent_turn,
-  (row_number() OVER (PARTITION BY t.conv_id ORDER BY t.turn, t.role, md5(coalesce(trim(o.told), ''))) - 1)::BIGINT AS reply_pos
-FROM told t LEFT JOIN own o ON o.m = t.m LEFT JOIN quoted q ON q.m = t.m LEFT JOIN linked l ON l.m = t.m
+  (row_number() OVER (PARTITION BY t.conv_id ORDER BY coalesce(r.root, t.turn), t.turn, t.role, md5(coalesce(trim(o.told), ''))) - 1)::BIGINT AS reply_pos
+FROM told t LEFT JOIN own o ON o.m = t.m LEFT JOIN quoted q ON q.m = t.m LEFT JOIN linked l ON l.m = t.m LEFT JOIN roots r ON r.conv_id = t.conv_id AND r.turn = t.turn
 """,
     "op7_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM documents),
