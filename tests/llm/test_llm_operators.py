@@ -367,3 +367,135 @@ def test_digest_query_columns(spark):
 
     r = piece_digests(table(spark, [None]).select("doc_id", "text")).first()
     assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest())
+
+
+def test_viterbi_against_all_readings():
+    """The decoder's reading of short tokens has the best score of all paths through the lattice."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 40, toxicity.SYMBOLS**4) * (rng.random(toxicity.SYMBOLS**4) < 0.2)
+    logs, ids, n = toxicity.log_probabilities(counts.astype(float)), toxicity._symbols(), toxicity.SYMBOLS
+    decode = toxicity.Decoder(logs)
+
+    def cost(reading):
+        at, total = 0, 0.0
+        for text, c in reading:
+            total += c
+            for char in text:
+                s = int(ids[ord(char)])
+                if s or at % n:
+                    total += logs[at * n + s]
+                    at = (at * n + s) % n**3
+        return total + (logs[at * n] if at % n else 0.0)
+
+    for token, spaced in (("h3ll0", False), ("b@@d", False), ("cooool", False), ("x_y.z", False), ("a s s", True), ("i d 1 0 t", True), ("f*n", False), ("9", False)):
+        runs = [(m[1], len(m[0])) for m in toxicity._RUN.finditer(token)]
+        readings = list(itertools.product(*(decode.options(c, k, spaced) for c, k in runs)))
+        best = max(map(cost, readings))
+        said = decode(token, spaced)
+        assert max(cost(r) for r in readings if "".join(t for t, _ in r) == said) == pytest.approx(best, abs=1e-4)
+
+
+def test_quality_scores_feature_by_feature():
+    import math
+
+    import numpy as np
+
+    rng = random.Random(4)
+    model = quality.Model(np.random.default_rng(1).normal(size=quality.BUCKETS), 0.3)
+    texts = [words(rng, rng.randint(1, 60)) for _ in range(20)] + ["a a a b", "", " ", "ünï ünï 中文", "x" * 5000]
+    mask = (1 << 32) - 1
+    for text, got in zip(texts, quality.Scorer(model)(texts), strict=True):
+        found = []
+        for i, w in enumerate(text.split()):
+            found.append(zlib.crc32(w.encode()) & (quality.BUCKETS - 1))
+            b = b"<" + w.encode() + b">"
+            for j in range(len(b) - 2):
+                h = (b[j] * 0x9E3779B1 & mask) ^ (b[j + 1] * 0x85EBCA77 & mask) ^ (b[j + 2] * 0xC2B2AE3D & mask)
+                found.append(((h ^ (h >> 15)) * 0x2C1B3C6D & mask) >> 15)
+            found += [quality.REPEAT] * 4 if i and w == text.split()[i - 1] else []
+        z = model.bias + (sum(float(model.weights[f]) for f in found) / len(found) if found else 0.0)
+        assert got == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+
+
+@pytest.mark.parametrize("body, text", [
+    ('<div class="content has-sidebar"><p>kept</p></div>', "kept"), ('<p>alpha <span class="search-hit">gamma</span> beta</p>', "alpha gamma beta"), ('<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>', "so x=1 holds"),
+    ('<iframe src="a" /><p>after it</p>', "after it"), ("<p>one<textarea>two</p><p>three</p>", "onetwo\nthree"), ('<p>said <span class="ad">buy</span>so</p>', "said so"), ('<p>a</p><div style="display: none">b</div><p aria-hidden="true">c</p>', "a"),
+    ('<div class="page-header-fixed"><h1>Title</h1><p>the whole article stands in here</p></div>', "Title\nthe whole article stands in here"), ('<form action="/x"><h1>Title</h1><p>the whole page is one form</p></form>', "Title\nthe whole page is one form"),
+    ('<div class="site-header"><h1>Paper</h1></div><p>an article longer than what stands above it</p>', "an article longer than what stands above it"), ('<p>short</p><div class="comments"><p>' + "much longer talk " * 20 + "</p></div>", "short"),
+])
+def test_html_markup(body, text):
+    assert html.extract(f"<html><body>{body}</body></html>", "/html/body") == text
+
+
+def test_html_against_a_tree():
+    """Random well-formed pages: a tree built by the standard parser, its blocks gathered recursively."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = self.at = ("#", {}, [], None)
+
+        def handle_starttag(self, tag, attrs):
+            node = (tag, dict(attrs), [], self.at)
+            self.at[2].append(node)
+            self.at = node
+
+        def handle_endtag(self, tag):
+            self.at = self.at[3]
+
+        def handle_data(self, data):
+            self.at[2].append(data)
+
+    def gather(node, out):
+        for kid in node[2]:
+            if isinstance(kid, str):
+                out.append(kid)
+            elif kid[0] not in ("script", "nav", "aside") and "hidden" not in kid[1] and kid[1].get("class") != "comments" and (kid[1].get("class") != "ad-slot" or kid[0] not in html.BLOCK):
+                part = kid[0] in html.BLOCK
+                out.append("\0" if part else "")
+                gather(kid, out)
+                out.append("\0" if part else "")
+            elif kid[0] in html.BLOCK:
+                out.append("\0")
+
+    rng = random.Random(6)
+
+    def make(depth):
+        made = ""
+        for _ in range(rng.randint(1, 4)):
+            if depth == 0 or rng.random() < 0.4:
+                made += rng.choice(["one two", " three ", "a &amp; b", "\\n", "x&lt;y "])
+                continue
+            tag, attrs = rng.choice(["div", "section", "ul", "em", "b", "span", "nav", "aside", "script"]), rng.choice(["", "", ' class="post"', ' class="comments"', ' class="ad-slot"', " hidden", ' data-x="nav"'])
+            made += f"<{tag}{attrs}>{'var x=1' if tag == 'script' else make(depth - 1)}</{tag}>"
+        return made
+
+    for _ in range(300):
+        page = f"<html><body>{make(4)}</body></html>"
+        tree, out = Tree(), []
+        tree.feed(page)
+        gather(tree.root, out)
+        blocks = [" ".join(b.split()) for b in "".join(out).split("\0")]
+        assert html.walk(page, frozenset(("/html/body",)))[1] == [b for b in blocks if b], page
+
+
+def test_decontamination_with_ids_of_any_kind(spark):
+    item = " ".join(f"w{i}" for i in range(14))
+    docs = spark.createDataFrame([("d1", f"x {item} y", 1), (None, item, 2), ("d3", "nothing", 3), ("d3", "nothing", 3)], "_text string, body string, hits int")
+    bench = spark.createDataFrame([("b", item), ("a", item), (None, "other words")], "item_id string, text string")
+    for limit in (64 << 20, 0):
+        got = sorted(((r["_text"], r["n_hit"], r["items"]) for r in decontam.find_windows(docs, bench, id_col="_text", text_col="body", broadcast_bytes=limit).collect()), key=repr)
+        assert got == sorted([("d1", 14, ["a", "b"]), (None, 14, ["a", "b"]), ("d3", 0, []), ("d3", 0, [])], key=repr)
+
+
+def test_reply_threads(spark):
+    rows = [(1, 0, "u", "first point made here"), (1, 1, "u", "an unrelated turn"), (1, 2, "a", "> an unrelated turn\nanswer to it"), (1, 3, "a", "On Monday Ann wrote:\n> first point made here\nanswer to the first"),
+            (1, 4, "u", "> answer to the first\nand on"), (1, 5, "u", "He wrote:\nnothing is quoted")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r for r in chat.link_quotes(df).collect()}
+    assert [t for t, _ in sorted(got.items(), key=lambda x: x[1]["reply_pos"])] == [0, 3, 4, 1, 2, 5]
+    assert got[3]["text"] == "answer to the first" and got[3]["parent_turn"] == 0 and got[5]["text"] == "He wrote:\nnothing is quoted"
+    assert all(r["parent_turn"] is None or got[r["parent_turn"]]["reply_pos"] < r["reply_pos"] for r in got.values())

@@ -66,3 +66,63 @@ def test_against_sql(spark, name):
     said = con.execute(entry.oracle_sql()[name])
     at = [[c[0] for c in said.description].index(c) for c in df.columns]
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in said.fetchall())
+
+
+def test_quotes_against_sql(spark, tmp_path):
+    """The given conversations hold no quotes: here half of the messages quote others, whole, by line, and nested."""
+    import random
+
+    import duckdb
+
+    from augury.llm import queries as Q
+
+    rng, rows = random.Random(5), []
+    for conv in range(12):
+        said = []
+        for turn in range(rng.randint(1, 12)):
+            own = [" ".join(rng.choice(["alpha", "beta", "Gamma", "delta"]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3))]
+            lines = []
+            for _ in range(rng.randint(0, 2) if said else 0):
+                quoted = rng.choice(said)
+                quoted = rng.sample(quoted, rng.randint(1, len(quoted))) if rng.random() < 0.4 else quoted
+                lines += rng.choice([[], ["On Monday x wrote:"], ["x wrote:"]]) + [rng.choice(["> ", ">", ">> ", " > > "]) + q for q in quoted]
+                lines += own[:1]
+            said.append(own)
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), "\n".join(lines + own)))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    df = Q.op6_quote_links(spark, str(tmp_path))
+    said = con.execute(Q.SQL["op6_quote_links"])
+    at = [[c[0] for c in said.description].index(c) for c in df.columns]
+    got = df.collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(tuple(r[i] for i in at)) for r in said.fetchall())
+    assert sum(r["n_linked"] for r in got) > 20
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage by plain means: texts scored one by one, all pairs compared, windows sought one by one, the library's ids."""
+    import hashlib
+
+    import sentencepiece
+
+    import corpus_pipeline as P
+    from augury.llm import quality, toxicity
+    from augury.llm.common import crc32_mod
+    from augury.llm.queries import PIECE_BPE
+    from tests.llm.test_llm_operators import brute_components, brute_hits
+
+    docs, labels = (spark.read.parquet(f"{DIR}/{n}.parquet") for n in ("documents", "labels"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()]
+    score = quality.Scorer(quality.fit(docs, labels, crc32_mod("doc_id", 3) != 1))
+    rows = [(i, x) for i, x in rows if score([x or ""])[0] >= 0.5]
+    kept = docs.where(docs["doc_id"].isin([i for i, _ in rows]))
+    score = toxicity.Scorer(toxicity.fit(kept, labels, crc32_mod("doc_id", 5) != 0))
+    rows = [(i, x) for i, x in rows if score([x or ""])[0] < 0.5]
+    rows = [r for r, c in zip(rows, brute_components([x for _, x in rows]), strict=True) if rows[c] == r]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    rows = [(i, x) for i, x in rows if not brute_hits(x, items)[1]]
+    p = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    want = [(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(p.decode(ids).encode()).hexdigest()) for i, ids in ((i, p.encode(x or "")) for i, x in rows)]
+    got = P.run(spark, DIR).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == want and 20 < len(want) < docs.count()
