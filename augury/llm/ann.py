@@ -170,7 +170,7 @@ def _build_shard(rows: pd.DataFrame, most: int) -> pd.DataFrame:
     })
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 8192, query_rows: int = 512, ef: int = EF_SEARCH) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 8192, query_rows: int = 4096, ef: int = EF_SEARCH) -> DataFrame:
     """``query_id, rank, <id>, score``: of each row for which ``is_query`` (a condition on its id) holds, the k
     nearest found among all other ids, by Euclidean distance."""
     most, parts = k + 1, max(1, -(-vectors.count() // shard_rows))
