@@ -220,3 +220,19 @@ def test_codes(spark):
     assert value(spark, K.patents_in(F.lit("EP-3535216-B1 · EP3535216B1 · US 12722991 B2 · WO2024/123456 A1"))) == ["EP-3535216-B1", "US-12722991-B2", "WO-2024123456-A1"]
     assert [value(spark, K.local_number(F.lit(x))) for x in ("3 429", "3.429", "6,4", "x")] == [3429.0, 3429.0, 6.4, None]
     assert value(spark, K.actor_name(F.lit("ANN AND SONS"))) is None and value(spark, K.actor_name(F.lit("IBM"))) == "IBM"
+
+
+def test_capped_allocation(spark):
+    from augury.operators import sampling as M
+
+    held = {"a": 1000, "b": 100, "c": 10}
+    got = M.capped_allocation(held, 120, 60)
+    assert sum(got.values()) == 120 and got["a"] == 60 and all(got[k] <= min(60, held[k]) for k in held) and got["b"] > got["c"]
+    assert M.capped_allocation(held, 500, 20) == {"a": 20, "b": 20, "c": 10} and M.capped_allocation(held, 0, 5) == {"a": 0, "b": 0, "c": 0}
+    df = spark.createDataFrame([(i, "a" if i < 90 else "b") for i in range(100)], "id long, s string")
+    assert {r["s"]: r["n"] for r in M.capped(df, "s", "id", 40, 35).groupBy("s").agg(F.count("*").alias("n")).collect()} == {"a": 35, "b": 5}
+
+
+def test_kmeans_without_direction(spark):
+    df = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(20)] + [(30, [0.0, 0.0]), (31, None)], "id long, v array<double>")
+    assert {r["id"] for r in cluster.cosine_kmeans(df, "v", 2)[0].collect()} == set(range(20))
