@@ -98,16 +98,16 @@ def brand_keys(spark, d):
     return t(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(kept), "|").alias("keys"))
 
 
-@query("""SELECT event_type AS dev, m AS mount, count(*) AS n, sum(value * m) AS used FROM (SELECT event_type, value, unnest(CASE WHEN event_id % 3 = 0 THEN [NULL] ELSE range(1, (event_id % 3)::BIGINT + 1) END) AS m FROM events) GROUP BY ALL""")
+@query("""SELECT event_type AS dev, m AS mount, count(*) AS n, round(sum(value * m), 3) AS used FROM (SELECT event_type, value, unnest(CASE WHEN event_id % 3 = 0 THEN [NULL] ELSE range(1, (event_id % 3)::BIGINT + 1) END) AS m FROM events) GROUP BY ALL""")
 def nested_unnest(spark, d):
     """Devices of a JSON sample, and in them their mounts; a device without mounts keeps a row."""
     mounts = F.when(F.col("event_id") % 3 > 0, F.sequence(F.lit(1).cast("long"), F.col("event_id") % 3)).otherwise(F.array().cast("array<bigint>"))
     sample = F.to_json(F.array(F.struct(F.col("event_type").alias("dev"), F.col("value").alias("v"), mounts.alias("mounts"))))
     x = t(spark, d, "events").select(F.inline(F.from_json(sample, "array<struct<dev:string,v:double,mounts:array<bigint>>>"))).select("dev", "v", F.explode_outer("mounts").alias("mount"))
-    return x.groupBy("dev", "mount").agg(F.count("*").alias("n"), F.sum(F.col("v") * F.col("mount")).alias("used"))
+    return x.groupBy("dev", "mount").agg(F.count("*").alias("n"), F.round(F.sum(F.col("v") * F.col("mount")), 3).alias("used"))
 
 
-@query("""SELECT event_id, to_json({k: (props->>'$.k')::BIGINT + 1, tags: [event_type, 'new']}) AS props FROM events""")
+@query("""SELECT event_id, to_json({k: (props->>'$.k')::BIGINT + 1, tags: [event_type, 'new']})::VARCHAR AS props FROM events""")
 def json_rewrite(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
     return t(spark, d, "events").select("event_id", F.to_json(F.struct((k + 1).alias("k"), F.array("event_type", F.lit("new")).alias("tags"))).alias("props"))

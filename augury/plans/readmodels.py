@@ -130,14 +130,14 @@ def company_search(spark, d):
     return x.select("c_custkey", "c_name", F.coalesce("funded", F.lit(False)).alias("funded"), F.coalesce("patents", F.lit(False)).alias("patents"), "total")
 
 
-@query("""SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS events, (SELECT sum(v) FROM (SELECT DISTINCT o_orderdate, o_totalprice AS v FROM orders WHERE o_custkey = c_custkey)) AS funding, (SELECT count(*) FROM (SELECT DISTINCT ON (l_partkey) l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey)) AS families,
+@query("""SELECT c_custkey, c_name, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS events, (SELECT round(sum(v), 2) FROM (SELECT DISTINCT o_orderdate, o_totalprice AS v FROM orders WHERE o_custkey = c_custkey)) AS funding, (SELECT count(*) FROM (SELECT DISTINCT ON (l_partkey) l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey)) AS families,
 (SELECT strftime(max(o_orderdate), '%Y-%m-%d') FROM orders WHERE o_custkey = c_custkey) AS latest FROM customer WHERE c_custkey IN (3, 7, 11)""")
 def company_page(spark, d):
     """Some companies whole: events, rounds counted once, distinct families, the last date."""
     c = t(spark, d, "customer").where(F.col("c_custkey").isin(3, 7, 11)).select("c_custkey", "c_name")
     o = t(spark, d, "orders").where(F.col("o_custkey").isin(3, 7, 11)).select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate", "o_totalprice")
     e = o.groupBy("c_custkey").agg(F.count("*").alias("events"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("latest"))
-    funding = o.select("c_custkey", "o_orderdate", "o_totalprice").distinct().groupBy("c_custkey").agg(F.sum("o_totalprice").alias("funding"))
+    funding = o.select("c_custkey", "o_orderdate", "o_totalprice").distinct().groupBy("c_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("funding"))
     fam = o.join(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey").groupBy("c_custkey").agg(F.count_distinct("l_partkey").alias("families"))
     x = c.join(e, "c_custkey", "left").join(funding, "c_custkey", "left").join(fam, "c_custkey", "left")
     return x.select("c_custkey", "c_name", F.coalesce("events", F.lit(0)).alias("events"), "funding", F.coalesce("families", F.lit(0)).alias("families"), "latest")
