@@ -23,9 +23,14 @@ def norm_company_key(spark, d):
 @query("""WITH p AS (SELECT p_partkey, p_brand, list_distinct([('  ' || lower(p_name) || ' ')[i:i + 2] for i in range(1, length(p_name) + 2)]) AS g FROM part)
 SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS sim FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.5""")
 def trigram_jaccard(spark, d):
-    p = t(spark, d, "part").select("p_partkey", "p_brand", T.trigrams("p_name").alias("g"))
-    a, b = (p.select("p_brand", F.col("p_partkey").alias(k), F.col("g").alias(f"g{k}")) for k in "ab")
-    return a.join(b, "p_brand").where("a < b").withColumn("sim", T.jaccard(F.col("ga"), F.col("gb"))).where("sim >= 0.5").select("a", "b", F.round("sim", 6).alias("sim"))
+    """Similarities of distinct names, found by the trigrams they share; parts meet by their names afterwards."""
+    p = t(spark, d, "part").select("p_partkey", "p_brand", "p_name")
+    grams = p.select("p_name").distinct().select("p_name", T.trigrams("p_name").alias("g")).select("p_name", F.size("g").alias("n"), F.explode("g").alias("g"))
+    x, y = (grams.select("g", F.col("p_name").alias(f"p_name_{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+    sims = x.join(y, "g").groupBy("p_name_a", "p_name_b", "na", "nb").agg(F.count("*").alias("c"))
+    sims = sims.withColumn("sim", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where("sim >= 0.5").select("p_name_a", "p_name_b", F.round("sim", 6).alias("sim"))
+    a, b = (p.select("p_brand", F.col("p_partkey").alias(k), F.col("p_name").alias(f"p_name_{k}")) for k in "ab")
+    return a.join(sims, "p_name_a").join(b, ["p_brand", "p_name_b"]).where("a < b").select("a", "b", "sim")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 97)::DOUBLE * 1e6 WHEN o_orderkey % 3 = 1 THEN (o_orderkey % 97)::DOUBLE * 1e3 ELSE NULL END AS amount, CASE o_orderkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' END AS currency FROM orders""")
