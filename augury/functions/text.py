@@ -100,28 +100,6 @@ def fingerprint(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *(norm_title(F.coalesce(col(p), F.lit(""))) for p in parts)))
 
 
-# Labels of abstracts' sections.
-SECTION_LABELS = "abstract|background|introduction|objectives?|aims?|purpose|methods?|materials and methods|results?|findings|conclusions?|discussion|significance"
-#: References that are characters.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-
-
-def clean_text(c: Column | str) -> Column:
-    """What an embedder reads: references twice, tags, copyright tail, a leading [source tag], stacked section labels
-    at the start, labels with a colon inside, white space."""
-    x = F.coalesce(col(c), F.lit(""))
-    for _ in range(2):
-        for ref, char in ENTITIES:
-            x = F.replace(x, F.lit(ref), F.lit(char))
-    x = F.regexp_replace(x, r"</?[A-Za-z][A-Za-z0-9:_-]*(?:\s[^<>]{0,200})?/?>", " ")
-    x = F.regexp_replace(x, r"(?is)\s*(?:©|\(c\)|copyright\b)[^.]*(?:\.|$).*$|\s*this article is protected by copyright\..*$|\s*all rights reserved\.?\s*$", "")
-    x = F.regexp_replace(x, r"^\s*\[[^\]]{1,80}\]\s*", "")
-    for _ in range(4):
-        x = F.regexp_replace(x, rf"^\s*(?i:{SECTION_LABELS})\b\s*(?:[:.–—-]\s*|\s+(?=[A-Z0-9\"'(]))", "")
-    x = F.regexp_replace(x, rf"(?i)(?<![A-Za-z])(?:{SECTION_LABELS})\s*:\s*", " ")
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
-
-
 #: Tags that say nothing, and acronyms with their capitals.
 GENERIC_TAGS = ("innovation", "technology", "trend", "trends", "research", "startup", "startups", "market", "business", "science", "news")
 ACRONYMS = ("ai", "ar", "vr", "eu", "us", "uk", "rna", "dna", "fda", "ema", "nasa", "ipo", "led", "uav", "gdpr", "ip", "pfas", "hiv", "iso", "erp")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from augury.functions import abstracts as A
 from augury.functions import codes as C
+from augury.functions import references as R
 from augury.functions import text as T
 from augury.functions.scores import ratio
 
@@ -47,13 +49,29 @@ def years_of_numbers(spark, d):
     return t(spark, d, "orders").select("o_orderkey", F.coalesce(known, F.when(found.between(1900, 2030), found)).alias("y"))
 
 
-@query("""SELECT p_partkey, p_name || ' & more of ' || p_brand AS cleaned, length(left(p_type || chr(10) || p_name || ' & more of ' || p_brand, 24)) AS embedded, ceil(length(p_name) / 3.4)::BIGINT AS tokens FROM part""")
+_LABELS = "|".join(sorted(A.LABELS, key=len, reverse=True))
+_REF = "text"
+for _name, _char in A.ENTITIES * 2:
+    _REF = f"replace({_REF}, '{_name.replace(chr(39), chr(39) * 2)}', '{_char.replace(chr(39), chr(39) * 2)}')"
+_HEAD = "rest"
+for _ in range(4):
+    _HEAD = rf"""regexp_replace({_HEAD}, '^(?i:{_LABELS})(?: *[:.–—-] *| +([A-Z0-9"''(]))', '\1')"""
+
+
+@query(rf"""
+WITH told AS (SELECT doc_id, trim(regexp_replace(regexp_replace({_REF}, '</?[A-Za-z][^<>]*>', ' ', 'g'), '[\t-\r ]+', ' ', 'g')) AS x FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+parts AS (SELECT *, string_split(replace(replace(x, '. ', '.' || chr(1) || ' '), '©', chr(1) || '©'), chr(1)) AS ps FROM told),
+ended AS (SELECT *, array_to_string(ps[1:coalesce(list_max([CASE WHEN regexp_matches(lower(ps[i]), '^ *(©|\(c\) |copyright|this article is protected by copyright|$)|all rights reserved') THEN 0 ELSE i END for i in range(1, len(ps) + 1)]), 0)], '') AS y FROM parts),
+tagged AS (SELECT *, CASE WHEN starts_with(y, '[') AND instr(y, ']') BETWEEN 3 AND 82 THEN ltrim(substr(y, instr(y, ']') + 1)) ELSE y END AS rest FROM ended),
+cleaned AS (SELECT *, trim(regexp_replace(regexp_replace({_HEAD}, '(^|[^A-Za-z])(?i:{_LABELS}) *:', '\1 ', 'g'), '[\t-\r ]+', ' ', 'g')) AS z FROM tagged)
+SELECT doc_id, md5(z) AS cleaned_md5, length(z)::BIGINT AS kept, left('doc ' || doc_id || chr(10) || left(z, 500), 40) AS embedded, ceil(length(z) / 3.4)::BIGINT AS tokens FROM cleaned
+""")
 def cleaned_texts(spark, d):
-    """Entities twice, tags, a leading source tag, stacked section labels, a copyright tail and white space; what an
-    embedder sees is cut after cleaning."""
-    raw = F.concat(F.lit("[Science · Food] Abstract Background: <p>"), "p_name", F.lit(" &amp;amp; more</p>\n Results:  of "), "p_brand", F.lit(" © 2020 A Publisher. All rights reserved."))
-    cleaned = T.clean_text(raw)
-    return t(spark, d, "part").select("p_partkey", cleaned.alias("cleaned"), F.length(F.substring(F.concat("p_type", F.lit("\n"), cleaned), 1, 24)).alias("embedded"), F.ceil(F.length("p_name") / F.lit(3.4).cast("double")).alias("tokens"))
+    """Every text as an embedder reads it: its digest, length and estimated tokens, and the head of what is embedded, cut
+    after cleaning."""
+    x = t(spark, d, "documents").select("doc_id", A.clean_text("text").alias("z"))
+    return x.select("doc_id", F.md5("z").alias("cleaned_md5"), F.length("z").cast("long").alias("kept"), F.substring(A.embed_text(F.concat(F.lit("doc "), _S(F.col("doc_id"))), F.col("z")), 1, 40).alias("embedded"),
+                    F.ceil(F.length("z") / F.lit(3.4).cast("double")).alias("tokens"))
 
 
 @query("""SELECT o_custkey, sum(n) FILTER (WHERE y >= 1997)::BIGINT AS recent, sum(n)::BIGINT AS total FROM (SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL) GROUP BY 1""")
@@ -163,10 +181,15 @@ def local_numbers(spark, d):
     return t(spark, d, "orders").select("o_orderkey", C.local_number(said).alias("v"))
 
 
-@query("""SELECT o_orderkey, '10.1234/ab.' || o_orderkey AS dois, '32019R' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') AS laws, 'EP-' || (1000000 + o_orderkey) || '-B1' AS patents, strftime(o_orderdate, '%Y|%m|%d') AS days FROM orders""")
+@query(r"""
+WITH said AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+found AS (SELECT doc_id, regexp_extract_all(x, '\b((?:19|20)[0-9]{2})-([0-9]{2})-([0-9]{2})\b', 0) AS days, regexp_extract_all(translate(x, '"''<>)]|,;', '         '), '10\.[0-9]{4,9}/[^ \t\n\v\f\r]+', 0) AS works,
+  regexp_extract_all(x, '\b3[0-9]{4}[A-Z]{1,2}[0-9]{4}\b', 0) AS laws, regexp_extract_all(x, '\b(?:EP|US|WO|CN|JP|KR|DE|GB|FR)[ -]?(?:(?:19|20)[0-9]{2}[/-]?[0-9]{5,6}|[0-9]{6,9})(?:[ -]?[ABCUYTE][0-9]?)?\b', 0) AS patents FROM said)
+SELECT doc_id, len(list_distinct(list_transform(works, lambda w: rtrim(w, '.'))))::BIGINT AS n_works, len(list_distinct(laws))::BIGINT AS n_laws, len(list_distinct(patents))::BIGINT AS n_patents, array_to_string(list_sort(list_distinct(days)), '|') AS days FROM found
+""")
 def references_in_text(spark, d):
-    k = F.col("o_orderkey")
-    said = F.concat(F.lit("See doi 10.1234/ab."), _S(k), F.lit(", law 32019R"), F.lpad(_S(k % 10000), 4, "0"), F.lit(", EP "), _S(1000000 + k), F.lit(" B1 and EP"), _S(1000000 + k), F.lit("B1 of "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("."))
-    day = r"\b((?:19|20)[0-9]{2})-([0-9]{2})-([0-9]{2})\b"
-    every = lambda p: F.array_join(F.array_distinct(F.regexp_extract_all(said, F.lit(p), F.lit(0))), "|")
-    return t(spark, d, "orders").select("o_orderkey", every(C.DOI).alias("dois"), every(C.CELEX).alias("laws"), F.array_join(C.patents_in(said), "|").alias("patents"), F.concat_ws("|", *(F.regexp_extract(said, day, i) for i in (1, 2, 3))).alias("days"))
+    """Works, laws, patents and days that every text names."""
+    said, day = F.coalesce("text", F.lit("")), r"\b((?:19|20)[0-9]{2})-([0-9]{2})-([0-9]{2})\b"
+    n = lambda found: F.size(found).cast("long")
+    return t(spark, d, "documents").select("doc_id", n(R.works_in(said)).alias("n_works"), n(R.laws_in(said)).alias("n_laws"), n(R.patents_in(said)).alias("n_patents"),
+                                           F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(said, F.lit(day), F.lit(0)))), "|").alias("days"))

@@ -217,11 +217,40 @@ def test_codes(spark):
 
     assert value(spark, K.state_code(F.lit(" New York "))) == "NY" and value(spark, K.state_code(F.lit("ny"))) == "NY" and value(spark, K.state_code(F.lit("Bavaria"))) is None
     assert value(spark, K.with_migrated(F.array(F.lit("H01L"), F.lit("A01B")))) == ["H01L", "H10B", "H10D", "H10F", "H10H", "H10K", "H10N", "H10P", "H10W", "A01B"]
-    assert value(spark, K.patents_in(F.lit("EP-3535216-B1 · EP3535216B1 · US 12722991 B2 · WO2024/123456 A1"))) == ["EP-3535216-B1", "US-12722991-B2", "WO-2024123456-A1"]
     assert [value(spark, K.local_number(F.lit(x))) for x in ("3 429", "3.429", "6,4", "x")] == [3429.0, 3429.0, 6.4, None]
     assert value(spark, K.actor_name(F.lit("ANN AND SONS"))) is None and value(spark, K.actor_name(F.lit("IBM"))) == "IBM"
 
 
+def test_references(spark):
+    from augury.functions import references as R
+
+    said = "EP-2345678-A1, EP2345678A1 and US 9876543 B2; WO2021/034567 A1, US2020-0123456, US 2020-1234, XEP1234567, DE 12345, JP 345678901 X9"
+    assert value(spark, R.patents_in(F.lit(said))) == ["EP-2345678-A1", "US-9876543-B2", "WO-2021034567-A1", "JP-345678901"]
+    said = "doi:10.5555/abc.def. and (https://doi.org/10.12345/x(y), 10.1/no 10.12a4/no 10.5555/abc.def"
+    assert value(spark, R.works_in(F.lit(said))) == ["10.5555/abc.def", "10.12345/x(y"]
+    assert value(spark, R.laws_in(F.lit("32016R0679, 32022LX0001. 32016r0679 132016R0679 32016R679 22016A0001"))) == ["32016R0679", "32022LX0001"]
+    assert [value(spark, R.in_repository(F.lit(u))) for u in ("https://GitHub.com/x", "https://doi.org/10.7910/DVN/1", "https://a.example", None)] == [True, True, False, False]
+
+
+@pytest.mark.parametrize("raw, out", [
+    ("Abstract Background: <p>Wheels &amp;amp; <b>roads</b></p>\n Results:  of a&nbsp;test © 2020 A Publisher. All rights reserved.", "Wheels & roads of a test"),
+    ("[Science · Food] Methods - we ran. The results were good", "we ran. The results were good"), ("methods matter here", "methods matter here"), ("Aims Two ends met", "Two ends met"),
+    ("Copyright is old. We ask why. It ends.", "Copyright is old. We ask why. It ends."), ("We ask why. Copyright 2019 by X.", "We ask why."), ("a < b and c > d", "a < b and c > d"),
+    ("Keywords: a, b", "a, b"), ("One. Key words: a: b. Mysettings: c", "One. a: b. Mysettings: c"), ("© all", ""), ("", ""), (None, ""), ("[" + "x" * 90 + "] y", "[" + "x" * 90 + "] y"),
+])
+def test_cleaned_abstracts(spark, raw, out):
+    from augury.functions import abstracts as A
+
+    assert value(spark, A.clean_text(F.lit(raw).cast("string"))) == out
+
+
+def test_walls(spark):
+    from augury.plans.grounding import is_wall
+
+    said = ["Just a moment: Checking your BROWSER.", "An article. " * 200 + "checking your browser", "An article.", "Pardon our Interruption", ""]
+    assert [value(spark, is_wall(F.lit(x))) for x in said] == [True, False, False, True, False]
+
+
 def test_capped_allocation(spark):
     from augury.operators import sampling as M
 
