@@ -8,10 +8,11 @@
    such an element (or with nothing in it) falls back to its own best container.
 
 Inside the chosen element, subtrees that are menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments, scripts or styles by tag, role, class or id, and hidden ones, are left out. A class such as ``has-sidebar``
-tells of something else and doesn't count; an inline element is left out only if every word of one of its classes says
-so; and an element with a page's main heading or <main> and more than half of its text is no boilerplate whatever its
-class or, for a form, its tag. Block elements part blocks; inline tags
+comments, scripts or styles by tag, role, class or id, and hidden ones, are left out. A class or id says so by its last word
+(``site-header``), or if its first word does and the others only say what sort of box it is (``comment-list``,
+``sidebar-2``): ``post-header-layout`` and ``comment-free`` are names of something else, as is ``has-sidebar``. An inline element
+is left out only if every word of one of its classes says so; and an element with a page's main heading or <main> and more than half of
+its text is no boilerplate whatever its class or, for a form, its tag. Block elements part blocks; inline tags
 (left out or not) don't, and a line break is white space. Character references are decoded; white space inside a block becomes
 one space.
 
@@ -51,21 +52,44 @@ BOILER_NAMES = frozenset(
     "nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer foot comment comments commentlist respond disqus discussion reply replies notice notices cookie cookies "
     "consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager skip tags toolbar form search".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*|/)?)>", re.S)
+_TAG_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)(?=[\s/>])")
+_MARK = re.compile("[>\"']")
 _ATTR = re.compile(r"([^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")  # one attribute with its value
 _NAME = re.compile(r"[A-Za-z]+")
 _UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 # First words of classes that tell of other elements, and words beside names that add nothing.
 ABOUT = frozenset("has have with without no not is js hide show".split())
 BESIDE = frozenset("link links button btn icon icons box text item label list wrapper container".split())
+# Words in names of block elements that say what sort of box it is.
+BOXES = BESIDE | frozenset("buttons items wrap area section block row col column panel slot unit bar inner outer content body posts articles stories group".split())
 _DIGITS = re.compile(r"\d+")
 
 
+class Path:
+    """A step of a generalised path; a page's paths share their beginnings, and are told apart by identity."""
+
+    __slots__ = ("up", "step", "depth", "matched")
+
+    def __init__(self, up: Path | None, step: str, matched: bool = False):
+        self.up, self.step, self.depth = up, step, up.depth + 1 if up else 0
+        self.matched = (up.matched if up else 0) + matched  # how many steps from the root agree with the chosen path
+
+    def text(self) -> str:
+        steps, at = [], self
+        while at.up is not None:
+            steps.append(at.step)
+            at = at.up
+        return "/" + "/".join(reversed(steps))
+
+
 class Element:
-    __slots__ = ("tag", "path", "boiler", "score", "parent", "inside", "root")
+    __slots__ = ("tag", "path", "boiler", "inside", "sound", "holder", "up")
 
-    def __init__(self, tag: str, path: str, boiler: bool, parent: Element | None, inside: bool, root: int = 0):
-        self.tag, self.path, self.boiler, self.parent, self.inside, self.root, self.score = tag, path, boiler, parent, inside, root, 0.0
+    def __init__(self, tag: str, path: Path, boiler: bool, parent: Element | None, inside: bool):
+        self.tag, self.path, self.boiler, self.inside = tag, path, boiler, inside
+        self.sound = parent.sound if boiler and parent else self  # the nearest that is no boilerplate
+        self.holder = self if parent is None or tag in CONTAINERS else parent.holder  # the nearest container
+        self.up = parent.holder if parent else None  # the nearest container above
 
 
 def _named(tag: str, name: str) -> bool:
@@ -74,7 +98,65 @@ def _named(tag: str, name: str) -> bool:
     if not found or found[0] in ABOUT:
         return False
     told = [n in BOILER_NAMES for n in found]
-    return any(told) and (tag not in INLINE or all(t or n in BESIDE for t, n in zip(told, found, strict=True)))
+    beside = BESIDE if tag in INLINE else BOXES
+    whole = any(told) and all(t or n in beside for t, n in zip(told, found, strict=True))
+    return whole or tag not in INLINE and told[-1]
+
+
+class Scanner:
+    """Markup in order: ``(start, end, name, attributes, closing)`` of each tag; name None for comments and the like. Nothing is
+    looked for twice that the rest of the page doesn't hold."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.gone, self.last = page, True, set(), page.rfind(">")
+
+    def find(self, what: str, at: int) -> int:
+        """Where what ends, -1 if nowhere."""
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+            return -1
+        return found + len(what)
+
+    def tag_end(self, at: int) -> int:
+        """Where a tag ends whose name ends at ``at``: its first > outside of quotes; once quotes don't pair up to any,
+        the first > at all."""
+        if self.quotes:
+            pos = at
+            while m := _MARK.search(self.page, pos):
+                if m[0] == ">":
+                    return m.end()
+                closed = self.find(m[0], m.end())
+                pos = closed if closed > 0 else m.end()
+            self.quotes = False
+        return self.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str | None, str, bool] | None:
+        page = self.page
+        while 0 <= (start := page.find("<", at)) < self.last:
+            if page.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                return start, end if end > 0 else len(page), None, "", False
+            if page.startswith("<![CDATA[", start) and (end := self.find("]]>", start)) > 0:
+                return start, end, None, page[start + 9:end - 3], False
+            if page.startswith(("<!", "<?"), start):
+                return start, self.find(">", start), None, "", False
+            if (m := _TAG_NAME.match(page, start)) and (end := self.tag_end(m.end())) > 0:
+                return start, end, m[1].lower(), page[m.end():end - 1], page[start + 1] == "/"
+            at = start + 1
+        if (start := page.find("<!--", at)) >= 0:  # without an end
+            return start, len(page), None, "", False
+        return None
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where a raw element ends. Without an end tag a script or style runs to the end of the page, others hold nothing."""
+        if f"</{tag}" not in self.gone:
+            if stop := re.compile(rf"</{tag}\s*>", re.I).search(self.page, at):
+                return stop.end()
+            self.gone.add(f"</{tag}")
+        return len(self.page) if tag in ("script", "style") else at
 
 
 def _described(tag: str, attrs: str) -> tuple[str, bool, bool]:
@@ -84,133 +166,130 @@ def _described(tag: str, attrs: str) -> tuple[str, bool, bool]:
     sure = tag in BOILER_TAGS and tag != "form" or found.get("role", "").lower() in BOILER_ROLES
     sure = sure or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(found.get("style", "")))
     looks = tag == "form" or tag not in ("html", "body", "article", "main") and any(_named(tag, c) for c in [*classes, found.get("id", "")])
-    return ".".join([tag, *sorted(_DIGITS.sub("#", c) for c in classes)]), sure or looks, looks and not sure
+    return ".".join([tag, *sorted(_DIGITS.sub("#", c).replace("/", "|") for c in classes)]), sure or looks, looks and not sure
 
 
-def walk(page: str, chosen: frozenset[str] = frozenset(), cleared: frozenset[int] = frozenset()) -> tuple[dict[str, float], list[str]]:
-    """One pass: scores of containers by path, and the blocks of text in elements on chosen paths. cleared are elements
-    (by their number) that only look like boilerplate; a page that needs one is walked again, which is rare."""
-    root = Element("", "", False, None, "/" in chosen)
-    open_, scores, blocks, pending, links, at = root, {}, [], [], 0, 0
-    took = 0  # characters of linked text in the block
-    number, total, held, main = 0, 0, {}, set()  # elements so far, characters of the page and of each looking root, roots with the main heading
+def walk(page: str, chosen: str | None = None, cleared: frozenset[int] = frozenset()) -> tuple[dict[Path, float], list[str]]:
+    """Scores of containers by path, and the blocks of text in elements on the chosen path. cleared are elements (by their
+    number) that only look like boilerplate; a page that has some is walked once more."""
+    steps = chosen.split("/")[1:] if chosen and chosen != "/" else []
+    top = Path(None, "")
+    root = Element("", top, False, None, chosen == "/")
+    scan, stack, paths, scores, blocks, pending = Scanner(page), [root], {}, {}, [], []
+    opened: dict[str, list[int]] = {}  # by tag the depths of its open elements
+    blocky: list[int] = []  # depths of open block elements
+    links, at, took = 0, 0, 0  # open links; characters of linked text in the block
+    number, total, mains, looking, wrong = 0, 0, 0, {}, []  # elements, characters, main headings so far; by depth what a looking root began with
 
     def flush(owner: Element) -> None:
         nonlocal took
         if pending:
             text = " ".join(entities.unescape("".join(pending)).split())
             pending.clear()
-            while owner.boiler:  # its own text is never pending
-                owner = owner.parent
+            owner = owner.sound
             if text:
                 if owner.inside:
                     blocks.append(text)
-                value, up = max(0.0, len(text) - 2.0 * took), owner
-                while up is not None and up.tag and up.tag not in CONTAINERS:
-                    up = up.parent
+                value, up = max(0.0, len(text) - 2.0 * took), owner.holder
                 for _ in range(2):
                     if up is None:
                         break
-                    scores[up.path or "/"] = scores.get(up.path or "/", 0.0) + value
-                    value, up = value / 2, up.parent
-                    while up is not None and up.tag and up.tag not in CONTAINERS:
-                        up = up.parent
+                    scores[up.path] = scores.get(up.path, 0.0) + value
+                    value, up = value / 2, up.up
         took = 0
 
-    def close(until: Element) -> None:
-        nonlocal open_, links
-        while open_ is not until:
-            if open_.tag in BLOCK and not open_.parent.boiler:
-                flush(open_)
-            links -= open_.tag == "a"
-            open_ = open_.parent
-
-    def nearest(tags: tuple[str, ...], within: frozenset[str]) -> Element | None:
-        e = open_
-        while e is not root:
-            if e.tag in tags:
-                return e
-            if e.tag in within:
-                return None
-            e = e.parent
-        return None
+    def close(depth: int) -> None:
+        """Close all elements at this depth and deeper."""
+        nonlocal links
+        while len(stack) > depth:
+            e = stack[-1]
+            if e.tag in BLOCK:
+                if not stack[-2].boiler:
+                    flush(e)
+                blocky.pop()
+            links -= e.tag == "a"
+            opened[e.tag].pop()
+            stack.pop()
+            if (began := looking.pop(len(stack), None)) is not None and mains > began[2]:
+                wrong.append((began[0], total - began[1]))
+
+    def innermost(tags: tuple[str, ...], within: tuple[str, ...] = ()) -> int:
+        """The depth of the innermost open element of tags that no open one of within is deeper than; 0 without."""
+        deepest = lambda names: max((opened[n][-1] for n in names if opened.get(n)), default=0)
+        found = deepest(tags)
+        return found if found > deepest(within) else 0
 
     end = len(page)
     while at < end:
-        m = _TAG.search(page, at)
-        text = page[at:m.start() if m else end]
+        m = scan.next(at)
+        text = page[at:m[0] if m else end]
         if text:
-            size = len(text.strip())
-            total += size
-            if open_.root:
-                held[open_.root] = held.get(open_.root, 0) + size
-        if text and not open_.boiler:
-            pending.append(text)
-            if links:
-                took += len(text)
+            total += len(text.strip())
+            if not stack[-1].boiler:
+                pending.append(text)
+                if links:
+                    took += len(text)
         if m is None:
             break
-        at = m.end()
-        tag = m[2]
+        _, at, tag, attrs, closing = m
         if tag is None:
-            if m[0].startswith("<![CDATA[") and not open_.boiler:
-                pending.append(entities.escape(m[0][9:-3]))
+            if attrs and not stack[-1].boiler:  # of a CDATA section its text
+                pending.append(entities.escape(attrs))
             continue
-        tag = tag.lower()
-        if m[1]:
-            if (e := nearest((tag,), frozenset())) is not None:
-                if tag in BLOCK:
-                    close(e.parent)
-                elif not any(x in BLOCK for x in _between(open_, e)):
-                    close(e.parent)
-            elif tag == "p" or tag == "br":
-                flush(open_)
+        if closing:
+            if depth := innermost((tag,)):
+                if tag in BLOCK or not blocky or blocky[-1] < depth:
+                    close(depth)
+            elif tag in ("p", "br"):
+                flush(stack[-1])
             continue
         if tag == "br":
-            if not open_.boiler:
+            if not stack[-1].boiler:
                 pending.append(" ")
             continue
-        if tag in ENDS_P and (e := nearest(("p",), frozenset(("table", "button")))) is not None:
-            close(e.parent)
-        if tag in SIBLINGS and (e := nearest(SIBLINGS[tag], frozenset(("ul", "ol", "dl", "table", "select")))) is not None:
-            close(e.parent)
-        step, boiler, looks = _described(tag, m[3])
+        if tag in ENDS_P and (depth := innermost(("p",), ("table", "button"))):
+            close(depth)
+        if tag in SIBLINGS and (depth := innermost(SIBLINGS[tag], ("ul", "ol", "dl", "table", "select"))):
+            close(depth)
+        step, boiler, looks = _described(tag, attrs)
         number += 1
-        root_ = open_.root
-        if boiler and looks and number in cleared:
-            boiler = False
-        elif boiler and not open_.boiler:
-            root_ = number if looks else 0
-        if tag in ("h1", "main") and root_:
-            main.add(root_)
-        if tag in BLOCK and not open_.boiler:
-            flush(open_)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
+        above = stack[-1]
+        boiler = boiler and not (looks and number in cleared)
+        if tag in BLOCK and not above.boiler:
+            flush(above)
+        mains += tag in ("h1", "main")
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
-        if tag in RAW:  # without an end tag a script or style runs to the end of the page, others hold nothing
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else end if tag in ("script", "style") else at
+        if tag in RAW:
+            at = scan.raw_end(tag, at)
             continue
-        path = f"{open_.path}/{step}" if tag in BLOCK else open_.path
-        open_ = Element(tag, path, boiler or open_.boiler, open_, open_.inside or path in chosen, root_)
+        path = above.path
+        if tag in BLOCK:
+            path = paths.get((above.path, step))
+            if path is None:
+                agrees = above.path.matched == above.path.depth < len(steps) and steps[above.path.depth] == step
+                path = paths[above.path, step] = Path(above.path, step, agrees)
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            blocky.append(len(stack))
+        if looks and number not in cleared:
+            looking[len(stack)] = (number, total, mains - (tag in ("h1", "main")))
+        stack.append(Element(tag, path, boiler or above.boiler, above, above.inside or bool(steps) and path.matched == path.depth == len(steps)))
         links += tag == "a"
-    close(root)
+    close(1)
     flush(root)
-    if wrong := [r for r in main if 2 * held.get(r, 0) > total]:
-        return walk(page, chosen, cleared.union(wrong))
+    if more := [n for n, held in wrong if 2 * held > total]:
+        return walk(page, chosen, frozenset(more))
     return scores, blocks
 
 
-def _between(inner: Element, outer: Element) -> list[str]:
-    tags = []
-    while inner is not outer:
-        tags.append(inner.tag)
-        inner = inner.parent
-    return tags
-
-
-def best_path(scores: dict[str, float]) -> str | None:
-    return max(scores, key=lambda p: (scores[p], -len(p), p), default=None)
+def best_path(scores: dict[Path, float]) -> tuple[str, float] | None:
+    """The path with the most, of equal ones a shallow one, then the first by name."""
+    if not scores:
+        return None
+    most = max(scores.values())
+    shallow = min(p.depth for p, v in scores.items() if v == most)
+    return min(p.text() for p, v in scores.items() if v == most and p.depth == shallow), most
 
 
 def extract(page: str, winner: str | None) -> str:
@@ -218,13 +297,13 @@ def extract(page: str, winner: str | None) -> str:
     if not page:
         return ""
     if winner:
-        scores, blocks = walk(page, frozenset((winner,)))
+        scores, blocks = walk(page, winner)
         if blocks:
             return "\n".join(blocks)
     else:
         scores, _ = walk(page)
     own = best_path(scores)
-    return "\n".join(walk(page, frozenset((own,)))[1]) if own else ""
+    return "\n".join(walk(page, own[0])[1]) if own else ""
 
 
 def host_of(url_col: str):
@@ -238,9 +317,8 @@ def host_paths(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
         for part in slices(batches, 64):
             rows = []
             for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                scores = walk(page or "")[0]
-                if (path := best_path(scores)) is not None:
-                    rows.append((host, path, scores[path]))
+                if (best := best_path(walk(page or "")[0])) is not None:
+                    rows.append((host, *best))
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(("host", "path", "score"), map(list, zip(*rows, strict=True)), strict=True)))
 
