@@ -5,15 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the folder in ``spark.checkpoint.dir`` and read back; a temporary folder only where that is
-    unset (tests on one machine)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -21,6 +19,11 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="augury-cut-"))
         base = _OWN[0]
-    path = f"{base.rstrip('/')}/augury-cut/{tag}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """Write to the shared folder and read back: the lineage ends there and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/augury-cut/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -45,3 +45,11 @@ def distinctive_terms(docs: DataFrame, hit: Column, *, id_col: str = "doc_id", t
     terms = docs.select(hit.alias("h"), F.explode(F.array_distinct(words(text_col))).alias("term"))
     df = terms.groupBy("term").agg(F.count_if("h").alias("hits"), F.count("*").alias("df")).where(F.col("hits") >= least)
     return df.crossJoin(n).select("term", "hits", "df", F.round((F.col("hits") / F.col("n_hit")) / (F.col("df") / F.col("n_all")), 4).alias("lift"))
+
+
+def clamped_page(hits: DataFrame, order: Sequence[Column], id_col: str, size: int, clamp: int) -> DataFrame:
+    """The first page of hits with ``rank``, ``total`` counted no further than one beyond clamp, and whether it was."""
+    page = hits.orderBy(*order).limit(size)
+    page = page.withColumn("rank", F.row_number().over(W.orderBy(*order)))  # a page's rows
+    total = F.broadcast(hits.select(F.lit(1)).limit(clamp + 1).agg(F.count("*").alias("total")))  # one row
+    return page.crossJoin(total).select(id_col, "rank", "total", (F.col("total") > clamp).alias("clamped"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from augury.functions.text import ngrams, words
 from augury.functions.vectors import cosine
 from augury.operators import search as S
+from augury.operators.stages import Manifest, files_digest
+from augury.operators.textindex import TextIndex
 
 from .catalog import query, t
 
@@ -15,8 +17,20 @@ _LEX = f"SELECT doc_id, ln(1 + len(list_filter(w, lambda x: x = 'the'))) + ln(1
 _VEC = "SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS score FROM embeddings WHERE vec_id <> 7"
 
 
+def text_index(spark, d):
+    """The index of the documents' texts: built once for the files as they are, found again by the manifest."""
+    docs, m = t(spark, d, "documents"), Manifest(spark)
+    key = m.key("text-index", files_digest(docs), {"id": "doc_id", "text": "text"})
+    if (path := m.find("text-index", key)) is None:
+        path = m.place("text-index")
+        TextIndex(spark, path).append(docs.select("doc_id", "text"))
+        m.finish("text-index", key, path)
+    return TextIndex(spark, path)
+
+
 def _lex(spark, d):
-    return S.lexical_scores(t(spark, d, "documents"), ["the", "with"])
+    """Documents with both words as they are, scored from the index's postings."""
+    return text_index(spark, d).scores(["the", "with"], by="term").withColumnRenamed("id", "doc_id")
 
 
 def _vec(spark, d):
@@ -110,3 +124,62 @@ def title_terms(spark, d):
     terms = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: F.length(w) >= 4))
     df = t(spark, d, "documents").select("lang", F.explode(terms).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("df"))
     return first_per_key(df, ["lang"], [F.desc("df"), F.col("term")], 3)
+
+
+_STEM = "CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN left(w, length(w) - 3) || 'y' WHEN length(w) > 4 AND (w LIKE '%sses' OR w LIKE '%shes' OR w LIKE '%ches' OR w LIKE '%xes') THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END"
+_STEMMED = f"(SELECT doc_id, lang, source, [{_STEM} for w in {_W}] AS w FROM documents)"
+_HELD = "(SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS x FROM {})"
+
+
+@query(f"""SELECT term, len(list_distinct(ids))::BIGINT AS n_docs, len(ids)::BIGINT AS n_places FROM (SELECT term, list(doc_id) AS ids FROM (SELECT doc_id, unnest({_W}) AS term FROM documents) GROUP BY term)""")
+def index_terms(spark, d):
+    """What the index holds of every word."""
+    return text_index(spark, d).terms()
+
+
+@query(f"""SELECT doc_id FROM {_HELD.format(_STEMMED)} WHERE contains(x, ' and ') AND contains(x, ' of the ') AND NOT contains(x, ' with ') ORDER BY doc_id DESC LIMIT 8001""")
+def fulltext_all_ids(spark, d):
+    """Every id that holds a stem and a phrase and not another stem, from postings alone, newest first; one more than the 8,000 that
+    analytics takes tells that there are more."""
+    found = text_index(spark, d).matching(["and"], phrases=[["of", "the"]], none_of=["with"])
+    return found.select(F.col("id").alias("doc_id")).orderBy(F.desc("doc_id")).limit(8001)
+
+
+@query(f"""SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM (SELECT doc_id, ln(1 + len(list_filter(w, lambda y: y = 'and'))) + ln(1 + len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))) AS score FROM {_STEMMED}
+WHERE list_contains(w, 'and') AND len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0) QUALIFY rank <= 60""")
+def fulltext_ranked(spark, d):
+    """The best sixty by the damped frequencies of a stem and a phrase."""
+    scored = text_index(spark, d).scores(["and"], phrases=[["of", "the"]]).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return S.top_k(scored, 60, "doc_id")
+
+
+_PAGE = "SELECT '{route}' AS route, total, total > 500 AS clamped, rank, doc_id FROM (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY {order}) AS rank FROM ({hits})) WHERE rank <= 25"
+
+
+@query(f"""WITH s AS (SELECT *, len(list_filter(w, lambda y: y = 'the')) AS n FROM {_STEMMED}),
+hits AS (SELECT doc_id, round(ln(1 + n) + ln(1 + len(list_filter(w, lambda y: y = 'and'))), 6) AS score FROM s WHERE n > 0 AND list_contains(w, 'and')),
+text AS ({_PAGE.format(route='text', order="CASE WHEN (SELECT count(*) FROM hits) <= 500 THEN -score END NULLS LAST, doc_id DESC", hits="SELECT * FROM hits")})
+SELECT route, least(total, 501)::BIGINT AS total, clamped, rank::INT AS rank, doc_id FROM (
+{_PAGE.format(route='number', order="doc_id DESC", hits="SELECT doc_id FROM documents WHERE doc_id::VARCHAR = '7' OR doc_id::VARCHAR LIKE '12%'")}
+UNION ALL {_PAGE.format(route='company', order="doc_id DESC", hits="SELECT doc_id FROM s WHERE source ILIKE '%RC1%' AND n > 0")}
+UNION ALL {_PAGE.format(route='class', order="n_chars DESC, doc_id DESC", hits="SELECT doc_id, n_chars FROM documents WHERE lang LIKE 'e%' AND n_chars BETWEEN 500 AND 5000")}
+UNION ALL SELECT * FROM text)""")
+def four_route_search(spark, d):
+    """One page by each route: by number or its prefix, by part of a holder's name with a word, by class within bounds, by
+    text. Totals are counted to 500 and one; a text search beyond that goes by date, below it by rank."""
+    docs, index, clamp = t(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), text_index(spark, d), 500
+    number = F.col("doc_id").cast("string")
+    held = index.matching(["the"]).withColumnRenamed("id", "doc_id")
+    ranked = index.scores(["the", "and"]).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    few = ranked.limit(clamp + 1).count() <= clamp
+    routes = {
+        "number": (docs.where((number == "7") | number.startswith("12")), [F.desc("doc_id")]),
+        "company": (docs.where(F.col("source").ilike("%RC1%")).join(held, "doc_id", "left_semi"), [F.desc("doc_id")]),
+        "class": (docs.where(F.col("lang").startswith("e") & F.col("n_chars").between(500, 5000)), [F.desc("n_chars"), F.desc("doc_id")]),
+        "text": (ranked, ([F.desc("score")] if few else []) + [F.desc("doc_id")]),
+    }
+    pages = [S.clamped_page(hits, order, "doc_id", 25, clamp).select(F.lit(route).alias("route"), "total", "clamped", "rank", "doc_id") for route, (hits, order) in routes.items()]
+    out = pages[0]
+    for p in pages[1:]:
+        out = out.unionByName(p)
+    return out
