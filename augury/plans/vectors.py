@@ -115,3 +115,13 @@ def label_in_top2(spark, d):
 @query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 4) AS len, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding[1:8]::DOUBLE[], lambda x: x * x))), 4) AS first8 FROM embeddings""")
 def prefix_vectors(spark, d):
     return t(spark, d, "embeddings").select("vec_id", F.round(norm("embedding"), 4).alias("len"), F.round(prefix("embedding", 8)[0], 4).alias("first8"))
+
+
+@query()
+def nest_groups(spark, d):
+    """Nests of a fine partition, the denser three quarters of its cells, united by closest pairs, in groups by average linkage. Cells are given by
+    label and id here, so that plain loops can hold the result."""
+    from augury.operators.nests import find_nests
+
+    e = t(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") * 4 + F.col("vec_id") % 4).alias("cell"))
+    return find_nests(e, id_col="vec_id", vec_col="embedding", cell_col="cell", cohesion=0.0, quantile=0.25, raw=0.5, centred=0.3, least=8)[1]
