@@ -6,10 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augury.functions.lineage import cut
+from augury.functions.scores import ratio
 from augury.functions.vectors import cosine
-from augury.operators import cluster as K
 from augury.operators import graph as G
+from augury.operators import heads as H
 from augury.operators import sampling as M
+from augury.operators.stages import Manifest, files_digest
 
 from .catalog import query, t
 from .vectors import _CENTRES, centres
@@ -46,21 +48,39 @@ def cluster_metrics(spark, d):
     return m.select("label", "n", F.round("cohesion", 6).alias("cohesion"), F.round("recent", 6).alias("recent"), F.round(F.col("n") / F.col("top") * 0.4 + F.col("cohesion") * 0.4 + F.col("recent") * 0.2, 6).alias("mega_score"))
 
 
+def probe_rows(spark, d):
+    """Embeddings with the class that a probe is to find, in two tiers."""
+    e = t(spark, d, "embeddings")
+    return H.directed(e, id_col="vec_id", vec_col="embedding", tier=F.col("vec_id") % 2, probe=(F.col("label") == 3).cast("int").cast("string"))
+
+
 @query()
 def domain_probe(spark, d):
-    """Seeds of one class against the others on vectors less their window's mean: a logistic probe fitted on half of
-    the rows, each window's threshold where the held-out seeds' recall is 0.8, and the held-out precision there."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    e = t(spark, d, "embeddings").withColumn("win", (F.col("vec_id") % 2).cast("int"))
-    x = K.centred(e, "win", "embedding").select("vec_id", "win", (F.col("label") == 3).cast("double").alias("y"), array_to_vector("embedding").alias("v"), (F.pmod(F.xxhash64("vec_id"), F.lit(2)) == 0).alias("train"))
-    probe = LogisticRegression(featuresCol="v", labelCol="y", regParam=0.01, maxIter=50).fit(x.where("train"))
-    s = probe.transform(x.where("NOT train")).select("win", "y", vector_to_array("probability")[1].alias("p"))
-    at = s.groupBy("win").agg(F.percentile(F.when(F.col("y") == 1, F.col("p")), 0.2).alias("threshold"))
-    hit = F.col("p") >= F.col("threshold")
-    return s.join(F.broadcast(at), "win").groupBy("win").agg(F.round(F.first("threshold"), 6).alias("threshold"), F.count("*").alias("held_out"), F.count_if(F.col("y") == 1).alias("positives"),
-                                                             F.round(F.count_if(hit & (F.col("y") == 1)) / F.count_if(hit), 6).alias("precision"), F.round(F.count_if(hit & (F.col("y") == 1)) / F.count_if(F.col("y") == 1), 6).alias("recall"))
+    """A logistic probe for one class, fitted on six tenths of the rows; each tier's threshold where two other tenths' seeds reach
+    a recall of 0.8; recall, false positives and the precision at the tier's own share of seeds on the last two tenths."""
+    rows = probe_rows(spark, d)
+    told = H.train(rows, ["probe"], recall=0.8).members(rows).join(rows.select("id", (F.col("probe") == "1").alias("y")), "id")
+    share = told.groupBy("tier").agg(F.avg(F.col("y").cast("double")).alias("share"))
+    hit, y = F.col("member"), F.col("y")
+    judged = told.where("part = 'judge'").groupBy("tier").agg(F.count("*").alias("judged"), F.count_if(y).alias("positives"), ratio(F.count_if(hit & y), F.count_if(y)).alias("recall"), ratio(F.count_if(hit & ~y), F.count_if(~y)).alias("false_positive_rate"))
+    tp, fp = F.col("recall") * F.col("share"), F.col("false_positive_rate") * (1 - F.col("share"))
+    figures = {"recall": F.col("recall"), "false_positive_rate": F.col("false_positive_rate"), "precision_at_prevalence": ratio(tp, tp + fp)}
+    return judged.join(F.broadcast(share), "tier").select("tier", "judged", "positives", *(F.round(c, 6).alias(n) for n, c in figures.items()))  # a row a tier
+
+
+@query()
+def stored_heads(spark, d):
+    """Two heads trained, stored, read again and asked about every row: answers under the heads' thresholds are withheld. The tables
+    are found again by the embeddings' files."""
+    e, m = t(spark, d, "embeddings"), Manifest(spark)
+    rows = H.directed(e, id_col="vec_id", vec_col="embedding", tier=F.col("vec_id") % 2, theme=F.col("label").cast("string"), upper=(F.col("label") > 4).cast("int").cast("string"))
+    key = m.key("heads", files_digest(e), {"targets": ["theme", "upper"], "accuracy": 0.6})
+    if (path := m.find("heads", key)) is None:
+        path = m.place("heads")
+        H.train(rows, ["theme", "upper"], accuracy=0.6).save(path)
+        m.finish("heads", key, path)
+    told = H.Heads.load(spark, path).answers(rows)
+    return told.select(F.col("id").alias("vec_id"), "head", "answer", "first", "second", F.round("confidence", 6).alias("confidence"), F.round("margin", 6).alias("margin"))
 
 
 @query("""WITH n AS (SELECT o_custkey AS k, o_orderkey AS id, year(o_orderdate) AS y, o_totalprice AS v FROM orders), s AS (SELECT a.id, arg_min(b.id, (abs(b.v - a.v), b.id)) AS next FROM n a JOIN n b ON a.k = b.k AND b.y = a.y + 1 GROUP BY a.id), w AS (SELECT next, arg_min(id, (v2, id)) AS prev FROM (SELECT s.id, s.next, abs(a.v - b.v) AS v2 FROM s JOIN n a ON a.id = s.id JOIN n b ON b.id = s.next) GROUP BY next),
