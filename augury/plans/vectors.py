@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augury.functions.vectors import cosine, doubles, norm, prefix
+from augury.operators import blocks as B
 from augury.operators import cluster as K
+from augury.operators.gram import projection
 from augury.operators.relational import first_per_key
 
 from .catalog import query, t
@@ -125,3 +127,43 @@ def nest_groups(spark, d):
 
     e = t(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") * 4 + F.col("vec_id") % 4).alias("cell"))
     return find_nests(e, id_col="vec_id", vec_col="embedding", cell_col="cell", cohesion=0.0, quantile=0.25, raw=0.5, centred=0.3, least=8)[1]
+
+
+@query("""WITH p AS (SELECT a.vec_id, a.label AS own, b.label AS other, avg(CASE WHEN a.vec_id <> b.vec_id THEN list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END) AS far FROM embeddings a, embeddings b GROUP BY ALL),
+s AS (SELECT vec_id, own AS cluster, max(far) FILTER (WHERE own = other) AS a, min(far) FILTER (WHERE own <> other) AS b FROM p GROUP BY vec_id, own)
+SELECT vec_id, cluster::BIGINT AS cluster, round(a, 6) AS a, round(b, 6) AS b, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM s""")
+def silhouette_of_clusters(spark, d):
+    """Every row's silhouette in given clusters."""
+    s = B.silhouettes(t(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    return s.select(F.col("id").alias("vec_id"), "cluster", *(F.round(c, 6).alias(c) for c in ("a", "b", "silhouette")))
+
+
+@query()
+def silhouette_choice(spark, d):
+    """The mean silhouette of each number of clusters, and which is chosen."""
+    best, means = B.pick_k(t(spark, d, "embeddings"), "vec_id", "embedding", 8, 10)
+    return spark.createDataFrame([(k, round(s, 6), k == best) for k, s in means.items()], "k int, silhouette double, chosen boolean")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, embedding[1:16]::DOUBLE[] AS w FROM embeddings), p AS (SELECT a.vec_id AS q, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.v, b.v), 9), b.vec_id) AS i, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.w, b.w), 9), b.vec_id) AS j
+FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT q AS vec_id, count(*) FILTER (WHERE i <= 10 AND j <= 10)::INT AS kept, coalesce(sum(i - 10) FILTER (WHERE i > 10 AND j <= 10), 0)::BIGINT AS penalty FROM p GROUP BY q""")
+def intruding_neighbours(spark, d):
+    """The stated queries (ids divisible by 50) against all rows: neighbours that a projection to 16 dimensions keeps, and the ranks beyond ten
+    of those that it brings in."""
+    e = t(spark, d, "embeddings").select("vec_id", "embedding", F.slice("embedding", 1, 16).alias("low"))
+    return B.neighbourhoods_kept(e, "vec_id", "embedding", "low", F.col("vec_id") % 50 == 0, 10).withColumnRenamed("id", "vec_id")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, o_orderdate AS day FROM embeddings JOIN orders ON o_orderkey = vec_id), p AS (SELECT a.vec_id, b.vec_id AS best, round(list_cosine_similarity(a.v, b.v), 9) AS near FROM e a JOIN e b ON date_diff('day', b.day, a.day) BETWEEN 0 AND 30 AND (b.day < a.day OR b.vec_id < a.vec_id) AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY near DESC, best) AS i FROM p) SELECT e.vec_id, best, near, coalesce(near > 0.25, false) AS repeats FROM e LEFT JOIN r ON r.vec_id = e.vec_id AND i = 1""")
+def repeats_of_the_month(spark, d):
+    """Whether a row repeats one of the thirty days before it: the nearest of those, against a threshold."""
+    dated = t(spark, d, "embeddings").join(t(spark, d, "orders").select(F.col("o_orderkey").alias("vec_id"), "o_orderdate"), "vec_id")
+    found = B.nearest_before(dated, "vec_id", "embedding", F.unix_date(F.col("o_orderdate").cast("date")), 30)
+    return found.select(F.col("id").alias("vec_id"), "best", "near", F.coalesce(F.col("near") > 0.25, F.lit(False)).alias("repeats"))
+
+
+@query()
+def gram_projection(spark, d):
+    """Rows in three dimensions, on the leading eigenvectors of their Gram matrix."""
+    return projection(t(spark, d, "embeddings"), "vec_id", "embedding")[0].select("vec_id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"))
