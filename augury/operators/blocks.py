@@ -25,10 +25,10 @@ Block = dict[str, np.ndarray]
 
 
 def _packed(df: DataFrame, zone: str, columns: list[str], rows: int) -> DataFrame:
-    """``zone, at, b``: blocks of about so many rows; a zone's rows are dealt by a hash."""
+    """``zone, at, b``: blocks of about so many rows, in order of their first column; a zone's rows are dealt by a hash."""
     sizes = df.groupBy(zone).agg(F.ceil(F.count("*") / rows).alias("_n"))
     dealt = df.join(sizes, zone).withColumn("at", F.pmod(F.xxhash64("id"), F.col("_n")))
-    return dealt.groupBy(zone, "at").agg(F.collect_list(F.struct(*columns)).alias("b"))
+    return dealt.groupBy(zone, "at").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("b"))
 
 
 def _block(found: pa.StructArray) -> Block:

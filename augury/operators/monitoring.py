@@ -49,3 +49,18 @@ def first_within(df: DataFrame, keys: Sequence[str], ts: str, tie: str, ttl: str
     w = W.partitionBy(*keys).orderBy(ts, tie)
     prev = F.lag(ts).over(w)
     return df.withColumn("_p", prev).where(F.col("_p").isNull() | (F.col(ts) > F.col("_p") + F.expr(f"INTERVAL {ttl}"))).drop("_p")
+
+
+def narrowest_window(df: DataFrame, keys: Sequence[str], age: Column, windows: Sequence[int], least: int, value: Column) -> DataFrame:
+    """``keys, days, n, total, enough``: for each key the narrowest of the nested windows that holds ``least`` rows, the widest one if none does, with what it
+    holds. All windows are counted in one pass over rings, the ages between one window and the one before; a key moves a row a ring."""
+    ring = F.lit(None).cast("int")
+    for w in sorted(windows, reverse=True):
+        ring = F.when(age < w, w).otherwise(ring)
+    rings = df.where(age >= 0).select(*keys, ring.alias("days"), value.alias("v")).where("days IS NOT NULL").groupBy(*keys, "days").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+    # a ring without rows would be a window's end too
+    grid = df.select(*keys).distinct().select(*keys, F.explode(F.array(*map(F.lit, sorted(windows)))).alias("days"))
+    up = W.partitionBy(*keys).orderBy("days")
+    full = grid.join(rings, [*keys, "days"], "left").select(*keys, "days", F.sum(F.coalesce("n", F.lit(0))).over(up).alias("n"), F.sum("v").over(up).alias("total"))
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(F.col("n") >= least), F.when(F.col("n") >= least, F.col("days")).otherwise(-F.col("days"))))
+    return full.withColumn("_r", first).where("_r = 1").select(*keys, "days", "n", "total", (F.col("n") >= least).alias("enough"))

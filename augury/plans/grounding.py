@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augury.functions import text as T
+from augury.operators import verify as V
 from augury.operators.relational import first_per_key
 
 from .catalog import query, t
@@ -116,3 +117,16 @@ def cluster_terms(spark, d):
     s = f.join(f.groupBy("w").agg(F.sum("n").alias("t")), "w").join(F.broadcast(z), "cluster").crossJoin(F.broadcast(z.agg(F.avg("size").alias("mean"))))  # clusters; one row
     s = s.withColumn("score", F.round(F.col("n") / F.col("size") * F.log1p(F.col("mean") / F.col("t")), 8))
     return first_per_key(s, ["cluster"], [F.desc("score"), F.col("w")], 4).select("cluster", F.col("w").alias("term"), "score")
+
+
+_CLAIMS = r"""(SELECT DISTINCT id, CASE WHEN ends_with(m, '%') THEN 'percent' ELSE 'plain' END AS unit, regexp_extract(m, '^[0-9.]+')::DOUBLE AS value FROM (SELECT {id} AS id, unnest(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?(?: ?%)?', 0)) AS m FROM {table}))"""
+_IDLE = "unit = 'plain' AND value % 1 = 0 AND (value < 10 OR value BETWEEN 1900 AND 2100)"
+
+
+@query(f"""WITH c AS (SELECT * FROM {_CLAIMS.format(id='doc_id', table='documents')} WHERE NOT ({_IDLE})), e AS (SELECT DISTINCT unit, value AS held FROM {_CLAIMS.format(id='item_id', table='benchmark')} WHERE NOT ({_IDLE})),
+n AS (SELECT c.unit, c.value, min(abs(value - held)) AS far FROM (SELECT DISTINCT unit, value FROM c) c JOIN e ON e.unit = c.unit AND abs(value - held) <= greatest(value, held) * 0.01 GROUP BY ALL)
+SELECT c.id AS doc_id, c.unit, c.value, CASE WHEN far IS NULL THEN 'none' WHEN far = 0 THEN 'exact' ELSE 'rounded' END AS verdict FROM c LEFT JOIN n ON n.unit = c.unit AND n.value = c.value""")
+def verified_numbers(spark, d):
+    """Every number that a document claims, held against the numbers of the benchmark's texts."""
+    claims = V.numbers(t(spark, d, "documents"), "doc_id", F.col("text"))
+    return V.check_numbers(claims, V.numbers(t(spark, d, "benchmark"), "item_id", F.col("text"))).select("doc_id", "unit", "value", "verdict")

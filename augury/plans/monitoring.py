@@ -87,3 +87,23 @@ def high_watermark_slice(spark, d):
     e = t(spark, d, "events").where("event_id > 100")
     top = t(spark, d, "events").agg(F.max("ts").alias("m"))  # one row
     return e.crossJoin(top).where(F.col("ts") >= F.col("m") - F.expr("INTERVAL 7 DAYS")).select("event_id")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_type AS worker, ts FROM events WHERE NOT (event_type = 'purchase' AND value > 95)), f AS (SELECT user_id, min(ts) AS done FROM events WHERE event_type = 'purchase' AND value > 95 GROUP BY 1),
+c AS (SELECT e.* FROM e LEFT JOIN f USING (user_id) WHERE done IS NULL OR ts < done), g AS (SELECT user_id, min(ts) AS ts FROM c GROUP BY 1 UNION ALL SELECT g.user_id, (SELECT min(c.ts) FROM c WHERE c.user_id = g.user_id AND c.ts >= g.ts + INTERVAL 7 DAY) FROM g WHERE g.ts IS NOT NULL)
+SELECT g.user_id, min(c.worker) AS worker, g.ts FROM g JOIN c ON c.user_id = g.user_id AND c.ts = g.ts GROUP BY g.user_id, g.ts""")
+def lease_grants(spark, d):
+    """Users as items, kinds of events as workers that claim them for a week; a large purchase ends an item."""
+    from augury.operators import queue
+
+    e = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return queue.grants(e.withColumnRenamed("event_type", "worker"), "user_id", "worker", "ts", (F.col("worker") == "purchase") & (F.col("value") > 95), 7 * 86400)
+
+
+@query("""WITH a AS (SELECT o_custkey, date_diff('day', o_orderdate, DATE '1998-08-02') AS age, o_totalprice AS v FROM orders WHERE o_orderdate <= DATE '1998-08-02'), w AS (SELECT k.o_custkey, days, count(v) AS n, sum(v) AS total FROM (SELECT DISTINCT o_custkey FROM orders) k CROSS JOIN (SELECT unnest([30, 90, 180, 365, 1500]) AS days) LEFT JOIN a ON a.o_custkey = k.o_custkey AND age < days GROUP BY ALL)
+SELECT o_custkey, days, n, round(total, 2)::DOUBLE AS total, n >= 5 AS enough FROM w QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n >= 5 DESC, CASE WHEN n >= 5 THEN days ELSE -days END) = 1""")
+def widened_windows(spark, d):
+    """Each customer's narrowest window of days with five orders, the widest where even that has fewer."""
+    o = t(spark, d, "orders").select("o_custkey", F.datediff(F.lit("1998-08-02").cast("date"), F.col("o_orderdate").cast("date")).alias("age"), "o_totalprice")
+    w = M.narrowest_window(o, ["o_custkey"], F.col("age"), [30, 90, 180, 365, 1500], 5, F.col("o_totalprice"))
+    return w.withColumn("total", F.round(F.col("total").cast("double"), 2))

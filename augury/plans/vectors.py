@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from augury.functions.vectors import cosine, doubles, norm, prefix
 from augury.operators import blocks as B
 from augury.operators import cluster as K
+from augury.operators import density as D
 from augury.operators.gram import projection
 from augury.operators.relational import first_per_key
 
@@ -167,3 +168,9 @@ def repeats_of_the_month(spark, d):
 def gram_projection(spark, d):
     """Rows in three dimensions, on the leading eigenvectors of their Gram matrix."""
     return projection(t(spark, d, "embeddings"), "vec_id", "embedding")[0].select("vec_id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"))
+
+
+@query()
+def density_clusters(spark, d):
+    """Clusters of every density, the most stable ones; -1 is noise."""
+    return D.density_clusters(t(spark, d, "embeddings"), "vec_id", "embedding", least=5, core=3)

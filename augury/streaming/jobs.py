@@ -67,6 +67,30 @@ def paired(stream: DataFrame, key: str, start: str, end: str, timeout_ms: int) -
     return kept.groupBy(key).applyInPandasWithState(step, "key long, started timestamp, ended timestamp", "waiting string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def leased(stream: DataFrame, item: str, worker: str, done: Column, lease_s: int) -> DataFrame:
+    """``item, worker, ts`` of granted claims, as they come: exactly one winner of an item while a lease holds. State: an item's last grant, or that
+    it is done. Claims of a batch go by time and then by worker; one that is older than what its item's state has seen is refused, never regranted."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, ended = state.get if state.exists else (None, False)
+        won = []
+        for r in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: (r.ts, not r.done, r.worker)):
+            if ended:
+                break
+            at = int(r.ts.value // 1000)
+            if r.done:
+                ended = True
+            elif last is None or at - last >= lease_s * 1_000_000:
+                won.append((k[0], r.worker, r.ts))
+                last = at
+        state.update((last, ended))
+        yield pd.DataFrame(won, columns=["item", "worker", "ts"]).astype({"ts": "datetime64[ns]"})
+
+    asked = stream.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), F.coalesce(F.col(worker).cast("string"), F.lit("")).alias("worker"), "ts", F.coalesce(done, F.lit(False)).alias("done"))
+    kind = asked.schema["item"].dataType.simpleString()
+    return asked.groupBy("item").applyInPandasWithState(step, f"item {kind}, worker string, ts timestamp", "last long, ended boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def sink_once(stream: DataFrame, path: str, checkpoint: str, change: Callable[[DataFrame], DataFrame] = lambda df: df, mode: str = "append") -> StreamingQuery:
     """Each batch into its own folder, overwritten if the batch runs again."""
 

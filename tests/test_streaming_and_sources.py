@@ -43,6 +43,26 @@ def test_pairing_stream(spark, tmp_path):
     assert (7, at(1), at(3)) in {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("key", "started", "ended").collect()}
 
 
+def test_leases_stream_and_batch(spark, tmp_path):
+    """Two claimants of an item, an expiry after 20 minutes, an item that is done; replayed a batch at a time and all at once."""
+    from augury.operators import queue
+
+    parts = [[(1, at(0), 7, "ann", 0.0), (2, at(1), 7, "bob", 0.0), (3, at(1), 8, "bob", 0.0), (4, at(1), 8, "ann", 0.0)],
+             [(5, at(19), 7, "bob", 0.0), (6, at(20), 7, "cyd", 0.0), (7, at(5), 8, "", 1.0), (8, at(6), 9, "ann", 0.0)],
+             [(9, at(39), 7, "ann", 0.0), (10, at(40), 7, "bob", 0.0), (11, at(90), 8, "ann", 0.0), (12, at(26), 9, "ann", 0.0)]]
+    want = {(7, "ann", at(0)), (7, "cyd", at(20)), (7, "bob", at(40)), (8, "ann", at(1)), (9, "ann", at(6)), (9, "ann", at(26))}
+    path, schema = replay(spark, str(tmp_path), parts), spark.createDataFrame([], SCHEMA).schema
+    done = F.col("value") > 0
+    batch = queue.grants(spark.read.schema(schema).parquet(path), "user_id", "event_type", "ts", done, 1200)
+    assert {tuple(r) for r in batch.collect()} == want
+    for i in range(3):  # a run a batch, the state carried by the checkpoint
+        spark.createDataFrame(parts[i], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/log/part={i}")
+        stream = jobs.leased(jobs.events(spark, f"{tmp_path}/log/*", schema, files=100), "user_id", "event_type", done, 1200)
+        jobs.sink_once(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(120)
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("item", "worker", "ts").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,name\n1,"x\ny"\n2,z\n')
     assert [r["name"] for r in readers.delimited(spark, str(tmp_path / "a.csv"), "id int, name string").orderBy("id").collect()] == ["x\ny", "z"]
