@@ -22,8 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: the lineage ends there and survives lost executors."""
+def cut(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Write to the shared folder, in folders by the values of the columns in ``by``, and read back: the lineage ends there and survives lost
+    executors."""
     path = f"{shared_folder(df.sparkSession)}/augury-cut/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

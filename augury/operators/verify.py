@@ -39,7 +39,8 @@ def check_numbers(claims: DataFrame, evidence: DataFrame, tolerance: float = 0.0
 def references(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     """``id_col, kind, ref`` of the works, laws and patents that texts name."""
     kinds = {"work": R.works_in(text), "law": R.laws_in(text), "patent": R.patents_in(text)}
-    every = F.flatten(F.array(*(F.transform(found, lambda r, k=k: F.struct(F.lit(k).alias("kind"), r.alias("ref"))) for k, found in kinds.items())))
+    named = lambda kind, found: F.transform(found, lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("ref")))
+    every = F.flatten(F.array(*(named(kind, found) for kind, found in kinds.items())))
     return df.select(id_col, F.inline(every))
 
 
