@@ -13,8 +13,8 @@ Scale: a message is taken apart inside its own row, and its text moves twice: to
 its result. What the joins move are hashes. Each (conversation, hash) keeps only its first turn before the join,
 so the join is one row to each quote and no two messages are paired; a hot hash or conversation is split by AQE.
 Threads are found by pointer jumping over the linked turns alone (the logarithm of the longest chain in rounds).
-Positions in a conversation are counted in two levels, by blocks of 256 first turns, so a very long conversation
-needs no single task.
+Positions in a conversation are numbers in ranges of one sort, shifted by the counts of the ranges before, so neither a
+very long conversation nor a thread in which all answer one message needs a single task.
 
 Rows: repeated rows are one message; null text is an empty message that quotes nothing; null conversation ids
 or turns link to nothing but are kept; ties in turn follow role and the md5 of the text; other columns are ignored.
@@ -27,8 +27,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
-from .sharding import rank_within
+from .common import ranked_by_sort, saved
 
 _MARKS = r"^((?:[ \t]*>)*)"
 _SPACE = r"[ \t\r\n]+"
@@ -111,6 +110,6 @@ def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
         own = narrow.join(roots, ["conv_id", "turn"], "left")  # all messages of a turn stand in its thread
         narrow = own.withColumn("root", F.coalesce("root", "turn"))
     order = [F.col("root"), F.col("turn"), F.col("role"), F.col("text_md5")]
-    placed = rank_within(narrow, ["conv_id"], order, F.floor(F.col("root") / 256), "reply_pos")
+    placed = ranked_by_sort(narrow, ["conv_id"], order, "reply_pos", "replies-in-order")
     out = made.join(placed.select("m", "parent", "n_linked", F.col("reply_pos").cast("long").alias("reply_pos")), "m")
     return out.select("conv_id", "turn", "role", "text", "n_quoted", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "max_level", F.col("parent").alias("parent_turn"), "reply_pos")

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
@@ -42,10 +43,20 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def ranked_by_sort(df: DataFrame, key: list[str], order: list[Column], out: str, tag: str, size: str | None = None) -> DataFrame:
+    """df with ``out``, gapless ranks from 0 within each key (null is a key too), and ``size``, the key's rows, if asked for. Rows are sorted over ranges of key and
+    order and numbered in their range; the counts of the ranges before shift the numbers, so a key with most rows is as many
+    tasks' work as it fills ranges. Only rows that agree in key and order have to share a range."""
+    by = [*map(F.col, key), *order]
+    sorted_ = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = saved(sorted_.withColumn("_number", F.monotonically_increasing_id()).withColumn("_range", F.spark_partition_id()), tag)
+    counts = ranged.groupBy(*key, "_range").agg(F.count("*").alias("_n"), F.min("_number").alias("_first"))
+    of = W.partitionBy(*key)
+    before = F.coalesce(F.sum("_n").over(of.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col("_range").alias("_at"), (before - F.col("_first")).alias("_shift"), F.sum("_n").over(of).alias("_all"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)] + [F.col("_range") == F.col("_at")]
+    more = [F.col("_all").alias(size)] if size else []
+    return ranged.join(shifts, same).select(*df.columns, (F.col("_number") + F.col("_shift")).alias(out), *more)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:

@@ -28,10 +28,9 @@ rows; a single row's leaf is its subroot and root, its siblings are the empty st
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import ranked_by_sort, saved
 
 #: Levels that a block holds; characters of a digest.
 LEVELS, HEX = 5, 64
@@ -55,17 +54,6 @@ def div(value: Column, by: int) -> Column:
     return ((value - value % by) / by).cast("long") if by <= 1 << 20 else F.call_function("div", value, F.lit(by))
 
 
-def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """rows, which have a column ``tree``, with ``at``, their place from 0 within it, and ``depth``, the levels above
-    it. The sort's ranges number their rows; the count of a tree's rows in the ranges before shifts them."""
-    ranged = rows.repartitionByRange(F.col("tree"), *order).sortWithinPartitions(F.col("tree"), *order)
-    ranged = saved(ranged.withColumn("number", F.monotonically_increasing_id()).withColumn("range", F.spark_partition_id()), "merkle-leaves")
-    counts = ranged.groupBy("tree", "range").agg(F.count("*").alias("n"), F.min("number").alias("first"))
-    of = W.partitionBy("tree")
-    shifts = counts.select("tree", "range", (F.coalesce(F.sum("n").over(of.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) - F.col("first")).alias("shift"), F.sum("n").over(of).alias("n"))
-    return ranged.join(shifts, ["tree", "range"]).withColumn("at", F.col("number") + F.col("shift")).drop("number", "range", "shift")
-
-
 def depth_of(n: Column, arity: int) -> Column:
     """The least depth at which arity ** depth is n or more."""
     powers = [arity**k for k in range(1, 64) if arity**k < 1 << 62]
@@ -160,9 +148,11 @@ def build(rows: DataFrame, fields: list[Column], *, group: Column, id_col: str,
     their fields become; the column holds the digest of those, null elsewhere."""
     other = F.when(changed[0], digest([field(f) for f in changed[1]])) if changed else F.lit(None).cast("string")
     leaves = rows.select(F.col(id_col).alias("id"), group_key(group).alias("tree"), digest([field(f) for f in fields]).alias("hash"), other.alias("changed"))
-    leaves = saved(placed(saved(leaves, "merkle-digests"), [F.asc_nulls_first("id"), F.col("hash")]), "merkle-places")
+    leaves = ranked_by_sort(saved(leaves, "merkle-digests"), ["tree"], [F.asc_nulls_first("id"), F.col("hash")], "at", "merkle-leaves", "n")
+    leaves = saved(leaves, "merkle-places")
     rounds, tops = grow(leaves, arity)
-    roots = saved(placed(tops.select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("top").alias("hash")), [F.col("name")]), "merkle-roots")
+    roots = tops.select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("top").alias("hash"))
+    roots = saved(ranked_by_sort(roots, ["tree"], [F.col("name")], "at", "merkle-groups", "n"), "merkle-roots")
     above, found = grow(roots, arity)
     root = (found.first() or {"top": None})["top"]
     head = rows.sparkSession.range(1).select(F.lit("").alias("tree"), F.lit(root).cast("string").alias("top"), F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("slots"))

@@ -4,7 +4,8 @@ A text's digest (sha-256 of its UTF-8 bytes, null as empty) with the digest of t
 of a Parquet table of counts. Texts whose key is stored are not encoded again; of the others each distinct
 one is encoded once, and its count is appended.
 
-Scale: ids and digests are what the joins move. Missing texts move once, zstd-packed, after each task has
+Scale: ids and digests are what the joins move; a digest that very many rows share (null, empty, copied texts) is joined by
+broadcast, and there can't be many such. Missing texts move once, zstd-packed, after each task has
 dropped its own repeats, so a group of copies sends one row per task at most. Inside a task each distinct
 chunk of text is encoded once: the byte-level pattern always starts a new pre-token at a space behind a
 non-space character, so counts of such chunks add up to the count of the text.
@@ -21,11 +22,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import path_exists, slices
+from .common import saved, slices
 
+#: Digests with a HOT-th of all rows are joined apart; there are HOT of them at most.
+HOT = 256
 #: Chunks kept by one Python worker; beyond it starts anew (memory, not results).
 CHUNK_ENTRIES = 200_000
 _SPACES = re.compile(r"\s\s")
@@ -77,9 +81,12 @@ def tokenizer_digest(tokenizer_file: str) -> str:
 
 def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
     """The stored counts of one tokenizer version; None where nothing is stored yet."""
-    if not path_exists(spark, f"{cache}/version={version}"):
+    try:
+        return spark.read.schema("digest binary, n_tokens long").parquet(f"{cache}/version={version}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.schema("digest binary, n_tokens long").parquet(f"{cache}/version={version}")
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +105,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, cache: str, *, id_col: st
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_file)
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.unhex(F.sha2(text, 256)).alias("digest")
-    keyed = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), digest)
+    keyed = saved(docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), digest), "token-digests")
     missing, known = docs.select(digest, text.alias("_text")), read_cache(spark, cache, version)
     if known is not None:
         missing = missing.join(known.select("digest").distinct(), "digest", "left_anti")
@@ -117,4 +124,9 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, cache: str, *, id_col: st
     (missing.mapInArrow(_pack, "digest binary, packed binary").repartition("digest")
      .mapInArrow(encode, "digest binary, n_tokens long").write.mode("append").parquet(f"{cache}/version={version}"))
     counts = read_cache(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(counts, "digest").select(id_col, "n_bytes", "n_tokens")
+    # texts that make a HOT-th of all rows or more, at most HOT of them, go to all executors, so no task gets their rows
+    hot = keyed.groupBy("digest").agg(F.count("*").alias("_n")).where(F.col("_n") * HOT >= keyed.count()).select("digest")
+    common = F.broadcast(counts.join(F.broadcast(hot), "digest").withColumnRenamed("n_tokens", "_common"))
+    marked = keyed.join(common, "digest", "left")
+    rest = marked.where("_common IS NULL").join(counts, "digest").select(id_col, "n_bytes", "n_tokens")
+    return marked.where("_common IS NOT NULL").select(id_col, "n_bytes", F.col("_common").alias("n_tokens")).unionByName(rest)

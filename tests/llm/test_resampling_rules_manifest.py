@@ -194,3 +194,43 @@ def test_against_sql(spark, name):
     said = con.execute(entry.oracle_sql()[name])
     at = [[c[0] for c in said.description].index(c) for c in df.columns]
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in said.fetchall())
+
+
+def test_ranks_by_sort(spark):
+    """Against plain sorting, with a key that holds most rows, null keys, ties and descending order."""
+    from augury.llm.common import ranked_by_sort
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a"] * 8 + ["b", None]), rng.randrange(40), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v int, i int").repartition(5)
+    got = ranked_by_sort(df, ["k"], [F.desc("v"), F.col("i")], "r", "test", "n").collect()
+    want = {}
+    for k, v, i in sorted(rows, key=lambda r: (-r[1], r[2])):
+        want.setdefault(k, []).append(i)
+    assert len(got) == len(rows) and all(want[r["k"]][r["r"]] == r["i"] and r["n"] == len(want[r["k"]]) for r in got)
+    assert ranked_by_sort(df.limit(0), ["k"], [F.col("v")], "r", "test").collect() == []
+
+
+def test_one_thread_of_many_answers(spark):
+    """All answer the first turn: one root, whose rows no task has to hold; positions stay gapless and in order."""
+    from augury.llm import chat
+
+    rows = [(1, 0, "user", "the first words")] + [(1, i, "user", f"> the first words\nanswer {i}") for i in range(1, 300)] + [(None, 0, "user", "x"), (2, None, "user", None)]
+    got = chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect()
+    assert [r["turn"] for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["reply_pos"])] == list(range(300))
+    assert {r["reply_pos"] for r in got if r["conv_id"] == 1} == set(range(300)) and sum(r["n_linked"] for r in got) == 299
+
+
+def test_token_counts_of_common_texts(spark, tmp_path):
+    """Texts that most rows share are joined apart; the counts are the library's all the same."""
+    from tokenizers import Tokenizer
+
+    from augury.llm import token_counts
+    from augury.llm.queries import BYTE_BPE
+
+    texts = [None] * 300 + [""] * 300 + ["common words here"] * 900 + [f"rare text {i}" for i in range(700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    t = Tokenizer.from_file(BYTE_BPE)
+    want = {x: len(t.encode(x or "", add_special_tokens=False).ids) for x in set(texts)}
+    got = token_counts.count_tokens(df, BYTE_BPE, f"{tmp_path}/cache").collect()
+    assert len(got) == len(texts) and all(r["n_tokens"] == want[texts[r["doc_id"]]] for r in got)
