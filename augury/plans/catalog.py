@@ -31,5 +31,5 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _module in ("relational", "joins", "series", "scalars", "search", "resolution", "vectors", "monitoring", "rules", "predicates", "codes", "trends", "readmodels", "changes", "patents", "grounding", "themes"):
+for _module in ("relational", "joins", "series", "scalars", "search", "resolution", "vectors", "monitoring", "rules", "predicates", "codes", "trends", "readmodels", "changes", "patents", "grounding", "themes", "pages"):
     importlib.import_module(f"augury.plans.{_module}")
