@@ -17,13 +17,13 @@ from .predicates import _CODED, coded
 _S = lambda c: c.cast("string")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_name || ' of Lyon' END AS company, (100 + c_custkey)::VARCHAR AS project, c_custkey::VARCHAR AS org FROM customer""")
+@query(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^(www|m|amp)[.]', '') AS site, nullif(regexp_extract(url, '^[a-z]+://[^/]*/([a-z]{2})/([0-9]+)', 1), '') AS lang, nullif(regexp_extract(url, '^[a-z]+://[^/]*/([a-z]{2})/([0-9]+)', 2), '') AS number FROM pages WHERE url IS NOT NULL""")
 def stripped_prefixes(spark, d):
-    k, name = F.col("c_custkey"), F.col("c_name")
-    said = F.when(k % 2 == 0, F.concat(F.lit("Stockholm's "), name)).otherwise(F.concat(name, F.lit(" of Lyon")))
-    url = F.concat(F.lit("https://cordis.europa.eu/project/id/"), _S(100 + k), F.lit("#org-"), _S(k))
-    where = r"cordis\.europa\.eu/project/id/(\d+)#org-(\d+)"
-    return t(spark, d, "customer").select("c_custkey", F.regexp_replace(said, r"^\p{Lu}[\p{L}-]*(?: \p{Lu}[\p{L}-]*)?['’]s (?=\S)", "").alias("company"), F.regexp_extract(url, where, 1).alias("project"), F.regexp_extract(url, where, 2).alias("org"))
+    """Of every page's address the site without its leading label, and two parts of its path."""
+    url, path = F.col("url"), r"^[a-z]+://[^/]*/([a-z]{2})/([0-9]+)"
+    site = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-z]+://([^/?#]*)", 1)), r"^(www|m|amp)[.]", "")
+    part = lambda i: F.nullif(F.regexp_extract(url, path, i), F.lit(""))
+    return t(spark, d, "pages").where("url IS NOT NULL").select("page_id", site.alias("site"), part(1).alias("lang"), part(2).alias("number"))
 
 
 @query("""SELECT n_nationkey, ['CA', 'NY', 'TX', NULL, 'WV'][n_nationkey % 5 + 1] AS state FROM nation""")
@@ -39,14 +39,13 @@ def class_codes(spark, d):
     return x.select("p_partkey", F.array_join(C.subclasses("text"), ",").alias("classes"), F.array_join(C.with_migrated(F.array(F.substring("code", 1, 4), F.lit("H01L"))), ",").alias("widened"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN year(o_orderdate) WHEN 1 THEN 2000 + o_orderkey % 20 END::INT AS y FROM orders""")
+@query(r"""WITH n AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9-]*[0-9]{8,}[A-Za-z0-9-]*', 0)) AS number FROM documents), y AS (SELECT *, try_cast(nullif(regexp_extract(replace(number, '-', ''), '(?:^|[A-Z])((?:19|20)[0-9]{2})[0-9]{7}', 1), '') AS INT) AS y FROM n)
+SELECT doc_id, number, CASE WHEN y BETWEEN 1900 AND 2030 THEN y END AS y FROM y""")
 def years_of_numbers(spark, d):
-    """The corpus's year, else a plausible one in the number."""
-    k = F.col("o_orderkey")
-    known = F.when(k % 3 == 0, F.year("o_orderdate"))
-    number = F.when(k % 3 == 1, F.concat(F.lit("US-"), _S(2000 + k % 20), F.lit("-0123456"))).otherwise("EP-3535216-B1")
-    found = F.regexp_extract(F.regexp_replace(number, "-", ""), r"(?:^|[A-Z])((?:19|20)[0-9]{2})[0-9]{7}", 1).try_cast("int")
-    return t(spark, d, "orders").select("o_orderkey", F.coalesce(known, F.when(found.between(1900, 2030), found)).alias("y"))
+    """The year that a number in a text begins with, where it is a plausible one."""
+    n = t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9-]*[0-9]{8,}[A-Za-z0-9-]*"), F.lit(0)))).alias("number"))
+    found = F.regexp_extract(F.regexp_replace("number", "-", ""), r"(?:^|[A-Z])((?:19|20)[0-9]{2})[0-9]{7}", 1).try_cast("int")
+    return n.select("doc_id", "number", F.when(found.between(1900, 2030), found).alias("y"))
 
 
 _LABELS = "|".join(sorted(A.LABELS, key=len, reverse=True))
@@ -173,12 +172,12 @@ def leave_one_out_fit(spark, d):
     return fit.select("g", F.round("r", 6).alias("pearson"), F.round(1 - F.col("e") / F.col("s"), 4).alias("loo_r2"), F.round(F.exp(F.col("a") / 10 + F.col("b") / 100) * 100 * F.exp(F.lit(0.02)), 4).alias("k"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN (1000 + o_orderkey % 9000)::DOUBLE WHEN 1 THEN (1000 + o_orderkey % 9000)::DOUBLE WHEN 2 THEN (o_orderkey % 9) + 0.5 END::DOUBLE AS v FROM orders""")
+@query(r"""WITH n AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9][0-9., ]*[0-9]|[0-9]', 0)) AS said FROM documents)
+SELECT doc_id, said, CASE WHEN regexp_matches(said, '^[0-9]{1,3}([ .,][0-9]{3})+$') THEN regexp_replace(said, '[ .,]', '', 'g')::DOUBLE WHEN regexp_matches(said, '^[0-9]+([.,][0-9]+)?$') THEN replace(said, ',', '.')::DOUBLE END AS v FROM n""")
 def local_numbers(spark, d):
-    k = F.col("o_orderkey")
-    n = 1000 + k % 9000
-    said = F.when(k % 4 == 0, F.format_string("%d.%03d", F.floor(n / 1000), n % 1000)).when(k % 4 == 1, F.format_string("%d %03d", F.floor(n / 1000), n % 1000)).when(k % 4 == 2, F.format_string("%d,5", k % 9)).otherwise("n/a")
-    return t(spark, d, "orders").select("o_orderkey", C.local_number(said).alias("v"))
+    """Every figure of every text, read with points, commas or blanks between its thousands, or as a decimal; what is neither is null."""
+    n = t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9][0-9., ]*[0-9]|[0-9]"), F.lit(0)))).alias("said"))
+    return n.select("doc_id", "said", C.local_number("said").alias("v"))
 
 
 @query(r"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from augury.functions import codes as C
+from augury.functions.references import OFFICES
 
 from .catalog import query, t
 
@@ -104,12 +105,12 @@ def topic_scope(spark, d):
     return found.select("said", "keys", F.when(F.col("keys").isNull(), F.col("near")).alias("meant"))
 
 
-@query("""SELECT o_orderkey, array_to_string(CASE WHEN o_orderkey % 3 = 0 THEN [n, left(n, 4) || substr(n, 6)] WHEN o_orderkey % 3 = 1 THEN [n, left(n, 4) || '0' || substr(n, 5)] ELSE [n] END, ' ') AS variants FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '20210' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') WHEN 1 THEN '2019' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') ELSE '7' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') END AS n FROM orders)""")
+@query(r"""WITH n AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9]{7,}', 0)) AS n FROM documents), y AS (SELECT *, coalesce(try_cast(left(n, 4) AS INT) BETWEEN 1900 AND 2100, false) AS year FROM n)
+SELECT doc_id, n AS number, CASE WHEN year AND length(n) = 11 AND substr(n, 5, 1) = '0' THEN n || ' ' || left(n, 4) || substr(n, 6) WHEN year AND length(n) = 10 THEN n || ' ' || left(n, 4) || '0' || substr(n, 5) ELSE n END AS variants FROM y""")
 def publication_number_variants(spark, d):
-    k = F.col("o_orderkey")
-    serial = F.lpad((k % 1000000).cast("string"), 6, "0")
-    n = F.concat(F.when(k % 3 == 0, "20210").when(k % 3 == 1, "2019").otherwise("7"), serial)
-    return t(spark, d, "orders").select("o_orderkey", F.array_join(C.number_variants(n), " ").alias("variants"))
+    """The spellings of every long number in a text: with and without a zero before the serial behind a year."""
+    n = t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{7,}"), F.lit(0)))).alias("number"))
+    return n.select("doc_id", "number", F.array_join(C.number_variants("number"), " ").alias("variants"))
 
 
 @query("""SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders WHERE NOT (month(o_orderdate) = 1 AND day(o_orderdate) = 1 AND o_orderpriority LIKE '1-%') GROUP BY 1""")
@@ -126,11 +127,10 @@ def id_spaces(spark, d):
     return ids.groupBy((F.col("id") >= F.lit(1 << 31)).alias("archived")).agg(F.count("*").alias("n"), F.min(F.col("id") % F.lit(1 << 31)).alias("low"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 IN (0, 3) THEN NULL ELSE c_name END AS actor FROM customer""")
+@query(r"""WITH n AS (SELECT doc_id, trim(split_part(text, '. ', 1)) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN length(n) BETWEEN 3 AND 59 AND NOT regexp_matches(n, '["''’]') AND NOT (upper(n) = n AND lower(n) <> n AND contains(n, ' ')) THEN n END AS actor FROM n""")
 def actor_names(spark, d):
-    k, name = F.col("c_custkey"), F.col("c_name")
-    said = F.when(k % 4 == 0, F.concat(F.upper(name), F.lit(" AND SONS"))).when(k % 4 == 3, F.concat(name, F.lit("'s"))).when(k % 4 == 1, F.concat(F.lit("  "), name)).otherwise(name)
-    return t(spark, d, "customer").select("c_custkey", C.actor_name(said).alias("actor"))
+    """The first sentence of every text where it can be a name: short, without quotes, no line of capitals."""
+    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", C.actor_name(F.split_part("text", F.lit(". "), F.lit(1))).alias("actor"))
 
 
 def in_scope(scope: dict) -> "F.Column":
@@ -150,15 +150,20 @@ def scope_filters(spark, d):
     return n.unpivot([], list(scopes), "scope", "n")
 
 
-@query(r"""SELECT id, CASE WHEN regexp_matches(q, '^(EP|US|WO|CN|JP|KR|DE|GB|FR)[ -]?[0-9]{6,}') THEN 'number' WHEN regexp_matches(q, '^10\.[0-9]{4,9}/') THEN 'doi' WHEN regexp_matches(q, '^[A-HY][0-9]{2}[A-Z]([0-9]{1,4}(/[0-9]{1,6})?)?$') THEN 'class'
+def search_route(q):
+    """number, doi, class, years, web (words with operators, or one word) or phrase."""
+    route = F.when(q.rlike(rf"^({'|'.join(OFFICES)})[ -]?[0-9]{{6,}}"), "number").when(q.rlike(r"^10\.[0-9]{4,9}/"), "doi").when(q.rlike(r"^[A-HY][0-9]{2}[A-Z]([0-9]{1,4}(/[0-9]{1,6})?)?$"), "class")
+    return route.when(q.rlike(r"^(19|20)[0-9]{2} ?[-–] ?(19|20)[0-9]{2}$"), "years").when(q.contains('"') | q.contains(" OR ") | ~q.contains(" "), "web").otherwise("phrase")
+
+
+@query(r"""SELECT q, CASE WHEN regexp_matches(q, '^(EP|US|WO|CN|JP|KR|DE|GB|FR)[ -]?[0-9]{6,}') THEN 'number' WHEN regexp_matches(q, '^10\.[0-9]{4,9}/') THEN 'doi' WHEN regexp_matches(q, '^[A-HY][0-9]{2}[A-Z]([0-9]{1,4}(/[0-9]{1,6})?)?$') THEN 'class'
 WHEN regexp_matches(q, '^(19|20)[0-9]{2} ?[-–] ?(19|20)[0-9]{2}$') THEN 'years' WHEN q LIKE '%"%' OR q LIKE '% OR %' OR q NOT LIKE '% %' THEN 'web' ELSE 'phrase' END AS route
-FROM (SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'EP ' || (3000000 + o_orderkey) WHEN 1 THEN '10.1234/x' || o_orderkey WHEN 2 THEN 'H01M' || (1 + o_orderkey % 90) || '/5' WHEN 3 THEN '1999 - 2005' WHEN 4 THEN 'solid state battery' WHEN 5 THEN 'lidar OR radar' ELSE 'graphene' END AS q FROM orders)""")
+FROM (SELECT p_name AS q FROM part UNION SELECT p_brand FROM part UNION SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT trim(split_part(text, '. ', 1)) FROM documents WHERE text IS NOT NULL UNION SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9/.-]*[0-9][A-Za-z0-9/.-]*', 0)) FROM documents)""")
 def search_routes(spark, d):
-    """Which way a search text goes: a number, a reference, a class, years, a phrase or words."""
-    k = F.col("o_orderkey")
-    s = lambda c: c.cast("string")
-    q = (F.when(k % 7 == 0, F.concat(F.lit("EP "), s(3000000 + k))).when(k % 7 == 1, F.concat(F.lit("10.1234/x"), s(k))).when(k % 7 == 2, F.concat(F.lit("H01M"), s(1 + k % 90), F.lit("/5")))
-         .when(k % 7 == 3, "1999 - 2005").when(k % 7 == 4, "solid state battery").when(k % 7 == 5, "lidar OR radar").otherwise("graphene"))
-    route = (F.when(q.rlike(r"^(EP|US|WO|CN|JP|KR|DE|GB|FR)[ -]?[0-9]{6,}"), "number").when(q.rlike(r"^10\.[0-9]{4,9}/"), "doi").when(q.rlike(r"^[A-HY][0-9]{2}[A-Z]([0-9]{1,4}(/[0-9]{1,6})?)?$"), "class")
-             .when(q.rlike(r"^(19|20)[0-9]{2} ?[-–] ?(19|20)[0-9]{2}$"), "years").when(q.contains('"') | q.contains(" OR ") | ~q.contains(" "), "web").otherwise("phrase"))
-    return t(spark, d, "orders").select(k.alias("id"), route.alias("route"))
+    """Which way a search text goes: a number, a reference, a class, years, a phrase or words. Asked with names, addresses, first sentences and all that holds a figure
+    in the texts."""
+    docs = t(spark, d, "documents").where("text IS NOT NULL")
+    part = t(spark, d, "part")
+    q = part.select(F.col("p_name").alias("q")).union(part.select("p_brand")).union(t(spark, d, "pages").where("url IS NOT NULL").select("url")).union(docs.select(F.trim(F.split_part("text", F.lit(". "), F.lit(1)))))
+    q = q.union(docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9/.-]*[0-9][A-Za-z0-9/.-]*"), F.lit(0))))).distinct()
+    return q.select("q", search_route(F.col("q")).alias("route"))

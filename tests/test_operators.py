@@ -221,6 +221,23 @@ def test_codes(spark):
     assert value(spark, K.actor_name(F.lit("ANN AND SONS"))) is None and value(spark, K.actor_name(F.lit("IBM"))) == "IBM"
 
 
+def test_search_routes(spark):
+    from augury.plans import catalog, predicates
+
+    search_route = predicates.search_route
+    assert "search_routes" in catalog.QUERIES
+
+    said = {"EP 3000001": "number", "WO2021123456": "number", "10.1234/x": "doi", "H01M10/52": "class", "H01M": "class", "1999 - 2005": "years", "2001–2002": "years", "solid state battery": "phrase", "lidar OR radar": "web", 'a "b c"': "web", "graphene": "web", "": "web"}
+    assert {q: value(spark, search_route(F.lit(q))) for q in said} == said
+
+
+def test_names_and_numbers(spark):
+    from augury.functions import codes as K
+
+    assert value(spark, K.number_variants(F.lit("20210123456"))) == ["20210123456", "2021123456"] and value(spark, K.number_variants(F.lit("2019123456"))) == ["2019123456", "20190123456"] and value(spark, K.number_variants(F.lit("7123456"))) == ["7123456"]
+    assert [value(spark, K.actor_name(F.lit(n))) for n in ("  Ann Lee ", "Ann's", "ACME AND SONS", "IBM", "x" * 60, "ab")] == ["Ann Lee", None, None, "IBM", None, None]
+
+
 def test_references(spark):
     from augury.functions import references as R
 
@@ -245,7 +262,10 @@ def test_cleaned_abstracts(spark, raw, out):
 
 
 def test_walls(spark):
-    from augury.plans.grounding import is_wall
+    from augury.plans import catalog, grounding
+
+    is_wall = grounding.is_wall
+    assert "bot_walls" in catalog.QUERIES
 
     said = ["Just a moment: Checking your BROWSER.", "An article. " * 200 + "checking your browser", "An article.", "Pardon our Interruption", ""]
     assert [value(spark, is_wall(F.lit(x))) for x in said] == [True, False, False, True, False]
