@@ -5,13 +5,15 @@ Every ordering ends in a unique key given by the caller, so results are the same
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from augury.functions.lineage import cut
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """The first n rows of each key. Spark cuts each task to n rows a key before the shuffle."""
@@ -78,3 +80,18 @@ def clamped_count(df: DataFrame, most: int) -> DataFrame:
     """``n, clamped``: the count, but no more rows are read than it takes to pass ``most``."""
     got = df.limit(most + 1).agg(F.count("*").alias("n"))
     return got.select(F.least("n", F.lit(most)).alias("n"), (F.col("n") > most).alias("clamped"))
+
+
+def greedy_picks(df: DataFrame, group: str, order: Sequence[Column], items: Sequence[str], clash: Callable[[Column, Column], Column], n: int) -> DataFrame:
+    """``group, picked``: of every group up to n rows (structs of items, as taken), the best first, then always the best that clashes with none taken. ``order`` ends in a total order.
+    A round for each pick: one aggregation that keeps a row a group, and a join with what is taken, a short array; a group is never gathered. clash(row, taken) is over structs
+    of items."""
+    rows = df.select(group, F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order))).alias("_o"), F.struct(*items).alias("_x"))
+    kind = rows.schema["_x"].dataType.simpleString()
+    taken = df.select(group).distinct().withColumn("picked", F.array().cast(f"array<{kind}>"))
+    for _ in range(n):
+        free = rows.join(taken, group).where(~F.exists("picked", lambda y: clash(F.col("_x"), y)))
+        best = free.groupBy(group).agg(F.min_by("_x", "_o").alias("_best"))
+        step = taken.join(best, group, "left").select(group, F.when(F.col("_best").isNull(), F.col("picked")).otherwise(F.concat("picked", F.array("_best"))).alias("picked"))
+        taken = cut(step, "picks")
+    return taken

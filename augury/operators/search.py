@@ -53,3 +53,15 @@ def clamped_page(hits: DataFrame, order: Sequence[Column], id_col: str, size: in
     page = page.withColumn("rank", F.row_number().over(W.orderBy(*order)))  # a page's rows
     total = F.broadcast(hits.select(F.lit(1)).limit(clamp + 1).agg(F.count("*").alias("total")))  # one row
     return page.crossJoin(total).select(id_col, "rank", "total", (F.col("total") > clamp).alias("clamped"))
+
+
+def meaning_within(vectors: DataFrame, keep: DataFrame, words: DataFrame, id_col: str, score: Column, nearest: int, enough: int, most: int) -> tuple[DataFrame, bool]:
+    """``id_col, score`` of the rows nearest in meaning that pass a filter (keep: their ids), and whether the fallback was taken. Of the ``nearest`` rows of all those in the filter count; if they
+    are fewer than ``enough``, the rows of the filter that hold one of the query's words (words: ids) come in too, by the same score. ``most`` in all: a page's candidates."""
+    scored = vectors.select(id_col, score.alias("score"))
+    order = [F.desc("score"), F.col(id_col)]
+    near = scored.orderBy(*order).limit(nearest).join(keep, id_col, "left_semi")
+    thin = near.limit(enough).count() < enough
+    if thin:
+        near = near.unionByName(scored.join(keep, id_col, "left_semi").join(words, id_col, "left_semi")).distinct()
+    return near.orderBy(*order).limit(most), thin

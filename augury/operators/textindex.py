@@ -130,3 +130,9 @@ class TextIndex:
     def scores(self, words_: list[str], **more) -> DataFrame:
         """``id, score``: the damped frequencies of the words and phrases, summed."""
         return self.counts(words_, **more).select("id", F.aggregate("counts", F.lit(0.0), lambda s, n: s + F.log1p(n.cast("double"))).alias("score"))
+
+    def any_of(self, words_: list[str], by: str = "stem") -> DataFrame:
+        """``id`` of every document that holds one of the words at least."""
+        arrays = self._arrays([[w] for w in words_], by).select("block", F.transform("starts", lambda p: F.shiftright(p, 32)).alias("docs"))
+        found = arrays.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list(F.array_distinct("docs")))).alias("found"))
+        return found.select("block", F.explode("found").alias("off")).select((F.col("block") * (1 << BITS) + F.col("off")).alias("id"))

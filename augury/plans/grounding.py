@@ -6,23 +6,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augury.functions import text as T
+from augury.functions.lineage import cut
 from augury.operators import verify as V
-from augury.operators.relational import first_per_key
+from augury.operators.relational import first_per_key, greedy_picks
 
 from .catalog import query, t
 
 
-@query(r"""WITH n AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+', 0)) AS names, source FROM documents), s AS (SELECT source, list(DISTINCT w) AS known FROM (SELECT source, unnest(regexp_extract_all(text, '[A-Z][a-z]+', 0)) AS w FROM documents WHERE lang = 'en') GROUP BY source)
-SELECT doc_id, count(*) AS ungrounded FROM (SELECT doc_id, source, unnest(names) AS name FROM n) x JOIN s USING (source) WHERE NOT (list_contains(known, split_part(name, ' ', 1)) AND list_contains(known, split_part(name, ' ', 2))) GROUP BY doc_id""")
+@query(r"""WITH n AS (SELECT DISTINCT conv_id, turn, lower(unnest(regexp_extract_all(text, '\p{Lu}\p{Ll}{2,}', 0))) AS name FROM conversations WHERE role = 'assistant'), k AS (SELECT DISTINCT conv_id, lower(unnest(regexp_extract_all(text, '\p{L}+', 0))) AS w FROM conversations WHERE role <> 'assistant')
+SELECT n.conv_id, turn, count(*) AS named, count(*) FILTER (WHERE w IS NULL) AS ungrounded FROM n LEFT JOIN k ON k.conv_id = n.conv_id AND k.w = n.name GROUP BY ALL""")
 def ungrounded_names(spark, d):
-    """Names of two words of which the source's English texts never say one."""
-    docs = t(spark, d, "documents").select("doc_id", "source", "lang", "text")
-    names = docs.select("doc_id", "source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ [A-Z][a-z]+"), F.lit(0)))).alias("name"))
-    known = docs.where("lang = 'en'").select("source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)))).alias("w")).distinct()
-    names = names.join(known.select("source").distinct(), "source", "left_semi")
-    parts = names.select("doc_id", "source", "name", F.explode(F.split("name", " ")).alias("w"))
-    missing = parts.join(known, ["source", "w"], "left_anti").select("doc_id", "name").distinct()
-    return missing.groupBy("doc_id").agg(F.count("*").alias("ungrounded"))
+    """Names in answers, which are words with a capital, and how many of them nobody else in the conversation says."""
+    c = t(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    said = lambda rows, pattern, *keys: rows.select(*keys, F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("w")).withColumn("w", F.lower("w")).distinct()
+    names, known = said(c.where("role = 'assistant'"), r"\p{Lu}\p{Ll}{2,}", "conv_id", "turn"), said(c.where("role <> 'assistant'"), r"\p{L}+", "conv_id")
+    both = names.join(known.withColumn("known", F.lit(True)), ["conv_id", "w"], "left")
+    return both.groupBy("conv_id", "turn").agg(F.count("*").alias("named"), F.count_if(F.col("known").isNull()).alias("ungrounded"))
 
 
 @query(r"""SELECT item_id, len(list_filter(string_split(text, '. '), lambda s: contains(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), trim(regexp_replace(lower(s), '\s+', ' ', 'g')))))::BIGINT AS kept, len(string_split(text, '. '))::BIGINT AS given FROM benchmark""")
@@ -94,29 +93,34 @@ def lift_phrases(spark, d):
     return first_per_key(s, ["nest"], [F.desc("score"), F.col("g")], 4).select("nest", F.col("g").alias("phrase"), "score")
 
 
-@query("""WITH RECURSIVE c AS (SELECT p_type AS grp, p_partkey AS id, p_retailprice AS s, p_size AS v FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY s DESC, id) AS i FROM c), top AS (SELECT * FROM r WHERE i <= 40),
-g AS (SELECT grp, 1 AS i, [v] AS taken, [id] AS ids FROM top WHERE i = 1 UNION ALL SELECT g.grp, t.i, CASE WHEN len(ids) < 5 AND len(list_filter(taken, lambda x: abs(x - t.v) <= 2)) = 0 THEN list_append(taken, t.v) ELSE taken END, CASE WHEN len(ids) < 5 AND len(list_filter(taken, lambda x: abs(x - t.v) <= 2)) = 0 THEN list_append(ids, t.id) ELSE ids END FROM g JOIN top t ON t.grp = g.grp AND t.i = g.i + 1)
+@query("""WITH RECURSIVE r AS (SELECT p_type AS grp, p_partkey AS id, p_size AS v, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS i FROM part),
+g AS (SELECT grp, 1 AS i, [v] AS taken, [id] AS ids FROM r WHERE i = 1 UNION ALL SELECT g.grp, t.i, CASE WHEN fits THEN list_append(taken, t.v) ELSE taken END, CASE WHEN fits THEN list_append(ids, t.id) ELSE ids END
+FROM (SELECT g.*, t.v, t.id, t.i AS ti, len(ids) < 5 AND len(list_filter(taken, lambda x: abs(x - t.v) <= 2)) = 0 AS fits FROM g JOIN r t ON t.grp = g.grp AND t.i = g.i + 1) g JOIN r t ON t.grp = g.grp AND t.i = g.ti)
 SELECT grp, list_aggregate(arg_max(ids, i), 'string_agg', ',') AS picked FROM g GROUP BY grp""")
 def greedy_distinct_pick(spark, d):
-    """By score, skipping what is too like one already taken, until five are: a fold over a group's forty best."""
+    """By score, skipping what is too like one already taken, until five are or none is left: a round for each pick over all rows of a group."""
     p = t(spark, d, "part").select(F.col("p_type").alias("grp"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("s"), F.col("p_size").alias("v"))
-    top = first_per_key(p, ["grp"], [F.desc("s"), F.col("id")], 40).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "id", "v"))).alias("xs"))
-    none = F.array().cast("array<struct<id:bigint,v:int>>")
-    free = lambda acc, x: (F.size(acc) < 5) & ~F.exists(acc, lambda y: F.abs(y["v"] - x["v"]) <= 2)
-    add = lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(F.struct(x["id"].alias("id"), x["v"].alias("v"))))).otherwise(acc)
-    return top.select("grp", F.array_join(F.transform(F.aggregate("xs", none, add), lambda y: y["id"].cast("string")), ",").alias("picked"))
+    got = greedy_picks(p, "grp", [-F.col("s"), F.col("id")], ["id", "v"], lambda x, y: F.abs(x["v"] - y["v"]) <= 2, 5)
+    return got.select("grp", F.array_join(F.transform("picked", lambda y: y["id"].cast("string")), ",").alias("picked"))
 
 
-@query("""WITH d AS (SELECT p_type AS cluster, p_partkey AS id, unnest(string_split(p_name, ' ')) AS w FROM part), f AS (SELECT cluster, w, count(DISTINCT id) AS n FROM d GROUP BY ALL), a AS (SELECT w, sum(n) AS t FROM f GROUP BY w), z AS (SELECT cluster, sum(n) AS size FROM f GROUP BY cluster), m AS (SELECT avg(size) AS mean FROM z)
-SELECT cluster, w AS term, round(n / size * ln(1 + mean / t), 8)::DOUBLE AS score FROM f JOIN a USING (w) JOIN z USING (cluster), m QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(n / size * ln(1 + mean / t), 8) DESC, w) <= 4""")
+@query("""WITH RECURSIVE p AS (SELECT p_type AS cluster, p_partkey AS id, string_split(p_name, ' ') AS w FROM part), d AS (SELECT DISTINCT cluster, id, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS w FROM p), f AS (SELECT cluster, w, count(*) AS n FROM d GROUP BY ALL),
+a AS (SELECT w, sum(n) AS t FROM f GROUP BY w), z AS (SELECT cluster, sum(n) AS size FROM f GROUP BY cluster), m AS (SELECT avg(size) AS mean FROM z), s AS (SELECT cluster, w, round(n / size * ln(1 + mean / t), 8)::DOUBLE AS score FROM f JOIN a USING (w) JOIN z USING (cluster), m),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, w) AS i FROM s),
+g AS (SELECT cluster, 1 AS i, [{w: w, score: score}] AS taken FROM r WHERE i = 1 UNION ALL SELECT g.cluster, t.i, CASE WHEN len(taken) < 4 AND len(list_filter(taken, lambda x: contains(' ' || x.w || ' ', ' ' || t.w || ' ') OR contains(' ' || t.w || ' ', ' ' || x.w || ' '))) = 0 THEN list_append(taken, {w: t.w, score: t.score}) ELSE taken END FROM g JOIN r t ON t.cluster = g.cluster AND t.i = g.i + 1)
+SELECT cluster, x.w AS term, x.score AS score FROM (SELECT cluster, unnest(arg_max(taken, i)) AS x FROM g GROUP BY cluster)""")
 def cluster_terms(spark, d):
-    """Class-based tf-idf: a term's part of its cluster against its sum over all."""
-    x = t(spark, d, "part").select(F.col("p_type").alias("cluster"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
+    """Class-based tf-idf over words and pairs of words: a term's part of its cluster against its sum over all; the best four of which none holds another."""
+    p = t(spark, d, "part").select(F.col("p_type").alias("cluster"), F.split("p_name", " ").alias("w"))
+    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    x = p.select("cluster", F.explode(F.array_distinct(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>"))))).alias("w"))
     f = x.groupBy("cluster", "w").agg(F.count("*").alias("n"))
     z = f.groupBy("cluster").agg(F.sum("n").alias("size"))
-    s = f.join(f.groupBy("w").agg(F.sum("n").alias("t")), "w").join(F.broadcast(z), "cluster").crossJoin(F.broadcast(z.agg(F.avg("size").alias("mean"))))  # clusters; one row
-    s = s.withColumn("score", F.round(F.col("n") / F.col("size") * F.log1p(F.col("mean") / F.col("t")), 8))
-    return first_per_key(s, ["cluster"], [F.desc("score"), F.col("w")], 4).select("cluster", F.col("w").alias("term"), "score")
+    s = f.join(f.groupBy("w").agg(F.sum("n").alias("t")), "w").join(z, "cluster").crossJoin(F.broadcast(z.agg(F.avg("size").alias("mean"))))  # one row
+    s = cut(s.select("cluster", "w", F.round(F.col("n") / F.col("size") * F.log1p(F.col("mean") / F.col("t")), 8).alias("score")), "terms")
+    held = lambda a, b: F.contains(F.concat(F.lit(" "), a["w"], F.lit(" ")), F.concat(F.lit(" "), b["w"], F.lit(" ")))
+    got = greedy_picks(s, "cluster", [-F.col("score"), F.col("w")], ["w", "score"], lambda a, b: held(a, b) | held(b, a), 4)
+    return got.select("cluster", F.inline("picked")).select("cluster", F.col("w").alias("term"), "score")
 
 
 _CLAIMS = r"""(SELECT DISTINCT id, CASE WHEN ends_with(m, '%') THEN 'percent' ELSE 'plain' END AS unit, regexp_extract(m, '^[0-9.]+')::DOUBLE AS value FROM (SELECT {id} AS id, unnest(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?(?: ?%)?', 0)) AS m FROM {table}))"""

@@ -10,6 +10,7 @@ from augury.functions.vectors import cosine, doubles, unit
 from augury.operators import filters as L
 from augury.operators.cluster import mean_vectors
 from augury.operators.relational import first_per_key
+from augury.operators import search as S
 from augury.operators.search import top_k
 from augury.operators.series import rank_in_parts
 
@@ -216,3 +217,31 @@ def filtered_page(spark, d):
     rows = L.page(hits, f, LISTS, "o_orderkey").select("o_orderkey", "o_totalprice", "o_orderdate")
     within = F.row_number().over(W.orderBy(F.desc_nulls_last("o_totalprice"), F.asc_nulls_last("o_orderdate"), F.desc("o_orderkey")))  # a page's rows
     return rows.select("o_orderkey", (within + f.offset).cast("int").alias("pos"))
+
+
+_NEAR7 = "SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS s FROM embeddings WHERE vec_id <> 7"
+_WITHIN = f"""WITH keep AS (SELECT doc_id FROM documents WHERE lang = '{{lang}}' AND n_chars >= 500), near AS (SELECT vec_id, s FROM ({_NEAR7}) ORDER BY round(s, 9) DESC, vec_id LIMIT 60), inside AS (SELECT * FROM near WHERE vec_id IN (SELECT doc_id FROM keep)),
+words AS (SELECT doc_id FROM {_STEMMED} WHERE list_contains(w, 'la') OR list_contains(w, 'the')), more AS (SELECT vec_id, s FROM ({_NEAR7}) WHERE (SELECT count(*) FROM inside) < 12 AND vec_id IN (SELECT doc_id FROM keep) AND vec_id IN (SELECT doc_id FROM words)),
+meaning AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round(s, 9) DESC, vec_id) AS r FROM (SELECT * FROM inside UNION SELECT * FROM more) QUALIFY r <= 36),
+text AS (SELECT doc_id, row_number() OVER (ORDER BY round(ln(1 + len(list_filter(w, lambda y: y = 'la'))), 6) DESC, doc_id) AS r FROM {_STEMMED} WHERE list_contains(w, 'la') AND doc_id IN (SELECT doc_id FROM keep) QUALIFY r <= 36)
+SELECT '{{lang}}' AS lang, doc_id, string_agg(via, '+' ORDER BY via) AS via, round(sum(1.0 / (60 + r)), 8)::DOUBLE AS score FROM (SELECT doc_id, r, 'text' AS via FROM text UNION ALL SELECT doc_id, r, 'meaning' FROM meaning) GROUP BY doc_id ORDER BY round(sum(1.0 / (60 + r)), 8) DESC, doc_id LIMIT 12"""
+
+
+@query(f"SELECT * FROM ({_WITHIN.format(lang='fr')}) UNION ALL SELECT * FROM ({_WITHIN.format(lang='en')})")
+def hybrid_within_filter(spark, d):
+    """Text and meaning under a filter, fused by ranks. Where too few of the nearest neighbours pass, those of the filter that hold one of the query's words stand in: so it is for the
+    rarer language, not for the other."""
+    index, docs = text_index(spark, d), t(spark, d, "documents")
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = F.broadcast(e.where("doc_id = 7").select(F.col("embedding").alias("q")))  # one row
+    vectors, words = e.where("doc_id <> 7").crossJoin(q), index.any_of(["la", "the"]).withColumnRenamed("id", "doc_id")
+    out = None
+    for lang in ("fr", "en"):
+        keep = docs.where((F.col("lang") == lang) & (F.col("n_chars") >= 500)).select("doc_id")
+        near, _ = S.meaning_within(vectors, keep, words, "doc_id", F.round(cosine("embedding", "q"), 9), 60, 12, 36)
+        text = index.scores(["la"]).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score")).join(keep, "doc_id", "left_semi")
+        ranked = [top_k(df, 36, "doc_id").select("doc_id", F.lit(via).alias("via"), "rank") for df, via in ((near, "meaning"), (text, "text"))]
+        fused = ranked[0].unionByName(ranked[1]).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("via")), "+").alias("via"), F.round(F.sum(1 / (F.col("rank") + 60)), 8).alias("score"))
+        page = fused.orderBy(F.desc("score"), "doc_id").limit(12).select(F.lit(lang).alias("lang"), "doc_id", "via", "score")
+        out = page if out is None else out.unionByName(page)
+    return out

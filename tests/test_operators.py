@@ -285,3 +285,63 @@ def test_capped_allocation(spark):
 def test_kmeans_without_direction(spark):
     df = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(20)] + [(30, [0.0, 0.0]), (31, None)], "id long, v array<double>")
     assert {r["id"] for r in cluster.cosine_kmeans(df, "v", 2)[0].collect()} == set(range(20))
+
+
+def test_greedy_picks(spark):
+    """Against a plain loop: groups that run out, ties, clashes that chain."""
+    import random
+
+    from augury.operators.relational import greedy_picks
+
+    rng = random.Random(8)
+    rows = [(f"g{rng.randrange(5)}", i, rng.randrange(6), rng.randrange(12)) for i in range(120)] + [("lone", 999, 1, 1)]
+    df = spark.createDataFrame(rows, "g string, id long, s int, v int").repartition(4)
+    got = {r["g"]: [p["id"] for p in r["picked"]] for r in greedy_picks(df, "g", [-F.col("s"), F.col("id")], ["id", "v"], lambda a, b: F.abs(a["v"] - b["v"]) <= 2, 4).collect()}
+    for g in {r[0] for r in rows}:
+        taken = []
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])):
+            if len(taken) < 4 and all(abs(r[3] - t[3]) > 2 for t in taken):
+                taken.append(r)
+        assert got[g] == [t[1] for t in taken]
+
+
+def test_any_of_and_fallback(spark, tmp_path):
+    from augury.operators import search as S
+    from augury.operators.textindex import TextIndex
+
+    index = TextIndex(spark, str(tmp_path))
+    index.append(spark.createDataFrame([(1, "a cat"), (2, "dogs"), (3, "bird"), (9000, "cats and dogs")], "doc_id long, text string"))
+    assert {r["id"] for r in index.any_of(["cat", "dog", "none"]).collect()} == {1, 2, 9000} and index.any_of(["none"]).collect() == []
+    v = spark.createDataFrame([(i, i / 10) for i in range(10)], "id long, s double")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    near, thin = S.meaning_within(v, ids(9, 8, 2, 1), ids(1, 2, 5), "id", F.col("s"), 3, 2, 10)
+    assert [r["id"] for r in near.collect()] == [9, 8] and not thin
+    near, thin = S.meaning_within(v, ids(9, 2, 1), ids(1, 5), "id", F.col("s"), 3, 2, 10)
+    assert [r["id"] for r in near.collect()] == [9, 1] and thin
+
+
+def test_ceilings_hold_for_the_whole_query(spark):
+    """ceiling_sample: no source above its ceiling, the total met or everything taken, the ids of a source those that hash lowest."""
+    from augury.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").collect()]
+    got = [(r["doc_id"], r["source"]) for r in catalog.QUERIES["ceiling_sample"](spark, sf).collect()]
+    held = {s: sum(x == s for _, x in docs) for _, s in docs}
+    mine = {s: sum(x == s for _, x in got) for s in held}
+    assert set(got) <= set(docs) and len(got) == len(set(got)) == min(300, sum(min(40, n) for n in held.values())) and all(mine[s] <= min(40, held[s]) for s in held)
+
+
+def test_kmeans_settles(spark):
+    """kmeans_cosine: every row is with its nearest centre, and centres are their members' mean directions."""
+    import numpy as np
+
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "id long, v array<double>")
+    cells, centres = cluster.cosine_kmeans(df, "v", 10)
+    c = np.array(centres)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    got = {r["id"]: r["cluster"] for r in cells.collect()}
+    assert set(got) == set(rows)
+    near = {i: (v / np.linalg.norm(v)) @ c.T for i, v in rows.items()}
+    assert all(near[i][k] >= near[i].max() - 1e-9 for i, k in got.items())
