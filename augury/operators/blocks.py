@@ -114,10 +114,10 @@ def pick_k(df: DataFrame, id_col: str, vec_col: str, low: int, high: int, *, sam
     return max(found, key=lambda k: (found[k], -k)), found
 
 
-def best_first(far: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
-    """Of each row of distances (rounded to 9 decimals) the k least with their ids, without the own id."""
+def best_first(far: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, digits: int = 9) -> list[list[tuple[float, int]]]:
+    """Of each row of distances (rounded to so many decimals) the k least with their ids, without the own id."""
     out = []
-    for d, me in zip(np.round(far, 9), own, strict=True):
+    for d, me in zip(np.round(far, digits), own, strict=True):
         some = np.argpartition(d, min(k, len(d) - 1))[:k + 1] if len(d) > k + 1 else np.arange(len(d))
         some = np.flatnonzero(d <= d[some].max())  # with all ties
         listed = sorted((float(d[j]), int(ids[j])) for j in some if ids[j] != me)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -27,16 +28,19 @@ def centred(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def nearest_in_blocks(rows: DataFrame, queries: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
-    """``query_id, id, s``: the k rows of highest cosine to each query, by exact comparison. Rows are dealt to blocks
-    and each block meets every query; a block keeps its own k of each query before the blocks are merged."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("_q")).withColumn("_block", block)
-    dealt = rows.select(id_col, vec, F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("_block"))
-    pairs = dealt.join(asked, "_block").where(F.col(id_col) != F.col("query_id")).select("_block", "query_id", id_col, F.round(cosine(vec, "_q"), 12).alias("s"))
-    first = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("s"), id_col))
-    some = pairs.withColumn("_r", first("query_id", "_block")).where(F.col("_r") <= k)
-    return some.withColumn("_r", first("query_id")).where(F.col("_r") <= k).drop("_r", "_block")
+    """``query_id, id, s``: the k rows of highest cosine to each query, by exact comparison of blocks; a block keeps its own k of each query before the blocks are
+    merged. Rows without direction take no part."""
+    from . import blocks as B
+
+    asked, held = (B.usable(df, id_col, vec).withColumn("zone", F.lit(0)) for df in (queries, rows))
+
+    def some(q: B.Block, x: B.Block) -> dict:
+        lists = B.best_first(-np.round(B.cosines(q["v"], x["v"]), 12), x["id"], q["id"], k, 12)
+        return {"query_id": [i for i, found in zip(q["id"], lists, strict=True) for _ in found], "s": [-d for found in lists for d, _ in found], "id": [o for found in lists for _, o in found]}
+
+    told = B.compare(asked, held, some, "query_id bigint, s double, id bigint")
+    best = told.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("o"), "id"))), 1, k).alias("xs"))
+    return best.select("query_id", F.inline("xs")).select("query_id", F.col("id").alias(id_col), (-F.col("o")).alias("s"))
 
 
 def cosine_kmeans(df: DataFrame, vec: str, k: int, seed: int = 42, out: str = "cluster") -> tuple[DataFrame, list[list[float]]]:

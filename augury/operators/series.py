@@ -44,14 +44,33 @@ def carried_forward(df: DataFrame, keys: Sequence[str], period: str, value: str)
     return df.withColumn(value, F.last(value, ignorenulls=True).over(W.partitionBy(*keys).orderBy(period).rowsBetween(W.unboundedPreceding, W.currentRow)))
 
 
-def cohort_percentile(df: DataFrame, value: str, tie: str, cohort: Sequence[str], wider: Sequence[str], least: int, out: str) -> DataFrame:
+def placed_by_value(df: DataFrame, key: Sequence[str], value: str, ties: Sequence[str], width: float) -> DataFrame:
+    """df with ``_row`` (rows of the key before it by value and ties), ``_rank`` (rows of smaller value) and ``_n`` (rows of the key). Rows are numbered within bands of ``width`` of
+    their value and shifted by the counts of the bands below, so that no key has to fit in one task; null values are below all others."""
+    band = F.coalesce(F.floor(F.col(value) / width), F.lit(-(1 << 62))).cast("long")
+    parted = df.withColumn("_band", band)
+    counts = parted.groupBy(*key, "_band").agg(F.count("*").alias("_c"))
+    of = W.partitionBy(*key)
+    below = F.coalesce(F.sum("_c").over(of.orderBy("_band").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col("_band").alias("_at"), below.alias("_below"), F.sum("_c").over(of).alias("_n"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)] + [F.col("_band") == F.col("_at")]
+    inside = W.partitionBy(*key, "_band")
+    told = parted.withColumns({"_in": F.row_number().over(inside.orderBy(value, *ties)) - 1, "_tied": F.rank().over(inside.orderBy(value)) - 1}).join(shifts, same)
+    return told.select(*df.columns, (F.col("_below") + F.col("_in")).alias("_row"), (F.col("_below") + F.col("_tied")).alias("_rank"), "_n")
+
+
+def percent_ranks(df: DataFrame, key: Sequence[str], value: str, width: float, out: str) -> DataFrame:
+    """percent_rank within each key: the share of the others that are smaller, 0 for a key of one row."""
+    placed = placed_by_value(df, key, value, [], width)
+    return placed.withColumn(out, F.when(F.col("_n") > 1, F.col("_rank") / (F.col("_n") - 1)).otherwise(0.0)).drop("_row", "_rank", "_n")
+
+
+def cohort_percentile(df: DataFrame, value: str, tie: str, cohort: Sequence[str], wider: Sequence[str], least: int, out: str, width: float) -> DataFrame:
     """Mid-rank percentile within the cohort, within the wider one where the cohort is smaller than ``least``."""
-
-    def mid(keys: Sequence[str]) -> Column:
-        w = W.partitionBy(*keys)
-        return (F.row_number().over(w.orderBy(value, tie)) - 0.5) / F.count("*").over(w)
-
-    return df.withColumn(out, F.when(F.count("*").over(W.partitionBy(*cohort)) >= least, mid(cohort)).otherwise(mid(wider)))
+    own = placed_by_value(df, cohort, value, [tie], width).withColumnsRenamed({"_row": "_own_row", "_n": "_own_n"}).drop("_rank")
+    both = placed_by_value(own, wider, value, [tie], width)
+    mid = lambda row, n: (F.col(row) + 0.5) / F.col(n)
+    return both.withColumn(out, F.when(F.col("_own_n") >= least, mid("_own_row", "_own_n")).otherwise(mid("_row", "_n"))).drop("_own_row", "_own_n", "_row", "_rank", "_n")
 
 
 def rank_in_parts(df: DataFrame, key: list[str], hashed: str, ties: list[str], out: str, digits: int = 2) -> DataFrame:

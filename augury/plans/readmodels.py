@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augury.functions.vectors import cosine
+from augury.operators import blocks as B
 from augury.operators.relational import first_per_key, tolerance_join
 
 from .catalog import query, t
@@ -237,12 +238,14 @@ def hit_analytics(spark, d):
 SELECT vec_id, round(ds[1], 6) AS d1, round(ds[5], 6) AS d5, round(ds[12], 6) AS d12, round(ds[20], 6) AS d20, CASE WHEN near = 0 THEN 'off_topic' WHEN same / near >= 0.5 THEN 'ok' ELSE 'ambiguous' END AS verdict FROM s""")
 def query_verdicts(spark, d):
     """Each stated query's first distances and what they say of it: on a topic, between topics, or off all."""
-    e = t(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), F.col("label").alias("ql"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("b"))
-    pairs = e.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).join(asked, "b").where("vec_id <> q").withColumn("dist", 1 - cosine("v", "embedding"))
-    near = F.col("dist") < 0.9
-    counts = pairs.groupBy("q").agg(F.count_if(near).alias("near"), F.count_if(near & (F.col("label") == F.col("ql"))).alias("same"))
-    first = pairs.withColumn("r", F.row_number().over(W.partitionBy("q", "b").orderBy("dist", "vec_id"))).where("r <= 20")  # 20 of each block
-    s = first.groupBy("q").agg(F.array_sort(F.collect_list(F.round("dist", 9))).alias("ds")).join(counts, "q")
+    rows = B.usable(t(spark, d, "embeddings"), "vec_id", "embedding", F.col("label").cast("long").alias("label")).withColumn("zone", F.lit(0))
+
+    def told(q: B.Block, x: B.Block) -> dict:
+        far = 1 - B.cosines(q["v"], x["v"])
+        other, near = q["id"][:, None] != x["id"][None, :], far < 0.9
+        same = near & other & (q["label"][:, None] == x["label"][None, :])
+        return {"q": q["id"], "near": (near & other).sum(1), "same": same.sum(1), "ds": [[v for v, _ in found] for found in B.best_first(far, x["id"], q["id"], 20)]}
+
+    s = B.compare(rows.where("id % 50 = 0"), rows, told, "q bigint, near bigint, same bigint, ds array<double>")
+    s = s.groupBy("q").agg(F.sum("near").alias("near"), F.sum("same").alias("same"), F.slice(F.array_sort(F.flatten(F.collect_list("ds"))), 1, 20).alias("ds"))
     return s.select(F.col("q").alias("vec_id"), *(F.round(F.get("ds", F.lit(i - 1)), 6).alias(f"d{i}") for i in (1, 5, 12, 20)), F.when(F.col("near") == 0, "off_topic").when(F.col("same") / F.col("near") >= 0.5, "ok").otherwise("ambiguous").alias("verdict"))

@@ -34,14 +34,15 @@ def quota_weight(spark, d):
 
 @query("""SELECT c_custkey, round(percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal), 6) AS pr FROM customer""")
 def percent_rank_in_group(spark, d):
-    return t(spark, d, "customer").select("c_custkey", F.round(F.percent_rank().over(W.partitionBy("c_nationkey").orderBy("c_acctbal")), 6).alias("pr"))
+    c = t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return S.percent_ranks(c, ["c_nationkey"], "c_acctbal", 100.0, "pr").select("c_custkey", F.round("pr", 6).alias("pr"))
 
 
 @query("""SELECT o_orderkey, round(CASE WHEN count(*) OVER (PARTITION BY y, p) >= 50 THEN (row_number() OVER (PARTITION BY y, p ORDER BY v, o_orderkey) - 0.5) / count(*) OVER (PARTITION BY y, p)
 ELSE (row_number() OVER (PARTITION BY y ORDER BY v, o_orderkey) - 0.5) / count(*) OVER (PARTITION BY y) END, 6)::DOUBLE AS pct FROM (SELECT o_orderkey, year(o_orderdate) AS y, o_orderpriority AS p, o_totalprice AS v FROM orders)""")
 def cohort_percentile_with_fallback(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("p"), F.col("o_totalprice").alias("v"))
-    return S.cohort_percentile(o, "v", "o_orderkey", ["y", "p"], ["y"], 50, "pct").select("o_orderkey", F.round("pct", 6).alias("pct"))
+    return S.cohort_percentile(o, "v", "o_orderkey", ["y", "p"], ["y"], 50, "pct", 1000.0).select("o_orderkey", F.round("pct", 6).alias("pct"))
 
 
 @query("""SELECT k, y, CASE WHEN c = 5 AND s >= 100 THEN round(s / 5, 4) END AS mean5 FROM (SELECT k, y, count(*) OVER w AS c, (sum(n) OVER w)::DOUBLE AS s FROM (SELECT l_returnflag AS k, year(l_shipdate)::INT AS y, count(*) AS n FROM lineitem GROUP BY ALL) WINDOW w AS (PARTITION BY k ORDER BY y RANGE BETWEEN 4 PRECEDING AND CURRENT ROW))""")

@@ -82,7 +82,7 @@ def test_onset_and_zero_fill(spark):
 
 def test_cohort_fallback(spark):
     df = spark.createDataFrame([(i, 2020, "a" if i < 3 else "b", float(i)) for i in range(5)], "id int, y int, c string, v double")
-    got = [round(r["p"], 3) for r in series.cohort_percentile(df, "v", "id", ["y", "c"], ["y"], 3, "p").orderBy("id").collect()]
+    got = [round(r["p"], 3) for r in series.cohort_percentile(df, "v", "id", ["y", "c"], ["y"], 3, "p", 2.0).orderBy("id").collect()]
     assert got == [0.167, 0.5, 0.833, 0.7, 0.9]
 
 
@@ -345,3 +345,19 @@ def test_kmeans_settles(spark):
     assert set(got) == set(rows)
     near = {i: (v / np.linalg.norm(v)) @ c.T for i, v in rows.items()}
     assert all(near[i][k] >= near[i].max() - 1e-9 for i, k in got.items())
+
+
+@pytest.mark.parametrize("width", [0.5, 7.0, 1e6])
+def test_places_by_value(spark, width):
+    """Against sorting: ties, nulls, null keys, bands of any width."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([None, *range(-5, 15)]), i) for i in range(150)] + [("one", 4, 500)]
+    df = spark.createDataFrame([(k, None if v is None else float(v), i) for k, v, i in rows], "k string, v double, i long").repartition(3)
+    for r in series.placed_by_value(df, ["k"], "v", ["i"], width).collect():
+        mine = sorted((v is not None, v or 0, i) for k, v, i in rows if k == r["k"])
+        me = (r["v"] is not None, r["v"] or 0, r["i"])
+        assert (r["_row"], r["_rank"], r["_n"]) == (mine.index(me), sum(x[:2] < me[:2] for x in mine), len(mine))
+    got = {r["i"]: r["p"] for r in series.percent_ranks(df, ["k"], "v", width, "p").collect()}
+    assert got[500] == 0.0 and len(got) == 151 and max(got.values()) <= 1.0
