@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables h
 
 def test_names():
     names = set(entry.queries())
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names}
 
 
 def test_pipeline(spark):
