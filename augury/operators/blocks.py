@@ -1,6 +1,6 @@
 """Comparisons of rows with rows by block products.
 
-Rows and queries are packed into blocks of some hundred; blocks that share a zone meet in a join, and a block pair is a matrix
+Rows and queries are packed into blocks of some hundred; blocks that share a zone meet in a join with a key for each pair, and a pair is a matrix
 product in one task, of which only sums, counts or the best of each query go on. A zone (all rows, or a stretch of time)
 of any size is many pairs of blocks, so no task holds it. The work is rows times queries of a zone, which the operators that call
 this ask for; memory is a few blocks a task.
@@ -24,11 +24,15 @@ from augury.functions.vectors import doubles, norm
 Block = dict[str, np.ndarray]
 
 
-def _packed(df: DataFrame, zone: str, columns: list[str], rows: int) -> DataFrame:
-    """``zone, at, b``: blocks of about so many rows, in order of their first column; a zone's rows are dealt by a hash."""
-    sizes = df.groupBy(zone).agg(F.ceil(F.count("*") / rows).alias("_n"))
-    dealt = df.join(sizes, zone).withColumn("at", F.pmod(F.xxhash64("id"), F.col("_n")))
-    return dealt.groupBy(zone, "at").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("b"))
+def _sizes(df: DataFrame, rows: int, out: str) -> DataFrame:
+    """``zone`` and its number of blocks. One row a zone: all rows, or stretches of time, whose number the calendar bounds."""
+    return df.groupBy("zone").agg(F.ceil(F.count("*") / rows).cast("int").alias(out))
+
+
+def _packed(df: DataFrame, sizes: DataFrame, own: str, columns: list[str]) -> DataFrame:
+    """``zone, at, b`` and the sizes: blocks of about so many rows, in order of their first column; a zone's rows are dealt by a hash."""
+    dealt = df.join(F.broadcast(sizes), "zone").withColumn("at", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+    return dealt.groupBy("zone", "at", *(c for c in sizes.columns if c != "zone")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("b"))
 
 
 def _block(found: pa.StructArray) -> Block:
@@ -45,9 +49,13 @@ def _block(found: pa.StructArray) -> Block:
 def compare(queries: DataFrame, rows: DataFrame, f: Callable[[Block, Block], dict[str, np.ndarray | list]], schema: str, *, block_rows: int = 512) -> DataFrame:
     """f of every pair of blocks of queries and rows that share a zone. Both have ``id``, ``zone`` and ``v`` (arrays of doubles of one length) and
     may have more columns."""
-    extra = lambda df: [c for c in df.columns if c != "zone"]
-    asked, held = (cut(_packed(df, "zone", extra(df), block_rows), "blocks") for df in (queries, rows))
-    pairs = asked.select("zone", F.col("b").alias("q")).join(held.select("zone", F.col("b").alias("x")), "zone").select("q", "x")
+    columns = lambda df: [c for c in df.columns if c != "zone"]
+    sizes = _sizes(queries, block_rows, "nq").join(F.broadcast(_sizes(rows, block_rows, "nx")), "zone")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # a key for each pair of blocks, so that pairs spread over tasks however few zones there are
+    asked = _packed(queries, sizes, "nq", columns(queries)).select("zone", F.col("at").alias("i"), upto("nx").alias("j"), F.col("b").alias("q"))
+    held = _packed(rows, sizes, "nx", columns(rows)).select("zone", upto("nq").alias("i"), F.col("at").alias("j"), F.col("b").alias("x"))
+    pairs = asked.join(held, ["zone", "i", "j"]).select("q", "x")
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
