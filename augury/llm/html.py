@@ -29,6 +29,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -123,7 +124,11 @@ class Scanner:
     def tag_end(self, at: int) -> int:
         """Where a tag ends whose name ends at ``at``: its first > outside of quotes; once quotes don't pair up to any,
         the first > at all."""
-        if self.quotes:
+        end = self.find(">", at)
+        if self.quotes and end > 0:
+            inside = self.page[at:end]
+            if '"' not in inside and "'" not in inside:
+                return end
             pos = at
             while m := _MARK.search(self.page, pos):
                 if m[0] == ">":
@@ -131,11 +136,13 @@ class Scanner:
                 closed = self.find(m[0], m.end())
                 pos = closed if closed > 0 else m.end()
             self.quotes = False
-        return self.find(">", at)
+        return end
 
     def next(self, at: int) -> tuple[int, int, str | None, str, bool] | None:
         page = self.page
         while 0 <= (start := page.find("<", at)) < self.last:
+            if (m := _TAG_NAME.match(page, start)) and (end := self.tag_end(m.end())) > 0:
+                return start, end, m[1].lower(), page[m.end():end - 1], page[start + 1] == "/"
             if page.startswith("<!--", start):
                 end = self.find("-->", start + 4)
                 return start, end if end > 0 else len(page), None, "", False
@@ -143,8 +150,6 @@ class Scanner:
                 return start, end, None, page[start + 9:end - 3], False
             if page.startswith(("<!", "<?"), start):
                 return start, self.find(">", start), None, "", False
-            if (m := _TAG_NAME.match(page, start)) and (end := self.tag_end(m.end())) > 0:
-                return start, end, m[1].lower(), page[m.end():end - 1], page[start + 1] == "/"
             at = start + 1
         if (start := page.find("<!--", at)) >= 0:  # without an end
             return start, len(page), None, "", False
@@ -159,6 +164,7 @@ class Scanner:
         return len(self.page) if tag in ("script", "style") else at
 
 
+@lru_cache(4096)
 def _described(tag: str, attrs: str) -> tuple[str, bool, bool]:
     """A step of a path, whether the element is boilerplate, and whether that is by its looks only."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
@@ -215,9 +221,15 @@ def walk(page: str, chosen: str | None = None, cleared: frozenset[int] = frozens
 
     def innermost(tags: tuple[str, ...], within: tuple[str, ...] = ()) -> int:
         """The depth of the innermost open element of tags that no open one of within is deeper than; 0 without."""
-        deepest = lambda names: max((opened[n][-1] for n in names if opened.get(n)), default=0)
-        found = deepest(tags)
-        return found if found > deepest(within) else 0
+        found = 0
+        for n in tags:
+            if (depths := opened.get(n)) and depths[-1] > found:
+                found = depths[-1]
+        if found:
+            for n in within:
+                if (depths := opened.get(n)) and depths[-1] >= found:
+                    return 0
+        return found
 
     end = len(page)
     while at < end:
