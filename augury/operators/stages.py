@@ -60,9 +60,8 @@ class Manifest:
     def place(self, stage: str) -> str:
         return f"{self.folder}/tables/{stage}-{uuid.uuid4().hex}"
 
-    def table(self, stage: str, inputs: str, params: dict, make: Callable[[], DataFrame]) -> DataFrame:
-        """The finished table of these inputs and parameters, made now if there is none."""
-        key = self.key(stage, inputs, params)
+    def table(self, stage: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The finished table of a key, made now if there is none."""
         if (path := self.find(stage, key)) is None:
             path = self.place(stage)
             make().write.option("compression", "zstd").parquet(path)
@@ -80,11 +79,14 @@ class Manifest:
         return len(old)
 
 
-def run_stages(manifest: Manifest, name: str, inputs: str, given: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], params: dict) -> DataFrame:
-    """A chain of stages, each over the table of the one before, resuming at the first that hasn't finished."""
-    key = inputs
+def run_stages(manifest: Manifest, name: str, inputs: str, given: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], params: dict, *, retire: bool = False) -> DataFrame:
+    """A chain of stages, each over the table of the one before, resuming at the first that hasn't finished. retire: once all have, the
+    stages' tables of other inputs and parameters are emptied."""
+    key, keys = inputs, {}
     for stage, f in stages:
         at = f"{name}-{stage}"
-        key = Manifest.key(at, key, params.get(stage, {}))
-        given = manifest.table(at, key, {}, lambda f=f, given=given: f(given))
+        key = keys[at] = Manifest.key(at, key, params.get(stage, {}))
+        given = manifest.table(at, key, lambda f=f, given=given: f(given))
+    for at, kept in keys.items() if retire else ():
+        manifest.retire(at, kept)
     return given

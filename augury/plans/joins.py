@@ -73,8 +73,9 @@ def near_duplicate_pairs(spark, d):
     return a.join(b, "label").where("a < b").where(cosine("va", "vb") >= 0.4).select("a", "b")
 
 
-@query()
+@query("""SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4""")
 def near_duplicate_pairs_all_labels(spark, d):
+    """All pairs of the table, whatever their labels."""
     return V.cosine_pairs(t(spark, d, "embeddings"), "vec_id", "embedding", 0.4)
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from augury.llm import decontam, jaccard, quality, toxicity
 from augury.llm.common import crc32_mod, saved, table, unused
 from augury.llm.queries import piece_digests
+from augury.operators.stages import Manifest, files_digest, run_stages
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,3 +76,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs = saved(docs, f"stage-{name}")
     return docs
+
+
+def resume(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """run(), with every stage's table in a manifest under its inputs' files: after a crash it goes on at the first stage that hasn't finished, and tables of other
+    inputs are emptied once all have. The folder is the shared one unless given."""
+    tables = {n: table(spark, sf_dir, n) for n in ("documents", "labels", "benchmark")}
+    manifest, inputs = Manifest(spark, folder), "|".join(files_digest(df) for df in tables.values())
+    bound = [(name, lambda docs, stage=stage: stage(spark, docs, sf_dir)) for name, stage in STAGES[:-1]]
+    docs = run_stages(manifest, "corpus", inputs, tables["documents"], bound, {}, retire=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
