@@ -126,3 +126,43 @@ def test_pipeline_against_brute_force(spark):
     want = [(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(p.decode(ids).encode()).hexdigest()) for i, ids in ((i, p.encode(x or "")) for i, x in rows)]
     got = P.run(spark, DIR).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
     assert sorted(map(tuple, got)) == want and 20 < len(want) < docs.count()
+
+
+def test_pipeline_resumes_after_a_crash(spark, tmp_path, monkeypatch):
+    """Killed in its third stage and started again, the pipeline goes on there; changed inputs start it anew and empty the old tables."""
+    import shutil
+
+    import corpus_pipeline as P
+    from augury.operators.stages import Manifest
+
+    for n in ("documents", "labels", "benchmark"):
+        shutil.copy(f"{DIR}/{n}.parquet", f"{tmp_path}/{n}.parquet")
+    ran, folder = [], f"{tmp_path}/stages"
+
+    def watched(fail):
+        def stage(name, f):
+            def run(spark, docs, sf_dir):
+                ran.append(name)
+                if name == fail:
+                    raise RuntimeError("killed")
+                return f(spark, docs, sf_dir)
+
+            return name, run
+
+        return [stage(*s) for s in STAGES]
+
+    STAGES = P.STAGES
+    monkeypatch.setattr(P, "STAGES", watched("near_copies"))
+    with pytest.raises(RuntimeError):
+        P.resume(spark, str(tmp_path), folder)
+    monkeypatch.setattr(P, "STAGES", watched(None))
+    got = sorted(map(tuple, P.resume(spark, str(tmp_path), folder).collect()))
+    assert ran == ["quality", "toxicity", "near_copies", "near_copies", "decontaminate", "pieces"]
+    assert got == sorted(map(tuple, P.run(spark, DIR).collect()))
+    old = [r["path"] for r in Manifest(spark, folder).rows().collect()]
+    spark.read.parquet(f"{DIR}/documents.parquet").limit(60).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/fewer")
+    shutil.move(f"{tmp_path}/documents.parquet", f"{tmp_path}/before")
+    shutil.move(f"{tmp_path}/fewer", f"{tmp_path}/documents.parquet")
+    ran.clear()
+    P.resume(spark, str(tmp_path), folder)
+    assert ran == [n for n, _ in STAGES] and all(spark.read.parquet(p).count() == 0 for p in old)
