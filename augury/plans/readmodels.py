@@ -10,6 +10,8 @@ from augury.operators import blocks as B
 from augury.operators.relational import first_per_key, tolerance_join
 
 from .catalog import query, t
+from .joins import _CENTRES, _COS, centres
+from .search import text_index
 
 
 def best(df, order, n):
@@ -67,13 +69,19 @@ def nest_descriptions(spark, d):
     return listed(tags, "p_name").toDF("nest", "tags").join(listed(reps, "newest").toDF("nest", "reps"), "nest")
 
 
-@query("""SELECT id, string_agg(via, ',' ORDER BY via) AS via FROM (SELECT p_partkey AS id, 'class' AS via FROM part WHERE p_brand = 'Brand#13' UNION SELECT p_partkey, 'topic' FROM part WHERE p_type LIKE 'ECON%' UNION SELECT p_partkey, 'phrase' FROM part WHERE p_name ILIKE '%gadget%' UNION SELECT p_partkey, 'price' FROM part WHERE p_retailprice > 1000) GROUP BY id""")
+@query(f"""SELECT id, string_agg(via, ',' ORDER BY via) AS via FROM (SELECT doc_id AS id, 'class' AS via FROM documents WHERE lang LIKE 'e%' AND n_chars > 4000 UNION SELECT doc_id, 'topic' FROM documents WHERE source IN ('src3', 'src11')
+UNION SELECT doc_id, 'phrase' FROM documents WHERE contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' of the ') UNION SELECT vec_id, 'vector' FROM embeddings e, (SELECT c FROM ({_CENTRES}) WHERE label = 3) c WHERE {_COS} >= 0.3) GROUP BY id""")
 def seed_union(spark, d):
-    """Seeds found in several ways, each id once with the ways that found it."""
-    p = t(spark, d, "part")
-    ways = {"class": F.col("p_brand") == "Brand#13", "topic": F.col("p_type").startswith("ECON"), "phrase": F.lower("p_name").contains("gadget"), "price": F.col("p_retailprice") > 1000}
-    via = F.array_sort(F.array_compact(F.array(*(F.when(c, k) for k, c in ways.items()))))
-    return p.select(F.col("p_partkey").alias("id"), F.array_join(via, ",").alias("via")).where("via <> ''")
+    """Seeds found in four ways, by class, topic, phrase (from the index) and vector, each id once with the ways that found it."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
+    c = F.broadcast(centres(spark, d).where("label = 3").select("c"))  # one row
+    near = t(spark, d, "embeddings").crossJoin(c).where(cosine("embedding", "c") >= 0.3).select(F.col("vec_id").alias("id"))
+    ways = {"class": docs.where(F.col("lang").startswith("e") & (F.col("n_chars") > 4000)).select("id"), "topic": docs.where(F.col("source").isin("src3", "src11")).select("id"), "phrase": text_index(spark, d).matching([], phrases=[["of", "the"]], by="term"), "vector": near}
+    found = None
+    for via, ids in ways.items():
+        one = ids.select("id", F.lit(via).alias("via"))
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("via")), ",").alias("via"))
 
 
 @query("""SELECT a.p_brand AS into_, len(list_distinct(list_concat(a.m, b.m))) AS members FROM (SELECT p_brand, list(DISTINCT p_name) AS m FROM part GROUP BY 1) a JOIN (SELECT p_type, list(DISTINCT p_name) AS m FROM part GROUP BY 1) b ON b.p_type = 'ECONOMY'""")

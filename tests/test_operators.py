@@ -361,3 +361,45 @@ def test_places_by_value(spark, width):
         assert (r["_row"], r["_rank"], r["_n"]) == (mine.index(me), sum(x[:2] < me[:2] for x in mine), len(mine))
     got = {r["i"]: r["p"] for r in series.percent_ranks(df, ["k"], "v", width, "p").collect()}
     assert got[500] == 0.0 and len(got) == 151 and max(got.values()) <= 1.0
+
+
+def brute_places(rows):
+    """Records (id, name, country, region, press) in order; companies as lists that fill what they don't know."""
+    out = {}
+    for name in {r[1] for r in rows}:
+        mine = sorted(r for r in rows if r[1] == name)
+        if name is None:
+            out |= {r[0]: (r[0], False) for r in mine}
+            continue
+        companies = []
+        for i, _, c, g, press in mine:
+            if not press:
+                for o in companies:
+                    if (o[1] is None or c is None or o[1] == c) and (o[2] is None or g is None or o[2] == g):
+                        o[1], o[2] = o[1] if o[1] is not None else c, o[2] if o[2] is not None else g
+                        out[i] = (o[0], False)
+                        break
+                else:
+                    companies.append([i, c, g])
+                    out[i] = (i, False)
+        for r in mine:
+            if r[4]:
+                out[r[0]] = (companies[0][0], True) if len(companies) == 1 else (r[0], False)
+    return out
+
+
+def test_merge_by_place(spark):
+    import random
+
+    from augury.operators.resolve import merge_by_place
+    from augury.plans import catalog
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", "c", "d", None]), rng.choice([None, 1, 2]), rng.choice([None, 7, 8]), rng.random() < 0.2) for i in range(80)] + [(100, "p", None, None, True), (101, "q", 1, None, False), (102, "q", None, None, True)]
+    df = spark.createDataFrame(rows, "id long, name string, country int, region int, press boolean").repartition(4)
+    assert {r["id"]: (r["company"], r["by_press"]) for r in merge_by_place(df, "id", "name", "country", "region", "press").collect()} == brute_places(rows)
+    sf = "/root/testdata/sf0.001"  # the registered query, whole
+    c = spark.read.parquet(f"{sf}/customer.parquet").join(spark.read.parquet(f"{sf}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey")).collect()
+    rows = [(r["c_custkey"], f"{r['c_mktsegment']}-{int(r['c_acctbal'] // 200)}", r["n_regionkey"] if r["c_custkey"] % 3 > 0 else None, r["c_nationkey"] if r["c_custkey"] % 3 > 1 else None, r["c_custkey"] % 5 == 0) for r in c]
+    got = {r["id"]: (r["company"], r["by_press"]) for r in catalog.QUERIES["geo_merge"](spark, sf).collect()}
+    assert got == brute_places(rows) and len({v for v, _ in got.values()}) < len(got)
