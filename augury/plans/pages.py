@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from augury.functions.lineage import cut
+from augury.functions.text import slug
 from augury.functions.vectors import cosine, doubles, unit
 from augury.operators import filters as L
 from augury.operators.cluster import mean_vectors
@@ -245,3 +246,36 @@ def hybrid_within_filter(spark, d):
         page = fused.orderBy(F.desc("score"), "doc_id").limit(12).select(F.lit(lang).alias("lang"), "doc_id", "via", "score")
         out = page if out is None else out.unionByName(page)
     return out
+
+
+@query("""WITH w AS (SELECT (vec_id % 2)::INT AS win, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT win, label, i, avg(v) AS v FROM w GROUP BY ALL), l AS (SELECT win, label, list(v ORDER BY i) AS v FROM m GROUP BY ALL), n AS (SELECT (vec_id % 2)::INT AS win, label, count(*) AS n FROM embeddings GROUP BY ALL),
+e AS (SELECT a.label AS a, b.label AS b, list_cosine_similarity(a.v, b.v) AS s FROM l a JOIN l b ON a.win = 0 AND b.win = 1 AND list_cosine_similarity(a.v, b.v) >= 0.05)
+SELECT 'run' AS part, count(*)::VARCHAR AS a, (SELECT count(*) FROM e)::VARCHAR AS b, sum(n)::DOUBLE AS v FROM n UNION ALL SELECT 'node', win || ':' || label, NULL, n::DOUBLE FROM n UNION ALL SELECT 'edge', '0:' || a, '1:' || b, round(s, 6) FROM e""")
+def lineage_page(spark, d):
+    """A run of two windows: how many nodes and edges it has, its nodes with what they hold, and the edges between windows."""
+    m = mean_vectors(t(spark, d, "embeddings").withColumn("win", F.col("vec_id") % 2), ["win", "label"], "embedding")
+    m = cut(m.select("win", "label", "mean", F.col("n").cast("double").alias("n")), "lineage")
+    name = F.concat_ws(":", F.col("win").cast("string"), F.col("label").cast("string"))
+    a, b = (m.where(F.col("win") == i).select(name.alias(k), F.col("mean").alias(f"m{k}")) for i, k in enumerate("ab"))
+    edges = cut(a.crossJoin(F.broadcast(b)).withColumn("v", cosine("ma", "mb")).where("v >= 0.05").select("a", "b", F.round("v", 6).alias("v")), "lineage-edges")  # ten centres a window
+    none, text = F.lit(None).cast("string"), lambda c: c.cast("string")
+    run = m.agg(text(F.count("*")).alias("a"), F.sum("n").alias("v")).crossJoin(edges.agg(text(F.count("*")).alias("b")))  # one row each
+    return run.select(F.lit("run").alias("part"), "a", "b", "v").unionByName(m.select(F.lit("node").alias("part"), name.alias("a"), none.alias("b"), F.col("n").alias("v"))).unionByName(edges.select(F.lit("edge").alias("part"), "a", "b", "v"))
+
+
+@query("""WITH s AS (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, p_size FROM part)
+SELECT slug, max(p_partkey) AS newest, count(*) AS n FROM s WHERE slug IN ('red-widget', 'small-ring', 'blue-bolt', 'no-such-thing') AND p_size < 30 GROUP BY slug""")
+def slugs_in_window(spark, d):
+    """A list of slugs looked up inside a window: the newest of each, and how many there are."""
+    s = t(spark, d, "part").where("p_size < 30").select("p_partkey", slug("p_name").alias("slug"))
+    asked = spark.createDataFrame([(x,) for x in ("red-widget", "small-ring", "blue-bolt", "no-such-thing")], "slug string")
+    return s.join(F.broadcast(asked), "slug", "left_semi").groupBy("slug").agg(F.max("p_partkey").alias("newest"), F.count("*").alias("n"))  # four rows
+
+
+@query("""WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT (label % 3)::INT AS grp, sum(n)::BIGINT AS size, string_agg(label || '=' || n, ' ' ORDER BY n DESC, label) AS nests, row_number() OVER (ORDER BY sum(n) DESC, label % 3)::INT AS pos FROM n GROUP BY label % 3""")
+def nests_by_group(spark, d):
+    """Nests under their groups as they are shown: groups by what they hold, nests in a group likewise."""
+    n = t(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    g = n.groupBy((F.col("label") % 3).alias("grp")).agg(F.sum("n").alias("size"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "label"))).alias("xs"))  # a row a nest
+    nests = F.array_join(F.transform("xs", lambda x: F.concat(x["label"].cast("string"), F.lit("="), (-x["o"]).cast("string"))), " ")
+    return g.select("grp", "size", nests.alias("nests"), F.row_number().over(W.orderBy(F.desc("size"), "grp")).alias("pos"))

@@ -174,3 +174,10 @@ def gram_projection(spark, d):
 def density_clusters(spark, d):
     """Clusters of every density, the most stable ones; -1 is noise."""
     return D.density_clusters(t(spark, d, "embeddings"), "vec_id", "embedding", least=5, core=3)
+
+
+@query()
+def reduced_partition(spark, d):
+    """k-means on vectors brought to eight dimensions by the Gram projection."""
+    placed = projection(t(spark, d, "embeddings"), "vec_id", "embedding", 8)[0]
+    return K.cosine_kmeans(placed, "projected", 8)[0].select("vec_id", "cluster")

@@ -114,3 +114,21 @@ def test_gram_projection_against_a_dense_solver(spark):
     assert gram.projection(df.limit(0), "id", "v")[0].collect() == []
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4)], "id long, v array<double>")
     assert all(np.allclose(r["projected"], 0) for r in gram.projection(same, "id", "v", 2)[0].collect())
+
+
+def test_reduced_partition(spark):
+    """The registered query: rows of a cluster lie, after a dense projection, nearest to their own cluster's mean direction (up to the few that a last round would move)."""
+    from augury.plans import catalog
+
+    rows = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()}
+    ids = sorted(rows)
+    x = np.array([rows[i] for i in ids], float)
+    x -= x.mean(0)
+    values, vectors_ = np.linalg.eigh(x.T @ x)
+    y = x @ vectors_[:, -8:]
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    got = {r["vec_id"]: r["cluster"] for r in catalog.QUERIES["reduced_partition"](spark, DIR).collect()}
+    assert sorted(got) == ids and len(set(got.values())) == 8
+    own = np.array([got[i] for i in ids])
+    centres = np.array([y[own == c].mean(0) / np.linalg.norm(y[own == c].mean(0)) for c in range(8)])
+    assert ((y @ centres.T).argmax(1) == own).mean() > 0.97
