@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from augury.functions.vectors import cosine, doubles, norm, prefix
+from augury.functions.vectors import cosine, norm, prefix
 from augury.operators import blocks as B
 from augury.operators import cluster as K
 from augury.operators import density as D
 from augury.operators.gram import projection
-from augury.operators.relational import first_per_key
 
 from .catalog import query, t
 from .joins import _CENTRES, _COS, centres
