@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +62,14 @@ def ranked_by_sort(df: DataFrame, key: list[str], order: list[Column], out: str,
     return ranged.join(shifts, same).select(*df.columns, (F.col("_number") + F.col("_shift")).alias(out), *more)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Else what a fit took stays with the driver for all that follows."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     """Arrow batches in small slices, so that Python objects for a slice stay few."""
     for batch in batches:

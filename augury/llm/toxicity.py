@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, slices
+from .common import give_back, labelled_sample, slices
 
 #: Symbols of the language model: 0 ends a word, 1-26 are a-z, the others share 18.
 SYMBOLS = 45
@@ -339,7 +339,9 @@ def train(rows: list[tuple[str, int]], logs: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, train_where, *, label: str = "toxic", per_class: int = 700, max_bytes: int = 16 << 20) -> Model:
     """per_class, max_bytes: bounds of the labelled sample; the language model counts every text."""
     logs = log_probabilities(count_characters(docs))
-    return train(labelled_sample(docs, labels, label, train_where, per_class=per_class, max_bytes=max_bytes), logs)
+    model = train(labelled_sample(docs, labels, label, train_where, per_class=per_class, max_bytes=max_bytes), logs)
+    give_back()
+    return model
 
 
 def _mapped(df: DataFrame, text_col: str, out_col: str, kind: str, make) -> DataFrame:
