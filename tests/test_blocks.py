@@ -32,6 +32,21 @@ def test_blocks_meet_each_other_once(table, size):
     assert len(pairs) == len(ids) ** 2 and {tuple(p) for p in pairs} == {(a, b) for a in ids for b in ids}
 
 
+@pytest.mark.parametrize("both", [False, True])
+def test_a_row_is_sent_to_few_tiles(spark, both):
+    """Whatever the number of blocks of some hundred rows, a row meets its zone in a few tiles; each tile of the others once."""
+    rows = spark.range(5000).select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"), F.lit(0).alias("zone"))
+    met = B.compare(rows, rows, lambda q, x: {"id": q["id"], "n": np.full(len(q["id"]), len(x["id"]))}, "id bigint, n bigint", both_ways=both)
+    told = met.groupBy("id").agg(F.count("*").alias("tiles"), F.sum("n").alias("n")).agg(F.count("*"), F.max("tiles"), F.min("n"), F.max("n")).first()
+    assert tuple(told) == (5000, 3, 5000, 5000)
+
+
+def test_distances_of_near_rows_keep_their_digits():
+    x = np.random.default_rng(3).normal(size=(60, 8))
+    x = np.vstack([x, x[:20], x[:20] + 1e-7])
+    assert np.abs(B.distances(x, x) - B.exact_distances(x, x)).max() < 1e-11
+
+
 def test_silhouettes(table):
     rows, x = vectors(table)
     keep = [i for i, r in enumerate(rows) if r["c"] is not None]
