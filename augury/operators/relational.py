@@ -31,12 +31,13 @@ def facet_counts(df: DataFrame, facets: dict[str, Column]) -> DataFrame:
     return df.select(F.explode(F.array(*parts)).alias("x")).where("x.keep").groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
 
 
-def pairs_within(df: DataFrame, group: str, item: str) -> DataFrame:
+def pairs_within(df: DataFrame, group: str | Sequence[str], item: str) -> DataFrame:
     """``group, a, b`` with a < b: items that stand in one group, each pair once. A group's items are made
     distinct and held as one array, so the pairs come from one shuffle."""
-    sets = df.groupBy(group).agg(F.array_sort(F.collect_set(item)).alias("xs"))
+    keys = [group] if isinstance(group, str) else list(group)
+    sets = df.groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("xs"))
     pairs = F.flatten(F.transform("xs", lambda x, i: F.transform(F.slice("xs", i + 2, F.size("xs")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return sets.select(group, F.inline(pairs))
+    return sets.select(*keys, F.inline(pairs))
 
 
 def asof_latest(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, out: str) -> DataFrame:
