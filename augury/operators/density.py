@@ -4,8 +4,8 @@ Everything is ordered by one total order of edges, (weight, smaller id, larger i
 doesn't depend on partitions.
 
 1. Core distances: the distance to the k-th nearest other row, by block products.
-2. The spanning tree: an edge of the whole tree is an edge of the tree of any part that holds both its ends, so every pair of blocks keeps
-   the edges of its own tree, a 512th of its pairs, and the rest is joins: each component takes its least edge out, in rounds
+2. The spanning tree: an edge of the whole tree is an edge of the tree of any part that holds both its ends, so every pair of tiles keeps
+   the edges of its own tree, fewer than its rows, and the rest is joins: each component takes its least edge out, in rounds
    that at least halve them.
 3. A row's level: the edge whose weight first joins it with ``least`` rows, itself included. That is the largest of the first
    ``least - 1`` edges by which the tree grows from the row, always along its least edge out; all rows grow at once, a join a step, and a step
@@ -36,38 +36,80 @@ KEY = "struct<w:double,lo:bigint,hi:bigint>"
 
 def core_distances(rows: DataFrame, k: int) -> DataFrame:
     """``id, zone, v, core``: null vectors' rows are out already; a row with fewer than k others has the distance to its farthest."""
-    near = B.nearest(rows, rows, k).select("id", F.element_at("near", -1)["d"].alias("core"))
+    near = B.nearest(rows, rows, k, both_ways=True).select("id", F.element_at("near", -1)["d"].alias("core"))
     return cut(rows.join(near, "id"), "core")
 
 
+def least_tree(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Which of the edges are of the spanning tree (or forest) of them all."""
+    order = np.lexsort((hi, lo, w))
+    ids, ends = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    a, b = ends[:len(lo)][order].tolist(), ends[len(lo):][order].tolist()
+    head, left, kept = list(range(len(ids))), len(ids) - 1, []
+    for e, x, y in zip(order.tolist(), a, b, strict=True):
+        while head[x] != x:
+            head[x] = x = head[head[x]]
+        while head[y] != y:
+            head[y] = y = head[head[y]]
+        if x != y:
+            head[x] = y
+            kept.append(e)
+            left -= 1
+            if not left:
+                break
+    return np.array(kept, int)
+
+
+def grown(w: np.ndarray, ids: np.ndarray, others: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``lo, hi, w`` of the spanning tree of rows under a matrix of weights, or, with others, of the edges between the rows (first axis) and the others, grown
+    from the first row always along its least edge out."""
+    n = len(ids)
+    every = ids if others is None else np.concatenate([ids, others])
+    of, back = (slice(0, n), w) if others is None else (slice(n, len(every)), np.ascontiguousarray(w.T))
+    most = np.iinfo(np.int64).max
+    best_w, best_lo, best_hi = np.full(len(every), np.inf), np.full(len(every), most), np.full(len(every), most)
+    free = np.ones(len(every), bool)
+    reach = np.full(len(every), np.inf)  # best_w of those outside
+    out, at = [], 0
+    for _ in range(len(every) - 1):
+        free[at], reach[at] = False, np.inf
+        side, row = (of, w[at]) if others is None or at < n else (slice(0, n), back[at - n])
+        me = every[at]
+        low = np.flatnonzero((row <= best_w[side]) & free[side])
+        if len(low):
+            there = low + side.start
+            lo, hi = np.minimum(every[there], me), np.maximum(every[there], me)
+            less = (row[low] < best_w[there]) | (lo < best_lo[there]) | ((lo == best_lo[there]) & (hi < best_hi[there]))
+            there = there[less]
+            best_w[there], best_lo[there], best_hi[there] = row[low][less], lo[less], hi[less]
+            reach[there] = best_w[there]
+        least = np.flatnonzero(reach == reach.min())
+        at = int(least[0]) if len(least) == 1 else int(min(least, key=lambda i: (best_lo[i], best_hi[i])))
+        out.append(at)
+    return best_lo[out], best_hi[out], best_w[out]
+
+
 def block_edges(rows: DataFrame) -> DataFrame:
-    """``lo, hi, w``: the edges of the spanning trees of all pairs of blocks."""
+    """``lo, hi, w``: the edges of the spanning trees of all pairs of tiles. Within a pair, blocks of some hundred rows each keep their own tree and the tree of the edges between them and
+    every other block: an edge of the tree of two blocks is in one of those three."""
 
     def tree(q: B.Block, x: B.Block) -> dict:
-        if len(q["id"]) == len(x["id"]) and (q["id"] == x["id"]).all():
-            both = q
-        elif q["id"][0] < x["id"][0]:
-            both = {c: np.concatenate([q[c], x[c]]) for c in ("id", "v", "core")}
-        else:  # the same pair the other way round
-            return {"lo": [], "hi": [], "w": []}
-        ids, v, core = both["id"], both["v"], both["core"]
-        n = len(ids)
-        out, inside = [], np.zeros(n, bool)
-        best_w, best_lo, best_hi = np.full(n, np.inf), np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).max)
-        at = 0
-        for _ in range(n - 1):
-            inside[at] = True
-            w = np.maximum(np.maximum(np.round(np.sqrt(((v - v[at]) ** 2).sum(1)), 9), core), core[at])
-            lo, hi = np.minimum(ids, ids[at]), np.maximum(ids, ids[at])
-            less = (w < best_w) | ((w == best_w) & ((lo < best_lo) | ((lo == best_lo) & (hi < best_hi))))
-            best_w, best_lo, best_hi = np.where(less, w, best_w), np.where(less, lo, best_lo), np.where(less, hi, best_hi)
-            free = np.flatnonzero(~inside)
-            least = free[best_w[free] == best_w[free].min()]
-            at = min(least, key=lambda i: (best_lo[i], best_hi[i]))
-            out.append((best_lo[at], best_hi[at], best_w[at]))
-        return {"lo": [int(o[0]) for o in out], "hi": [int(o[1]) for o in out], "w": [float(o[2]) for o in out]}
-
-    return B.compare(rows, rows, tree, "lo bigint, hi bigint, w double").distinct()
+        same = len(q["id"]) == len(x["id"]) and (q["id"] == x["id"]).all()
+        cuts = lambda b: [{c: v[s:s + B.BLOCK] for c, v in b.items()} for s in range(0, len(b["id"]), B.BLOCK)]
+        lo, hi, w = (np.zeros(0, t) for t in (np.int64, np.int64, float))
+        for i, one in enumerate(cuts(q)):
+            found = [(lo, hi, w)]
+            for j, other in enumerate(cuts(x)):
+                if same and j < i:
+                    continue
+                far = np.maximum(np.maximum(np.round(B.exact_distances(one["v"], other["v"]), 9), one["core"][:, None]), other["core"][None, :])
+                found.append(grown(far, one["id"], None if same and i == j else other["id"]))
+            lo, hi, w = (np.concatenate(c) for c in zip(*found, strict=True))
+            kept = least_tree(lo, hi, w)
+            lo, hi, w = lo[kept], hi[kept], w[kept]
+        return {"lo": lo, "hi": hi, "w": w}
+
+    return B.compare(rows, rows, tree, "lo bigint, hi bigint, w double", both_ways=True, whole=True)
 
 
 def spanning_tree(edges: DataFrame) -> DataFrame:

@@ -105,3 +105,15 @@ def test_few_rows(spark):
     assert {r["cluster"] for r in D.density_clusters(same, "id", "v", least=5).collect()} == set(brute(list(range(30)), np.array([[1.0, 2.0]] * 30), 5, 5).values())
     with pytest.raises(ValueError):
         D.density_clusters(make([(i, clouds(1, 120, 4, 0.6)[i].tolist()) for i in range(120)]), "id", "v", least=4, most_clusters=1)
+
+
+def test_trees_of_pairs_of_tiles_are_few_edges(spark):
+    """Each pair of tiles leaves fewer edges than its rows, whatever the number of blocks in it; a row is in few pairs."""
+    x = np.random.default_rng(2).normal(size=(1500, 3))
+    rows = spark.createDataFrame([(i, v.tolist(), 0, 0.1) for i, v in enumerate(x)], "id long, v array<double>, zone int, core double")
+    assert D.block_edges(rows).count() == 1499
+
+
+def test_least_tree_of_edges_in_their_total_order():
+    lo, hi, w = np.array([1, 1, 2, 5]), np.array([2, 3, 3, 6]), np.array([1.0, 1.0, 1.0, 2.0])
+    assert sorted(D.least_tree(lo, hi, w).tolist()) == [0, 1, 3]
