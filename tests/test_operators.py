@@ -403,3 +403,12 @@ def test_merge_by_place(spark):
     rows = [(r["c_custkey"], f"{r['c_mktsegment']}-{int(r['c_acctbal'] // 200)}", r["n_regionkey"] if r["c_custkey"] % 3 > 0 else None, r["c_nationkey"] if r["c_custkey"] % 3 > 1 else None, r["c_custkey"] % 5 == 0) for r in c]
     got = {r["id"]: (r["company"], r["by_press"]) for r in catalog.QUERIES["geo_merge"](spark, sf).collect()}
     assert got == brute_places(rows) and len({v for v, _ in got.values()}) < len(got)
+
+
+def test_unit_works_its_vector_out_once(spark):
+    from augury.functions.vectors import unit
+
+    df = spark.createDataFrame([(1, "3 4"), (2, "0 0"), (3, None), (4, "")], "id int, said string")
+    made = df.select("id", unit(F.transform(F.split("said", " "), lambda x: x.try_cast("double"))).alias("u"))
+    assert {r["id"]: r["u"] for r in made.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None, 4: [0.0]}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
