@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import string
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,10 +16,6 @@ KIND_LETTERS = "ABCUYTE"
 REPOSITORIES = ("zenodo.org", "10.5281/", "figshare", "dryad", "osf.io", "github.com", "gitlab.com", "softwareheritage", "dataverse", "10.7910/dvn")
 
 
-def all_digits(c: Column) -> Column:
-    return (F.translate(c, string.digits, "") == "") & (c != "")
-
-
 def in_repository(url: Column | str) -> Column:
     """Whether an address leads to data or software; false for null."""
     low = F.lower(F.coalesce(col(url), F.lit("")))
@@ -28,31 +23,23 @@ def in_repository(url: Column | str) -> Column:
 
 
 def works_in(c: Column | str) -> Column:
-    """Identifiers of works, ``10.<registrant>/<suffix>``, distinct, in order: registrants have four to nine digits."""
-    marks = "\"'<>)]|,;"
-    said = F.split(F.translate(col(c), marks, " " * len(marks)), r"\s+")
-    found = F.transform(F.filter(said, lambda w: w.contains("10.")), lambda w: F.rtrim(F.substring(w, F.instr(w, "10."), F.length(w)), F.lit(".")))
-    registrant = lambda w: F.substring(F.split_part(w, F.lit("/"), F.lit(1)), 4, 1 << 20)
-    valid = lambda w: all_digits(registrant(w)) & F.length(registrant(w)).between(4, 9) & (F.length(w) > F.length(registrant(w)) + 4)
-    return F.array_distinct(F.filter(found, valid))
+    """Identifiers of works, ``10.<registrant>/<suffix>``, distinct, in order: registrants have four to nine digits. Marks
+    and blanks end a suffix."""
+    found = F.regexp_extract_all(col(c), F.lit(r"10[.][0-9]{4,9}/[^\s\"'<>)\]|,;]+"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda w: F.rtrim(w, F.lit("."))))
 
 
 def laws_in(c: Column | str) -> Column:
     """Numbers of European legal acts: sector 3, a year, one or two letters, four figures."""
-    shape = lambda w: F.translate(w, string.digits + string.ascii_uppercase, "9" * 10 + "A" * 26)
-    return F.array_distinct(F.filter(F.split(col(c), "[^A-Za-z0-9_]+"), lambda w: w.startswith("3") & shape(w).isin("99999A9999", "99999AA9999")))
+    return F.array_distinct(F.regexp_extract_all(col(c), F.lit("3(?<![A-Za-z0-9_]3)[0-9]{4}[A-Z]{1,2}[0-9]{4}(?![A-Za-z0-9_])"), F.lit(0)))
 
 
 def patents_in(c: Column | str) -> Column:
     """Publication numbers as ``office-number-kind``, distinct, in order. A number has six to nine figures, or a year and
     a serial of five or six, with a mark between them or none."""
-    loose = rf"(?<![A-Za-z0-9_])({'|'.join(OFFICES)})[ -]?([0-9][0-9/-]*[0-9])(?:[ -]?([{KIND_LETTERS}][0-9]?))?(?![A-Za-z0-9_])"
-    parts = F.arrays_zip(*(F.regexp_extract_all(col(c), F.lit(loose), F.lit(i)).alias(n) for i, n in ((1, "office"), (2, "said"), (3, "kind"))))
-    number = lambda p: F.translate(p["said"], "/-", "")
-
-    def valid(p: Column) -> Column:
-        n, year = F.length(number(p)), F.substring(p["said"], 1, 2).isin("19", "20")
-        marked = (F.length(p["said"]) == n + 1) & F.substring(p["said"], 5, 1).isin("/", "-")
-        return F.when(F.length(p["said"]) == n, n.between(6, 9) | (year & n.between(9, 10))).otherwise(year & marked & n.between(9, 10))
-
-    return F.array_distinct(F.transform(F.filter(parts, valid), lambda p: F.concat_ws("-", p["office"], number(p), F.nullif(p["kind"], F.lit("")))))
+    initials = "".join(sorted({o[0] for o in OFFICES}))  # looked at first, as few places of a text have one
+    number = "(?:19|20)[0-9]{2}[/-]?[0-9]{5,6}|[0-9]{6,9}"
+    shape = rf"({'|'.join(OFFICES)})[ -]?({number})(?:[ -]?([{KIND_LETTERS}][0-9]?))?"
+    found = F.regexp_extract_all(col(c), F.lit(rf"(?=[{initials}])(?<![A-Za-z0-9_]){shape}(?![A-Za-z0-9_])"), F.lit(0))
+    part = lambda p, i: F.regexp_extract(p, f"^{shape}$", i)
+    return F.array_distinct(F.transform(found, lambda p: F.concat_ws("-", part(p, 1), F.translate(part(p, 2), "/-", ""), F.nullif(part(p, 3), F.lit("")))))

@@ -188,7 +188,7 @@ SELECT doc_id, len(list_distinct(list_transform(works, lambda w: rtrim(w, '.')))
 """)
 def references_in_text(spark, d):
     """Works, laws, patents and days that every text names."""
-    said, day = F.coalesce("text", F.lit("")), r"\b((?:19|20)[0-9]{2})-([0-9]{2})-([0-9]{2})\b"
+    said, day = F.coalesce("text", F.lit("")), "(?=[12])(?<![A-Za-z0-9_])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![A-Za-z0-9_])"
     n = lambda found: F.size(found).cast("long")
     return t(spark, d, "documents").select("doc_id", n(R.works_in(said)).alias("n_works"), n(R.laws_in(said)).alias("n_laws"), n(R.patents_in(said)).alias("n_patents"),
                                            F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(said, F.lit(day), F.lit(0)))), "|").alias("days"))
