@@ -1,10 +1,12 @@
 """Words of texts as Arrow columns, and what is counted and merged of them."""
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from augury.functions.text import words
-from augury.functions.tokens import words_of, worded
+from augury.functions.tokens import pairs_told, words_of, worded
 from augury.operators.textindex import merged
 
 ODD = ["", "a", " a", "b ", "one,two  3", "größe KelvinK", "___", "x1-y2", "end", "İstanbul", "日本 ai", "0"]
@@ -30,3 +32,15 @@ def test_posting_rows_of_a_word_and_block_are_merged_across_batches():
         got = [r for b in merged([batch.slice(0, cut), batch.slice(cut)]) for r in b.to_pylist()]
         assert [(r["term"], r["block"], r["n_docs"], r["places"]) for r in got] == want
     assert [*merged([])] == []
+
+
+def test_pairs_of_words_are_counted_once_a_text():
+    texts = [("en", "a b a b c"), (None, "a b"), ("en", "a b"), ("de", "b"), ("en", ""), (None, "a b b b"), ("de", "c a")]
+    batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in texts]), pa.array([x[1] for x in texts])], ["lang", "text"])
+    want = Counter((lang, g) for lang, x in texts for g in {" ".join(p) for p in zip(x.split(), x.split()[1:])})
+    for size in (1, 1 << 20):
+        told = [r for b in pairs_told(worded([batch, batch.slice(3, 2)], size)) for r in b.to_pylist()]
+        got = Counter()
+        for r in told:
+            got[r["lang"], r["gram"]] += r["n"]
+        assert got == want and (size == 1 or len(told) == len(want))
