@@ -30,7 +30,7 @@ def trigram_jaccard(spark, d):
     x, y = (grams.select("g", F.col("p_name").alias(f"p_name_{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
     sims = x.join(y, "g").groupBy("p_name_a", "p_name_b", "na", "nb").agg(F.count("*").alias("c"))
     sims = sims.withColumn("sim", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where("sim >= 0.5").select("p_name_a", "p_name_b", F.round("sim", 6).alias("sim"))
-    return rows_of_pairs(sims.withColumnsRenamed({"p_name_a": "na", "p_name_b": "nb"}).select("na", "nb", "sim"), p, "p_partkey", "p_name", ["p_brand"]).where("a < b").select("a", "b", "sim")
+    return rows_of_pairs(sims.withColumnsRenamed({"p_name_a": "na", "p_name_b": "nb"}).select("na", "nb", "sim"), p, "p_partkey", "p_name", ["p_brand"], keep=lambda a, b: a < b).select("a", "b", "sim")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 97)::DOUBLE * 1e6 WHEN o_orderkey % 3 = 1 THEN (o_orderkey % 97)::DOUBLE * 1e3 ELSE NULL END AS amount, CASE o_orderkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' END AS currency FROM orders""")

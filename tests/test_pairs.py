@@ -1,7 +1,11 @@
 """Pairs of rows are told where lists of ids meet; groups of vectors in tiles."""
 
+import itertools
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from augury.operators import resolve as V
 from augury.plans import catalog
@@ -52,3 +56,19 @@ def test_cosine_pairs_of_a_group(spark, size):
     n = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = [(i, j) for i in range(60) for j in range(i + 1, 60) if i % 3 and i % 3 == j % 3 and n[i] @ n[j] >= 0.4]
     assert sorted(map(tuple, V.cosine_pairs(df, "vec_id", "embedding", 0.4, size, group="label").collect())) == want
+
+
+def stages_of_lists(df):
+    """The stages of generated code that make rows out of lists, and the longest run of rows that share their first column."""
+    longest = df.rdd.mapPartitions(lambda rows: [max((sum(1 for _ in g) for _, g in itertools.groupby(rows, key=lambda r: r[0])), default=0)]).max()
+    df.collect()
+    return re.findall(r"(\*\(\d+\) )?Generate explode\((_ids_a|_ids_b|_ids)\b", df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]), longest
+
+
+def test_pairs_of_two_lists_are_never_held_at_once(spark):
+    """A stage of generated code keeps all rows that it makes of one row: lists of a thousand ids each would be a million pairs."""
+    df = spark.range(900).select(F.col("id"), F.lit("x").alias("k"), F.lit("n").alias("name"))
+    pairs = V.rows_of_pairs(spark.createDataFrame([("n", "n")], "na string, nb string"), df, "id", "name", ["k"], keep=lambda a, b: a != b).select("a", "b")
+    stages, longest = stages_of_lists(pairs)
+    assert len(stages) == 2 and stages[0][0] != stages[1][0]
+    assert longest <= 128 and pairs.distinct().count() == pairs.count() == 900 * 899
