@@ -62,7 +62,7 @@ def stages_of_lists(df):
     """The stages of generated code that make rows out of lists, and the longest run of rows that share their first column."""
     longest = df.rdd.mapPartitions(lambda rows: [max((sum(1 for _ in g) for _, g in itertools.groupby(rows, key=lambda r: r[0])), default=0)]).max()
     df.collect()
-    return re.findall(r"(\*\(\d+\) )?Generate explode\((_ids_a|_ids_b|_ids)\b", df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]), longest
+    return re.findall(r"(\*\(\d+\) )?Generate explode\((_ids_a|_ids_b|buyers|sellers)\b", df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]), longest
 
 
 def test_pairs_of_two_lists_are_never_held_at_once(spark):
@@ -72,3 +72,25 @@ def test_pairs_of_two_lists_are_never_held_at_once(spark):
     stages, longest = stages_of_lists(pairs)
     assert len(stages) == 2 and stages[0][0] != stages[1][0]
     assert longest <= 128 and pairs.distinct().count() == pairs.count() == 900 * 899
+
+
+def test_links_are_told_in_runs(spark, tmp_path):
+    """Null, repeated and unknown keys, against the SQL; more suppliers of a nation than a run has."""
+    import duckdb
+
+    tables = {
+        "customer": ("c_custkey long, c_nationkey int", [(i, i % 3) for i in range(40)] + [(None, 1), (90, None), (7, 1), (8, 0)]),
+        "supplier": ("s_suppkey long, s_nationkey int", [(i, i % 2) for i in range(700)] + [(None, 1), (800, None), (5, 1), (6, 1), (701, 5)]),
+        "orders": ("o_orderkey long, o_custkey long", [(i, i % 45) for i in range(300)] + [(None, 1), (400, None), (299, 8)]),
+        "lineitem": ("l_orderkey long, l_suppkey long", [(i % 310, i * 7 % 720) for i in range(2000)] + [(None, 1), (3, None)]),
+    }
+    con = duckdb.connect()
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    df = catalog.QUERIES["confirmed_links"](spark, str(tmp_path))
+    stages, longest = stages_of_lists(df)
+    assert len(stages) == 2 and stages[0][0] != stages[1][0] and longest <= 2 * 128  # a repeated buyer's
+    order = lambda r: tuple((x is None, x or 0) for x in r)
+    got, want = sorted(map(tuple, df.collect()), key=order), sorted(con.execute(catalog.SQL["confirmed_links"]).fetchall(), key=order)
+    assert got == want and {r[2] for r in got} == {0.5, 0.9}
