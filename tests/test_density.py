@@ -117,3 +117,52 @@ def test_trees_of_pairs_of_tiles_are_few_edges(spark):
 def test_least_tree_of_edges_in_their_total_order():
     lo, hi, w = np.array([1, 1, 2, 5]), np.array([2, 3, 3, 6]), np.array([1.0, 1.0, 1.0, 2.0])
     assert sorted(D.least_tree(lo, hi, w).tolist()) == [0, 1, 3]
+
+
+def test_least_tree_by_its_least_edges_first():
+    """What the least edges join already is the whole tree; where they don't join all, all edges are looked at."""
+    rng = np.random.default_rng(4)
+    lo, hi = np.array([(i, j) for i in range(60) for j in range(i + 1, 60)]).T
+    for w in (rng.random(len(lo)), rng.integers(0, 3, len(lo)).astype(float), np.where(hi == 59, 9.0, rng.random(len(lo)))):
+        order = sorted(range(len(lo)), key=lambda e: (w[e], lo[e], hi[e]))
+        head, want = list(range(60)), []
+        for e in order:
+            a, b = head[lo[e]], head[hi[e]]
+            if a != b:
+                head = [a if h == b else h for h in head]
+                want.append(e)
+        assert sorted(D.least_tree(lo, hi, w).tolist()) == sorted(want)
+
+
+def test_many_copies_and_equal_distances(spark):
+    """More copies than a row's list holds, in far groups, and rows that are all equally far apart."""
+    rng = np.random.default_rng(9)
+    copies = np.repeat(6 * rng.normal(size=(6, 3)), 14, axis=0)
+    for x, core in ((np.vstack([copies, 6 * rng.normal(size=(20, 3))]), 3), (np.eye(40), 2)):
+        ids = [int(i) for i in rng.permutation(300)[:len(x)]]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, v array<double>").repartition(3)
+        assert {r["id"]: r["cluster"] for r in D.density_clusters(df, "id", "v", least=5, core=core).collect()} == brute(ids, x, 5, core)
+
+
+def test_joins_of_clusters_take_room_as_their_number():
+    """A long chain of joins: each leaf joins what all before it have become."""
+    joins = [((1.0 + i, i, i + 1), 0, i + 1) for i in range(20_000)]
+    parent, keys = D.condensed(joins, list(range(20_001)))
+    assert len(parent) == 2 * 20_000 and len(keys) == 20_000 and parent[0] == parent[1] == 20_001 and parent[20_001] == 20_002
+
+
+def test_rows_climb_to_their_cluster(spark):
+    joins = [((1.0, 3, 7), 1, 2), ((2.0, 3, 4), 2, 5), ((2.0, 3, 9), 5, 8)]
+    parent, keys = D.condensed(joins, [1, 2, 5, 8])
+    rows = [(1, 1, (0.5, 0, 0)), (2, 2, (1.0, 3, 7)), (3, 1, (2.0, 3, 3)), (4, 1, (2.0, 3, 4)), (5, 5, (2.0, 3, 8)), (6, 8, (2.0, 3, 9)), (7, 4, (9.0, 1, 1))]
+    df = spark.createDataFrame(rows, f"id long, leaf long, level {D.KEY}")
+    assert sorted(map(tuple, D.clusters_at(df, [1, 2, 5, 8], parent, keys).select("id", "node").collect())) == [(1, 0), (2, 4), (3, 4), (4, 5), (5, 5), (6, 6)]
+
+
+def test_nearest_lists_spare_most_pairs_of_rows(spark):
+    """Rows that their lists join are no longer compared: with one part there are no edges of blocks at all."""
+    x = clouds(3, 300, 3, 0.3)
+    told = D.nearest_rows(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "id long, v array<double>, zone int"), 3)
+    near, parts = D.spanning_tree(D.listed_edges(told), told.select(D.F.col("id").alias("c"), "limit"))
+    n = parts.select("part").distinct().count()
+    assert parts.count() == 300 and near.count() == 300 - n and n <= 30
